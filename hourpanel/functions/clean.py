@@ -86,7 +86,8 @@ def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool =
 
 def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool = True) -> DataFrame:
     fences = iqr_fences(df, cols, k, exact)
-    return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
+    # greatest/least skip NULLs, so a missing value is kept missing explicitly
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)))
                            for c, (lo, hi) in fences.items()})
 
 

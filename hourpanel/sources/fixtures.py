@@ -103,7 +103,7 @@ select concat('S', cast(l_suppkey as varchar))                               as
        l_extendedprice / 1000.0 + 0.5 * l_quantity
          + case when l_orderkey % 24 in (7, 8, 9, 17, 18, 19) then 10.0 else 0.0 end
          + case when l_linenumber = 7 then -4.0 else 0.0 end                 as congestion,
-       l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice
+       l_orderkey, l_partkey, l_suppkey, cast(l_linenumber as bigint) as l_linenumber, l_extendedprice
 from lineitem
 """
 
