@@ -245,6 +245,29 @@ def cyclic_features(df: DataFrame, hour="hour", dow="dayofweek", month="month",
     return df.withColumns(cols)
 
 
+def recurring_month_days(dates: Sequence[str] = HOLIDAYS) -> list[str]:
+    """Month-days that are holidays in every year of the list (fixed-date holidays)."""
+    by_year: dict[str, set[str]] = {}
+    for d in dates:
+        by_year.setdefault(d[:4], set()).add(d[5:])
+    sets = list(by_year.values())
+    return sorted(set.intersection(*sets)) if sets else []
+
+
+def holiday_flag(date: str | Column = "date", dates: Sequence[str] = HOLIDAYS, recurring: bool = False) -> Column:
+    """1 when the date is in the (bounded, literal) holiday set, else 0.
+
+    A literal IN-set is evaluated inside the scan's codegen stage, so no
+    join is needed.  ``recurring`` also flags the fixed-date holidays of any
+    year (the month-days present in every listed year).
+    """
+    d = col_of(date)
+    cond = d.isin([F.to_date(F.lit(x)) for x in sorted(set(dates))]) if dates else F.lit(False)
+    if recurring:
+        cond = cond | F.date_format(d, "MM-dd").isin(recurring_month_days(dates))
+    return F.coalesce(cond.cast("int"), F.lit(0))
+
+
 def holiday_dim(spark: SparkSession, dates: Sequence[str] = HOLIDAYS) -> DataFrame:
     """Holiday dimension (date, is_holiday); its size is the list length."""
     return spark.createDataFrame([(d,) for d in sorted(set(dates))], "d string").select(
