@@ -1,3 +1,358 @@
-"""Registered queries."""
+"""Registered statistics and hour-effect queries.
+
+The analysis frame follows the study: service hours only (1-4 h dropped)
+and rows complete in the basic weather set (ta, ws, rn_hr1, hm).
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import bins as bn
+from ..functions import calendar as cal
+from ..operators import effects as fx_eff
+from ..operators import select as sel
+from ..operators import stats as st
+from ..sources import fixtures as fx
+from .common import clean, final, r, sql_case_in, with_clean
+from .registry import register
+
+KEY = fx.ROW_KEY
+KEY_SQL = ", ".join(KEY)
+XS = ["ta", "ws", "rn_hr1", "hm"]
+CORR_VARS = ["ta", "ws", "rn_hr1", "hm", "si", "ta_chi"]
+LABEL_SETS = ["temp_category", "humidity_category", "rainfall_category", "wind_category", "solar_category",
+              "apparent_temp_category"]
+
+
+def analysis(spark, sf):
+    df = sel.complete_rows(sel.drop_service_hours(clean(spark, sf)), sel.SET_BASIC)
+    return bn.weather_labels(df.withColumn("time_group", cal.time_group("hour")))
+
+
+def _lab(col, bands, zero=None):
+    parts = [f"when {col} = 0 then '{zero}'"] if zero else []
+    parts += [f"when {col} is not null then '{lab}'" if b is None else f"when {col} <= {b} then '{lab}'"
+              for b, lab in bands]
+    return "case " + " ".join(parts) + " end"
+
+
+SQL_ANALYSIS = f"""a as (select *, {sql_case_in('hour', cal.TIME_GROUPS)} as time_group,
+  {_lab('ta', bn.LABEL_TEMP)} as temp_category, {_lab('hm', bn.LABEL_HUMIDITY)} as humidity_category,
+  {_lab('rn_hr1', bn.LABEL_RAIN, bn.LABEL_RAIN_ZERO)} as rainfall_category, {_lab('ws', bn.LABEL_WIND)} as wind_category,
+  {_lab('si', bn.LABEL_SOLAR)} as solar_category, {_lab('ta_chi', bn.LABEL_APPARENT)} as apparent_temp_category
+  from clean where hour not in (1, 2, 3, 4) and ta is not null and ws is not null and rn_hr1 is not null
+  and hm is not null)"""
+
+
+def with_a(body: str) -> str:
+    b = body.strip()
+    if b.lower().startswith("with "):
+        return with_clean(f"with {SQL_ANALYSIS}, {b[5:]}")
+    return with_clean(f"with {SQL_ANALYSIS} {b}")
+
+
+def _strength_sql(rcol: str, preset: str) -> str:
+    parts = [f"when abs({rcol}) is not null then '{lab}'" if b is None else f"when abs({rcol}) < {b} then '{lab}'"
+             for b, lab in st.STRENGTH_PRESETS[preset]]
+    return "case " + " ".join(parts) + " end"
+
+
+def _pair_rows(vars_, src: str) -> str:
+    rows = []
+    for a in vars_:
+        for b in vars_:
+            if a == b:
+                rows.append(f"select '{a}' as var1, '{b}' as var2, 1.0 as r, count_if({a} is not null) as n from {src}")
+            else:
+                rows.append(f"select '{a}', '{b}', corr({a}, {b}), count_if({a} is not null and {b} is not null) from {src}")
+    return " union all ".join(rows)
+
+
+MATRIX_VARS = ["congestion", "ta", "ws", "hm", "rn_hr1", "si"]
+
+
+@register("stat_corr", with_a("""
+select round(corr(ta, congestion), 6) as r, cast(count_if(ta is not null and congestion is not null) as bigint) as n,
+       round(corr(rn_hr1, congestion), 6) as r_rain from a"""))
+def stat_corr(spark, sf):
+    df = analysis(spark, sf)
+    both = F.col("ta").isNotNull() & F.col("congestion").isNotNull()
+    out = df.agg(r(F.corr("ta", "congestion")).alias("r"), F.count_if(both).cast("long").alias("n"),
+                 r(F.corr("rn_hr1", "congestion")).alias("r_rain"))
+    return final(out)
+
+
+@register("stat_corr_matrix", with_clean(f"""
+select var1, var2, round(r, 6) as r, cast(n as bigint) as n from ({_pair_rows(MATRIX_VARS, 'clean')})"""))
+def stat_corr_matrix(spark, sf):
+    out = st.corr_pairs(clean(spark, sf), MATRIX_VARS)
+    return final(out.withColumn("r", r("r")))
+
+
+_GROUPED_SQL = " union all ".join(
+    f"select time_group, '{v}' as variable, corr({v}, congestion) as r, "
+    f"count_if({v} is not null and congestion is not null) as n from a group by time_group" for v in CORR_VARS)
+
+
+@register("stat_corr_grouped", with_a(f"""
+select time_group, variable, round(r, 6) as r, cast(n as bigint) as n from ({_GROUPED_SQL}) where n > 2"""))
+def stat_corr_grouped(spark, sf):
+    out = st.corr_grouped(analysis(spark, sf), ["time_group"], "congestion", CORR_VARS, min_n=2)
+    return final(out.withColumn("r", r("r")))
+
+
+@register("stat_corr_test", with_a(f"""
+select time_group, variable, round(r, 6) as r, cast(n as bigint) as n,
+       round(r * sqrt((n - 2) / (1 - r * r)), 6) as t, cast(n - 2 as bigint) as df,
+       {_strength_sql('r', 'five')} as strength, cast(abs(r) >= 0.4 as bigint) as notable
+from ({_GROUPED_SQL}) where n > 2"""))
+def stat_corr_test(spark, sf):
+    g = st.corr_grouped(analysis(spark, sf), ["time_group"], "congestion", CORR_VARS, min_n=2)
+    out = st.corr_test_columns(g)
+    return final(out.select("time_group", "variable", r("r").alias("r"), "n", r("t").alias("t"), "df", "strength",
+                            "notable"))
+
+
+@register("stat_corr_test_pvalue")
+def stat_corr_test_pvalue(spark, sf):
+    """Same as stat_corr_test plus two-sided p-values and significance stars."""
+    g = st.corr_grouped(analysis(spark, sf), ["time_group"], "congestion", CORR_VARS, min_n=2)
+    out = st.corr_test_columns(g, with_p=True)
+    return final(out.select("time_group", "variable", r("r").alias("r"), "n", r("t").alias("t"), "df",
+                            r("p_value", 9).alias("p_value"), "stars", "strength", "notable"))
+
+
+@register("stat_strength_label", with_clean(f"""
+with m as (select var1 as variable, r from ({_pair_rows(MATRIX_VARS, 'clean')}) where var2 = 'congestion'
+           and var1 <> 'congestion')
+select variable, round(r, 6) as r, {_strength_sql('r', 'five')} as strength_five,
+       {_strength_sql('r', 'three')} as strength_three, {_strength_sql('r', 'effect')} as strength_effect from m"""))
+def stat_strength_label(spark, sf):
+    m = st.corr_pairs(clean(spark, sf), MATRIX_VARS).filter((F.col("var2") == "congestion")
+                                                            & (F.col("var1") != "congestion"))
+    out = m.select(F.col("var1").alias("variable"), r("r").alias("r"),
+                   *[st.strength_label("r", p).alias(f"strength_{p}") for p in ("five", "three", "effect")])
+    return final(out)
+
+
+def _anova_frame(spark, sf):
+    df = analysis(spark, sf)
+    long = df.select("time_group", "congestion", F.inline(F.array(
+        *[F.struct(F.lit(c).alias("label_set"), F.col(c).alias("label")) for c in LABEL_SETS])))
+    return long
+
+
+_ANOVA_LONG_SQL = " union all ".join(f"select time_group, congestion, '{c}' as label_set, {c} as label from a"
+                                     for c in LABEL_SETS)
+
+
+@register("stat_anova", with_a(f"""
+with l as ({_ANOVA_LONG_SQL}),
+cells as (select time_group, label_set, label, count(congestion) as n, avg(congestion) as m,
+                 coalesce(var_samp(congestion), 0) as v
+          from l where label is not null and congestion is not null group by all),
+g as (select *, sum(n * m) over (partition by time_group, label_set) / sum(n) over (partition by time_group, label_set)
+               as grand from cells),
+s as (select time_group, label_set, count(*) as k, sum(n) as n, sum(n * (m - grand) * (m - grand)) as ssb,
+             sum((n - 1) * v) as ssw from g group by all)
+select time_group, label_set, cast(k as bigint) as k, cast(n as bigint) as n, cast(k - 1 as bigint) as df1,
+       cast(n - k as bigint) as df2, round((ssb / (k - 1)) / (ssw / (n - k)), 6) as f_stat
+from s where k >= 2"""))
+def stat_anova(spark, sf):
+    out = st.anova_oneway(_anova_frame(spark, sf), ["time_group", "label_set"], "label", "congestion")
+    return final(out.select("time_group", "label_set", "k", "n", "df1", "df2", r("f_stat").alias("f_stat")))
+
+
+@register("stat_anova_pvalue")
+def stat_anova_pvalue(spark, sf):
+    out = st.anova_oneway(_anova_frame(spark, sf), ["time_group", "label_set"], "label", "congestion", with_p=True)
+    return final(out.select("time_group", "label_set", "k", "n", "df1", "df2", r("f_stat").alias("f_stat"),
+                            r("p_value", 9).alias("p_value")))
+
+
+_BANDS_SQL = """q as (select quantile_cont(ta, 0.05) as q05, quantile_cont(ta, 0.25) as q25, quantile_cont(ta, 0.75) as q75,
+                  quantile_cont(ta, 0.95) as q95, avg(congestion) as mu from a),
+b as (select 0 as band, congestion from a, q where ta <= q05
+      union all select 1, congestion from a, q where ta > q05 and ta <= q25
+      union all select 2, congestion from a, q where ta > q25 and ta <= q75
+      union all select 3, congestion from a, q where ta > q75 and ta <= q95
+      union all select 4, congestion from a, q where ta >= q95)"""
+
+
+@register("stat_ttest_1samp", with_a(f"""
+with {_BANDS_SQL}
+select cast(band as bigint) as band, round(avg(congestion), 6) as mean, round(stddev_samp(congestion), 6) as std,
+       cast(count(congestion) as bigint) as n, round(avg(congestion) - any_value(mu), 6) as effect,
+       round((avg(congestion) - any_value(mu)) / (stddev_samp(congestion) / sqrt(count(congestion))), 6) as t,
+       case when abs(avg(congestion) - any_value(mu)) >= 2 then '큰 효과' when abs(avg(congestion) - any_value(mu)) >= 1
+            then '중간 효과' when abs(avg(congestion) - any_value(mu)) >= 0.5 then '작은 효과' else '' end as size_label
+from b, q group by band having count(congestion) >= 30"""))
+def stat_ttest_1samp(spark, sf):
+    """Temperature quantile bands: band mean vs the overall mean (n >= 30)."""
+    out = _band_ttest(analysis(spark, sf), "congestion", with_p=False)
+    return final(out.select("band", r("mean").alias("mean"), r("std").alias("std"), "n", r("effect").alias("effect"),
+                            r("t").alias("t"), "size_label"))
+
+
+def _band_ttest(df, y, with_p):
+    qs = df.agg(F.percentile("ta", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.75, 0.95)])).alias("q"),
+                F.avg(y).alias("mu")).first()
+    q05, q25, q75, q95 = [F.lit(v) for v in qs["q"]]
+    ex = df.select(F.explode(bn.quantile_band_masks("ta", q05, q25, q75, q95)).alias("band"), y)
+    return st.ttest_1samp(ex, "band", y, F.lit(qs["mu"]), with_p=with_p)
+
+
+@register("stat_ttest_1samp_pvalue")
+def stat_ttest_1samp_pvalue(spark, sf):
+    out = _band_ttest(analysis(spark, sf), "congestion", with_p=True)
+    return final(out.select("band", r("mean").alias("mean"), "n", r("t").alias("t"),
+                            r("p_value", 9).alias("p_value"), "stars", "size_label"))
+
+
+@register("stat_normality", with_a("""
+with h as (select hour, avg(congestion) as hm_y from a group by hour),
+e as (select congestion - hm_y as e from a join h using (hour)),
+m as (select avg(e) as mu from e),
+c as (select count(*) as n, avg((e - mu) * (e - mu)) as m2, avg((e - mu) * (e - mu) * (e - mu)) as m3,
+             avg((e - mu) * (e - mu) * (e - mu) * (e - mu)) as m4 from e, m)
+select cast(n as bigint) as n, round(m3 / pow(m2, 1.5), 6) as skewness, round(m4 / (m2 * m2) - 3, 6) as excess_kurtosis,
+       round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) as jb,
+       round(exp(-(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)) / 2), 9) as p_value from c"""))
+def stat_normality(spark, sf):
+    """Jarque-Bera on all hour-demeaned residuals (no 5,000-row sample)."""
+    df = analysis(spark, sf)
+    hm = F.broadcast(df.groupBy("hour").agg(F.avg("congestion").alias("hm_y")))  # 20 service hours
+    e = df.join(hm, "hour").select((F.col("congestion") - F.col("hm_y")).alias("e"))
+    out = st.normality_jb(e, "e")
+    return final(out.select("n", r("skewness").alias("skewness"), r("excess_kurtosis").alias("excess_kurtosis"),
+                            r("jb", 4).alias("jb"), r("p_value", 9).alias("p_value")))
+
+
+@register("stat_ols")
+def stat_ols(spark, sf):
+    """Least squares of congestion on the weather set from one Gram aggregate."""
+    fit = st.ols(analysis(spark, sf), "congestion", XS)
+    rows = [(n, float(c)) for n, c in zip(fit["names"], fit["coef"])] + [("r2", fit["r2"])]
+    return spark.createDataFrame(rows, "term string, value double").withColumn("value", r("value", 9))
+
+
+@register("stat_slope", with_a("""
+select station_name, round(regr_slope(congestion, ta), 6) as slope, round(regr_intercept(congestion, ta), 6) as intercept,
+       cast(regr_count(congestion, ta) as bigint) as n from a group by station_name"""))
+def stat_slope(spark, sf):
+    out = analysis(spark, sf).groupBy("station_name").agg(
+        r(F.regr_slope("congestion", "ta")).alias("slope"), r(F.regr_intercept("congestion", "ta")).alias("intercept"),
+        F.regr_count("congestion", "ta").cast("long").alias("n"))
+    return final(out)
+
+
+def _effects(spark, sf):
+    df = analysis(spark, sf)
+    return df, fx_eff.fit_hour_effects(df, "congestion", XS, "hour")
+
+
+@register("stat_fixed_effects")
+def stat_fixed_effects(spark, sf):
+    """Weather slopes net of hour fixed effects, and each hour's effect vs the first hour."""
+    _, fe = _effects(spark, sf)
+    coefs = spark.createDataFrame([(f"beta_{k}", None, v) for k, v in fe.beta.items()],
+                                  "term string, hour int, value double")
+    hours = fe.hour_table.select(F.lit("time_effect").alias("term"), "hour", F.col("time_effect").alias("value"))
+    return final(coefs.unionByName(hours).withColumn("value", r("value", 9)))
+
+
+@register("stat_effect_split")
+def stat_effect_split(spark, sf):
+    _, fe = _effects(spark, sf)
+    rows = [("r2_weather", fe.r2_weather), ("r2_time", fe.r2_time), ("r2_full", fe.r2_full),
+            ("time_share_pct", fe.time_share), ("climate_share_pct", 100 - fe.time_share if fe.r2_full else 0.0)]
+    rows = [(k, float(v)) for k, v in rows]
+    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", r("value", 9))
+
+
+@register("stat_effect_ranking")
+def stat_effect_ranking(spark, sf):
+    """Weather coefficients with a size label, and the five hours with the largest |effect|."""
+    _, fe = _effects(spark, sf)
+    coefs = spark.createDataFrame([(k, v) for k, v in fe.beta.items()], "term string, value double")
+    coefs = coefs.withColumns({"size": st.coef_size_label("value"), "hour": F.lit(None).cast("long")})
+    hours = fe.hour_table.filter(F.col("time_effect") != 0).orderBy(F.desc(F.abs("time_effect")), "hour").limit(5)
+    hours = hours.select(F.concat(F.lit("hour_"), F.col("hour").cast("string")).alias("term"),
+                         F.col("time_effect").alias("value"), F.lit(None).cast("string").alias("size"),
+                         F.col("hour").cast("long").alias("hour"))
+    return final(coefs.unionByName(hours).withColumn("value", r("value", 9)))
+
+
+@register("stat_adjust_check")
+def stat_adjust_check(spark, sf):
+    """By-hour mean before/after adjustment, spread across hours, residual moments, ANOVA of adjusted y."""
+    df, fe = _effects(spark, sf)
+    adj = fe.transform(df)
+    by_hour = adj.groupBy("hour").agg(F.avg("congestion").alias("before"), F.avg("congestion_time_adjusted").alias("after"))
+    spread = by_hour.agg(
+        (F.stddev_samp("before") / F.avg("before")).alias("cv_before"),
+        (F.stddev_samp("after") / F.avg("after")).alias("cv_after"))
+    resid = adj.withColumn("res", F.col("congestion_time_adjusted") - F.col("climate_prediction")).agg(
+        F.avg("res").alias("resid_mean"), F.stddev_samp("res").alias("resid_std"),
+        F.corr("hour", "congestion").alias("r_hour_before"), F.corr("hour", "congestion_time_adjusted").alias("r_hour_after"))
+    an = st.anova_oneway(adj.withColumn("g", F.lit(1)), ["g"], "hour", "congestion_time_adjusted").select(
+        F.col("f_stat").alias("anova_f_after"))
+    out = spread.crossJoin(resid).crossJoin(an)  # three single-row frames
+    return final(out.select(*[r(c, 6).alias(c) for c in out.columns]))
+
+
+@register("stat_corr_shift")
+def stat_corr_shift(spark, sf):
+    """r(x, y) before and after removing the hour effect, per weather variable, with p and class."""
+    df, fe = _effects(spark, sf)
+    adj = fe.transform(df)
+    long = st.unpivot(adj, ["congestion", "congestion_time_adjusted"], XS)
+    out = long.groupBy("variable").agg(F.corr("value", "congestion").alias("r_before"),
+                                       F.corr("value", "congestion_time_adjusted").alias("r_after"),
+                                       F.count("value").cast("long").alias("n"))
+    out = out.withColumn("t_after", st.corr_t("r_after", "n"))
+    out = out.withColumn("p_after", st.t_pvalue(F.col("t_after"), (F.col("n") - 2).cast("double")))
+    out = out.withColumn("effect_class", st.strength_label("r_after", "effect"))
+    return final(out.select("variable", r("r_before").alias("r_before"), r("r_after").alias("r_after"), "n",
+                            r("p_after", 9).alias("p_after"), "effect_class"))
+
+
+COLLINEAR_VARS = ["ta", "ta_chi", "ws", "hm", "si", "rn_hr1", "rn_day"]
+
+
+@register("stat_collinear", with_clean(f"""
+select var1, var2, round(r, 6) as r from ({_pair_rows(COLLINEAR_VARS, 'clean')})
+where var1 < var2 and abs(r) > 0.7"""))
+def stat_collinear(spark, sf):
+    m = st.corr_pairs(clean(spark, sf), COLLINEAR_VARS)
+    out = m.filter((F.col("var1") < F.col("var2")) & (F.abs("r") > 0.7)).select("var1", "var2", r("r").alias("r"))
+    return final(out)
+
+
+@register("stat_extreme_bands")
+def stat_extreme_bands(spark, sf):
+    """Hour-adjusted target per temperature quantile band and rain band vs the adjusted baseline."""
+    df, fe = _effects(spark, sf)
+    adj = fe.transform(df)
+    y = "congestion_time_adjusted"
+    temp = _band_ttest(adj, y, with_p=True).select(F.concat(F.lit("ta_band_"), F.col("band").cast("string")).alias("band"),
+                                                   "mean", "n", "effect", "t", "p_value")
+    mu = adj.select(F.avg(y)).scalar()
+    rain = st.ttest_1samp(adj.withColumn("rb", bn.rain_band("rn_hr1")), "rb", y, F.lit(mu), with_p=True).select(
+        F.col("rb").alias("band"), "mean", "n", "effect", "t", "p_value")
+    out = temp.unionByName(rain)
+    return final(out.select("band", r("mean").alias("mean"), "n", r("effect").alias("effect"), r("t").alias("t"),
+                            r("p_value", 9).alias("p_value")))
+
+
+@register("stat_hour_variance", with_a("""
+select cast(hour as bigint) as hour, round(var_samp(congestion), 4) as var_before, round(var_samp(congestion), 4) as var_after
+from a group by hour"""))
+def stat_hour_variance(spark, sf):
+    """Within-hour variance before and after the hour adjustment (a per-hour shift keeps it)."""
+    df, fe = _effects(spark, sf)
+    adj = fe.transform(df)
+    out = adj.groupBy("hour").agg(r(F.var_samp("congestion"), 4).alias("var_before"),
+                                  r(F.var_samp("congestion_time_adjusted"), 4).alias("var_after"))
+    return final(out)
