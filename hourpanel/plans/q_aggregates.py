@@ -446,3 +446,106 @@ def agg_describe(spark, sf):
     out = ag.describe(df, ["congestion", "ta", "hm"])
     return final(out.select("variable", "count", *[r(c).alias(c) for c in
                                                    ("mean", "std", "min", "q25", "q50", "q75", "max")]))
+
+
+# ------------------------------------------------------------------ top-k and sort
+@register("top_hours", with_clean("""
+with m as (select cast(hour as bigint) as hour, avg(congestion) as mean from clean group by hour)
+select * from (select 'high' as side, hour, round(mean, 6) as mean_congestion from m order by mean desc, hour limit 10)
+union all
+select * from (select 'low', hour, round(mean, 6) from m order by mean asc, hour limit 10)"""))
+def top_hours(spark, sf):
+    m = clean(spark, sf).groupBy("hour").agg(F.avg("congestion").alias("mean"))
+    hi = ag.top_k(m, [F.desc("mean"), F.asc("hour")], 10).select(F.lit("high").alias("side"), "hour", "mean")
+    lo = ag.top_k(m, [F.asc("mean"), F.asc("hour")], 10).select(F.lit("low").alias("side"), "hour", "mean")
+    return final(hi.unionByName(lo).select("side", "hour", r("mean").alias("mean_congestion")))
+
+
+@register("top_stations", with_clean("""
+with s as (select station_name, avg(case when rn_hr1 > 0 then congestion end) as rainy_mean,
+                  avg(case when not (rn_hr1 > 0) then congestion end) as dry_mean from clean group by station_name)
+select station_name, round(rainy_mean - dry_mean, 6) as diff, round((rainy_mean - dry_mean) / dry_mean * 100, 6) as pct
+from s order by rainy_mean - dry_mean desc, station_name limit 15"""))
+def top_stations(spark, sf):
+    """Fifteen stations with the largest rainy-minus-dry difference."""
+    s = ag.split_mean_diff(clean(spark, sf), "station_name", "congestion", F.col("rn_hr1") > 0)
+    top = ag.top_k(s, [F.desc("diff"), F.asc("station_name")], 15)
+    return final(top.select("station_name", r("diff").alias("diff"), r("pct").alias("pct")))
+
+
+_INTER_COLS = {
+    "temp_hour_interaction": "ta * hour", "rain_weekend_effect": "rn_day * cast(dayofweek >= 5 as int)",
+    "weather_composite": "ta * 0.4 + hm * 0.3 + ws * 0.2 + rn_day * 0.1",
+    "temp_humidity_product": "ta * hm", "rain_wind_product": "rn_day * ws", "discomfort_index":
+    "0.81 * ta + 0.01 * hm * (0.99 * ta - 14.3) + 46.3", "feels_like": "ta - ws * 0.5"}
+
+
+@register("top_abs_corr", with_clean(f"""
+with c as ({' union all '.join(f"select '{k}' as feature, corr({v}, congestion) as r from clean" for k, v in _INTER_COLS.items())})
+select feature, round(r, 6) as r, case when abs(r) > 0.5 then '강함' when abs(r) > 0.3 then '중간' else '약함' end as strength
+from c order by abs(r) desc, feature limit 5"""))
+def top_abs_corr(spark, sf):
+    """Five derived features most correlated (|r|) with the target, with a strength label."""
+    from ..operators import stats as st
+    df = clean(spark, sf).withColumn("is_weekend", cal.weekend_flag())
+    cols = {**ft.eda_cross_columns(), "discomfort_index": ft.discomfort_index(), "feels_like": ft.feels_like()}
+    keep = ["temp_hour_interaction", "rain_weekend_effect", "weather_composite", "temp_humidity_product",
+            "rain_wind_product", "discomfort_index", "feels_like"]
+    df = df.withColumns({k: cols[k] for k in keep})
+    long = st.unpivot(df, ["congestion"], keep, "feature")
+    rr = long.groupBy("feature").agg(F.corr("value", "congestion").alias("r"))
+    top = ag.top_k(rr, [F.desc(F.abs("r")), F.asc("feature")], 5)
+    a = F.abs("r")
+    return final(top.select("feature", r("r").alias("r"),
+                            F.when(a > 0.5, "강함").when(a > 0.3, "중간").otherwise("약함").alias("strength")))
+
+
+@register("top_per_group", with_clean(f"""
+with a as (select *, {'case ' + ' '.join(f"when hour in ({', '.join(map(str, hs))}) then '{lab}'" for hs, lab in cal.TIME_GROUPS) + ' end'} as time_group
+           from clean where hour not in (1,2,3,4)),
+c as ({' union all '.join(f"select time_group, '{v}' as variable, corr({v}, congestion) as r from a group by time_group" for v in ('ta', 'ws', 'rn_hr1', 'hm', 'si', 'ta_chi'))})
+select time_group, arg_max(variable, (abs(r), variable)) as strongest, round(max(abs(r)), 6) as abs_r
+from c where r is not null group by time_group"""))
+def top_per_group(spark, sf):
+    """Strongest weather variable (|r| with the target) per service time group."""
+    from ..operators import stats as st
+    df = clean(spark, sf).filter(~F.col("hour").isin(1, 2, 3, 4)).withColumn("time_group", cal.time_group("hour"))
+    g = st.corr_grouped(df, ["time_group"], "congestion", ["ta", "ws", "rn_hr1", "hm", "si", "ta_chi"])
+    g = g.filter(F.col("r").isNotNull())
+    out = g.groupBy("time_group").agg(F.max_by("variable", F.struct(F.abs("r"), F.col("variable"))).alias("strongest"),
+                                      r(F.max(F.abs("r"))).alias("abs_r"))
+    return final(out)
+
+
+@register("sort_multi", with_clean("""
+select station_name, tm, l_orderkey, l_linenumber, congestion from clean
+order by station_name, tm, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"""))
+def sort_multi(spark, sf):
+    """Rows ordered by station then time (range-partitioned sort; total order via the row key)."""
+    df = clean(spark, sf).orderBy("station_name", "tm", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                  "l_extendedprice")
+    return final(df.select("station_name", "tm", "l_orderkey", "l_linenumber", "congestion"))
+
+
+HIST_BINS = 30
+
+
+@register("agg_plot_data", with_clean(f"""
+with b as (select min(congestion) as lo, max(congestion) as hi from clean),
+h as (select least(cast(floor((congestion - lo) / (hi - lo) * {HIST_BINS}) as bigint), {HIST_BINS - 1}) as bin,
+             count(*) as n from clean, b group by 1),
+box as (select quantile_cont(congestion, 0.25) as q1, quantile_cont(congestion, 0.5) as q2,
+               quantile_cont(congestion, 0.75) as q3 from clean)
+select 'hist' as kind, bin, cast(n as bigint) as n, round(lo + (hi - lo) * bin / {HIST_BINS}, 6) as x from h, b
+union all select 'box_q1', null, null, round(q1, 6) from box
+union all select 'box_median', null, null, round(q2, 6) from box
+union all select 'box_q3', null, null, round(q3, 6) from box"""))
+def agg_plot_data(spark, sf):
+    """Data behind the charts: 30-bin histogram of the target and its box statistics."""
+    from ..operators import plotdata as pdat
+    df = clean(spark, sf)
+    hist = pdat.histogram(df, "congestion", HIST_BINS).select(F.lit("hist").alias("kind"), "bin", "n",
+                                                                  r("x_left").alias("x"))
+    box = pdat.box_stats(df, "congestion")
+    return final(hist.unionByName(box.select("kind", F.lit(None).cast("long").alias("bin"),
+                                             F.lit(None).cast("long").alias("n"), r("x").alias("x"))))
