@@ -536,16 +536,19 @@ h as (select least(cast(floor((congestion - lo) / (hi - lo) * {HIST_BINS}) as bi
              count(*) as n from clean, b group by 1),
 box as (select quantile_cont(congestion, 0.25) as q1, quantile_cont(congestion, 0.5) as q2,
                quantile_cont(congestion, 0.75) as q3 from clean)
-select 'hist' as kind, bin, cast(n as bigint) as n, round(lo + (hi - lo) * bin / {HIST_BINS}, 6) as x from h, b
-union all select 'box_q1', null, null, round(q1, 6) from box
-union all select 'box_median', null, null, round(q2, 6) from box
-union all select 'box_q3', null, null, round(q3, 6) from box"""))
+select 'hist' as kind, cast(bin as double) as bin, cast(n as double) as n, round(lo + (hi - lo) * bin / {HIST_BINS}, 6) as x
+from h, b
+union all select 'box_q1', cast(null as double), cast(null as double), round(q1, 6) from box
+union all select 'box_median', cast(null as double), cast(null as double), round(q2, 6) from box
+union all select 'box_q3', cast(null as double), cast(null as double), round(q3, 6) from box"""))
 def agg_plot_data(spark, sf):
     """Data behind the charts: 30-bin histogram of the target and its box statistics."""
     from ..operators import plotdata as pdat
     df = clean(spark, sf)
-    hist = pdat.histogram(df, "congestion", HIST_BINS).select(F.lit("hist").alias("kind"), "bin", "n",
-                                                                  r("x_left").alias("x"))
+    hist = pdat.histogram(df, "congestion", HIST_BINS).select(
+        F.lit("hist").alias("kind"), F.col("bin").cast("double").alias("bin"), F.col("n").cast("double").alias("n"),
+        r("x_left").alias("x"))
     box = pdat.box_stats(df, "congestion")
-    return final(hist.unionByName(box.select("kind", F.lit(None).cast("long").alias("bin"),
-                                             F.lit(None).cast("long").alias("n"), r("x").alias("x"))))
+    # bin / n are doubles so the box rows can carry NULL without a nullable-integer column
+    return final(hist.unionByName(box.select("kind", F.lit(None).cast("double").alias("bin"),
+                                             F.lit(None).cast("double").alias("n"), r("x").alias("x"))))

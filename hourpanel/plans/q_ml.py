@@ -1,3 +1,419 @@
-"""Registered queries."""
+"""Registered prediction and evaluation queries.
+
+Model fits are Spark ML estimators (rows-only checks).  Evaluation operators
+are model-agnostic; their oracle-checked queries score a deterministic
+baseline predictor (train-period hour x weekday mean) so SQL can recompute
+them exactly.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import calendar as cal
+from ..operators import evaluate as ev
+from ..operators import plotdata as pdat
+from ..operators import select as sel
+from ..sources import fixtures as fx
+from . import ml
+from .common import clean, final, r, with_clean
+from .registry import register
+
+KEY = fx.ROW_KEY
+KEY_SQL = ", ".join(KEY)
+SPLIT_TM = 2000000000
+BASE_FEATURES = ["hour", "dayofweek", "month", "is_weekend", "season", "is_rush_hour", "hour_sin", "hour_cos",
+                 "day_sin", "day_cos", "month_sin", "month_cos", "ta", "ws", "rn_hr1", "hm", "direction_encoded",
+                 "is_holiday"]
+
+
+def model_frame(spark, sf):
+    """Cleaned panel, rows complete in the basic weather set, with model features."""
+    df = sel.complete_rows(clean(spark, sf), sel.SET_BASIC)
+    df = df.withColumns({"is_weekend": cal.weekend_flag(), "season": cal.season("month", "code_0_3"),
+                         "is_rush_hour": cal.rush_flag("hour", "model"),
+                         "direction_encoded": (F.col("direction") == "O").cast("int"),
+                         "is_holiday": cal.holiday_flag("date", recurring=True),
+                         "time_period": cal.time_period("hour")})
+    df = df.withColumns(cal.commute_flags())
+    return cal.cyclic_features(df)
+
+
+def parts(spark, sf):
+    df = model_frame(spark, sf)
+    return df.filter(F.col("tm") < SPLIT_TM), df.filter(F.col("tm") >= SPLIT_TM)
+
+
+def baseline_predictions(spark, sf):
+    """Test rows with the train-period hour x weekday mean as the prediction."""
+    tr, te = parts(spark, sf)
+    overall = tr.select(F.avg("congestion")).scalar()
+    means = F.broadcast(tr.groupBy("hour", "dayofweek").agg(F.avg("congestion").alias("pred0")))  # <= 168 rows
+    out = te.join(means, ["hour", "dayofweek"], "left")
+    return out.withColumn("prediction", F.coalesce(F.col("pred0"), F.lit(overall))).drop("pred0")
+
+
+SQL_MODEL = f"""m as (select * from clean where ta is not null and ws is not null and rn_hr1 is not null and hm is not null),
+tr as (select * from m where tm < {SPLIT_TM}), te as (select * from m where tm >= {SPLIT_TM}),
+bm as (select hour, dayofweek, avg(congestion) as pred0 from tr group by all),
+p as (select te.*, coalesce(bm.pred0, (select avg(congestion) from tr)) as prediction
+      from te left join bm using (hour, dayofweek))"""
+
+
+def with_p(body: str) -> str:
+    b = body.strip()
+    if b.lower().startswith("with "):
+        return with_clean(f"with {SQL_MODEL}, {b[5:]}")
+    return with_clean(f"with {SQL_MODEL} {b}")
+
+
+# --------------------------------------------------------------------------- splits, encoding, scaling
+@register("ml_random_split")
+def ml_random_split(spark, sf):
+    """80/20 split by a seeded hash of the row key (reproducible under any partitioning)."""
+    df = ml.hash_split(model_frame(spark, sf), KEY, 0.8, 42)
+    return final(df.groupBy("part").agg(F.count(F.lit(1)).cast("long").alias("n"),
+                                        r(F.avg("congestion")).alias("mean_y")))
+
+
+@register("ml_year_split", with_clean("""
+select cast(year as bigint) as year, case when year <= 1996 then 'train' else 'test' end as part,
+       cast(count(*) as bigint) as n from clean where year in (1995, 1996, 1997) group by all"""))
+def ml_year_split(spark, sf):
+    """Train on years 1995-1996, test on 1997 (year filters prune at the scan)."""
+    df = clean(spark, sf)
+    tr, te = ml.year_split(df, "year", [1995, 1996], [1997])
+    out = tr.withColumn("part", F.lit("train")).unionByName(te.withColumn("part", F.lit("test")))
+    return final(out.groupBy("year", "part").agg(F.count(F.lit(1)).cast("long").alias("n")))
+
+
+@register("ml_scale", with_p(f"""
+with s as (select avg(ta) as m_ta, stddev_samp(ta) as s_ta, avg(hm) as m_hm, stddev_samp(hm) as s_hm from tr)
+select {KEY_SQL}, round((ta - m_ta) / s_ta, 6) as ta_scaled, round((hm - m_hm) / s_hm, 6) as hm_scaled,
+       round(((ta - m_ta) / s_ta) * s_ta + m_ta, 6) as ta_original from te, s"""))
+def ml_scale(spark, sf):
+    """Standardize with train statistics, apply to test, and invert."""
+    tr, te = parts(spark, sf)
+    _, te_s, stats = ml.standardize(tr, ["ta", "hm"], te)
+    te_s = ml.unstandardize(te_s, {"ta": stats["ta"]})
+    return final(te_s.select(*KEY, r("ta_scaled").alias("ta_scaled"), r("hm_scaled").alias("hm_scaled"),
+                             r("ta_original").alias("ta_original")))
+
+
+_TP_SQL = "case " + " ".join(f"when hour in ({', '.join(map(str, hs))}) then '{lab}'" for hs, lab in cal.TIME_PERIODS) \
+    + f" else '{cal.TIME_PERIOD_DEFAULT}' end"
+
+
+@register("ml_label_encode", with_p(f"""
+with trl as (select distinct station_name from tr), tpl as (select distinct {_TP_SQL} as tp from tr),
+sc as (select station_name, cast(row_number() over (order by station_name) - 1 as double) as station_code from trl),
+tc as (select tp, cast(row_number() over (order by tp) - 1 as double) as period_code from tpl)
+select {KEY_SQL}, coalesce(sc.station_code, (select count(*) from trl)) as station_name_encoded,
+       coalesce(tc.period_code, (select count(*) from tpl)) as time_period_encoded
+from te left join sc using (station_name) left join tc on tc.tp = {_TP_SQL}"""))
+def ml_label_encode(spark, sf):
+    """Alphabetical codes fitted on train, applied to test (unseen -> extra code)."""
+    tr, te = parts(spark, sf)
+    _, te_e, _ = ml.label_encode(tr, ["station_name", "time_period"], te)
+    return final(te_e.select(*KEY, "station_name_encoded", "time_period_encoded"))
+
+
+_TC = cal.TIME_CATEGORY_LABELS
+
+
+@register("ml_one_hot", with_clean(f"""
+with t as (select {KEY_SQL}, case when hour > -1 and hour <= 6 then '{_TC[0]}' when hour > 6 and hour <= 9 then '{_TC[1]}'
+             when hour > 9 and hour <= 16 then '{_TC[2]}' when hour > 16 and hour <= 19 then '{_TC[3]}'
+             when hour > 19 and hour <= 23 then '{_TC[4]}' end as tc from clean),
+codes as (select tc, row_number() over (order by tc) - 1 as code from (select distinct tc from t))
+select {KEY_SQL}, {', '.join(f'cast(code = {i} as double) as ohe_{i}' for i in range(5))} from t join codes using (tc)"""))
+def ml_one_hot(spark, sf):
+    """Time category indexed alphabetically, then one-hot (all levels kept)."""
+    from pyspark.ml.functions import vector_to_array
+    df = clean(spark, sf).withColumn("tc", cal.time_category("hour"))
+    idx = ml.StringIndexer(inputCol="tc", outputCol="tc_idx", stringOrderType="alphabetAsc").fit(df).transform(df)
+    oh = ml.one_hot(idx, "tc_idx").withColumn("__a", vector_to_array("tc_idx_ohe"))
+    return final(oh.select(*KEY, *[F.col("__a")[i].alias(f"ohe_{i}") for i in range(5)]))
+
+
+# --------------------------------------------------------------------------- weights
+@register("ml_weights", with_p(f"""
+with q as (select quantile_cont(congestion, 0.8) as q80 from tr),
+w as (select {KEY_SQL}, cast(dayofweek >= 5 as int) as we, (hour between 8 and 9) or (hour between 18 and 19) as peak,
+             congestion > q80 as high from tr, q)
+select {KEY_SQL}, round(case when peak then 2.0 when we = 1 then 3.0 else 1.0 end
+                        * case when high then 1.8 else 1.0 end * case when we = 1 and high then 2.0 else 1.0 end, 6)
+                  as weight from w"""))
+def ml_weights(spark, sf):
+    tr, _ = parts(spark, sf)
+    w = ml.sample_weights(tr, "congestion", ml.high_threshold(tr, "congestion"))
+    return final(w.select(*KEY, r("weight").alias("weight")))
+
+
+# --------------------------------------------------------------------------- models
+def _fit_eval(spark, sf, kind, params=None, weight=False, features=BASE_FEATURES):
+    tr, te = parts(spark, sf)
+    if weight:
+        tr = ml.sample_weights(tr, "congestion", ml.high_threshold(tr, "congestion"))
+    model = ml.fit_model(tr, features, "congestion", kind, params, "weight" if weight else None)
+    return model, ml.evaluate(model, te, "congestion")
+
+
+def _metrics_frame(spark, rows):
+    return spark.createDataFrame([(k, float(m["mae"]), float(m["rmse"]), float(m["r2"]), int(m["n"])) for k, m in rows],
+                                 "model string, mae double, rmse double, r2 double, n long")
+
+
+@register("ml_linear")
+def ml_linear(spark, sf):
+    _, m = _fit_eval(spark, sf, "linear")
+    return _metrics_frame(spark, [("linear", m)])
+
+
+@register("ml_forest")
+def ml_forest(spark, sf):
+    _, m = _fit_eval(spark, sf, "forest")
+    return _metrics_frame(spark, [("forest", m)])
+
+
+BOOST_QUERY = {"maxIter": 40, "maxDepth": 6}
+
+
+@register("ml_boost")
+def ml_boost(spark, sf):
+    """Gradient boosting, weighted rows (iterations reduced for the registered run)."""
+    _, m = _fit_eval(spark, sf, "boost", BOOST_QUERY, weight=True)
+    return _metrics_frame(spark, [("boost_weighted", m)])
+
+
+@register("ml_grid")
+def ml_grid(spark, sf):
+    """Grid search with k-fold CrossValidator (a 2 x 2 grid, 3 folds for the registered run)."""
+    tr, _ = parts(spark, sf)
+    cvm = ml.grid_search(tr, BASE_FEATURES, "congestion", {"maxIter": [20], "maxDepth": [3, 5], "stepSize": [0.1, 0.3]},
+                         folds=3)
+    rows = [(str({p.name: v for p, v in pm.items()}), float(s)) for pm, s in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
+    return spark.createDataFrame(rows, "params string, cv_rmse double")
+
+
+@register("ml_search")
+def ml_search(spark, sf):
+    """Seeded random search (3 trials, iterations scaled 1/50) scored by expanding-window CV."""
+    tr, _ = parts(spark, sf)
+    res = ml.random_search(tr, BASE_FEATURES, "congestion", "tm", 3, scale={"maxIter": 0.02})
+    return spark.createDataFrame([(x["trial"], x["maxIter"], x["maxDepth"], float(x["cv_mae"])) for x in res],
+                                 "trial int, maxIter string, maxDepth string, cv_mae double")
+
+
+@register("ml_ts_cv")
+def ml_ts_cv(spark, sf):
+    """Three expanding-window folds cut on the distinct stamps (linear model)."""
+    tr, _ = parts(spark, sf)
+    res = ml.ts_cv(tr, BASE_FEATURES, "congestion", "tm", "linear")
+    return spark.createDataFrame([(x["fold"], float(x["mae"]), float(x["rmse"]), float(x["r2"]), int(x["n"])) for x in res],
+                                 "fold int, mae double, rmse double, r2 double, n long")
+
+
+VAR_FEATURES = ["hour", "dayofweek", "is_weekend", "hour_sin", "ta", "ws", "rn_hr1", "hm", "is_rush_hour"]
+_VAR_SQL = {"is_weekend": "cast(dayofweek >= 5 as int)", "hour_sin": "sin(2 * pi() * hour / 24)",
+            "is_rush_hour": "cast(hour in (7, 8, 9, 18, 19, 20) as int)"}
+
+
+@register("ml_variance_select", with_p(" union all ".join(
+    f"select '{c}' as feature from tr having var_samp({_VAR_SQL.get(c, c)}) > 0.01" for c in VAR_FEATURES)))
+def ml_variance_select(spark, sf):
+    tr, _ = parts(spark, sf)
+    kept = ml.variance_select(tr, VAR_FEATURES)
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
+@register("ml_importance_select")
+def ml_importance_select(spark, sf):
+    tr, _ = parts(spark, sf)
+    kept = ml.importance_select(tr, BASE_FEATURES, "congestion")
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
+@register("ml_importance")
+def ml_importance(spark, sf):
+    """Top-15 forest importances with their feature family."""
+    tr, _ = parts(spark, sf)
+    model = ml.fit_model(tr, BASE_FEATURES, "congestion", "forest")
+    imp = ml.importances(model, BASE_FEATURES)[:15]
+    return spark.createDataFrame([(f, v, ml.importance_family(f)) for f, v in imp], "feature string, importance double, family string")
+
+
+@register("ml_importance_family")
+def ml_importance_family(spark, sf):
+    tr, _ = parts(spark, sf)
+    model = ml.fit_model(tr, BASE_FEATURES, "congestion", "forest")
+    imp = spark.createDataFrame(ml.importances(model, BASE_FEATURES), "feature string, importance double")
+    return imp.groupBy(ml.family_expr(F.col("feature")).alias("family")).agg(F.sum("importance").alias("importance"))
+
+
+@register("ml_time_residual")
+def ml_time_residual(spark, sf):
+    """Forest on nine time features; variance of the target removed by it."""
+    tr, te = parts(spark, sf)
+    tr2, te2, _ = ml.time_residual(tr, te, "congestion")
+    out = tr2.select(F.lit("train").alias("part"), "congestion", "residual").unionByName(
+        te2.select(F.lit("test").alias("part"), "congestion", "residual"))
+    return out.groupBy("part").agg(
+        ((1 - F.var_samp("residual") / F.var_samp("congestion")) * 100).alias("variance_removed_pct"),
+        F.count(F.lit(1)).cast("long").alias("n"))
+
+
+@register("ml_target_swap")
+def ml_target_swap(spark, sf):
+    """Weather-only model trained on the time residual instead of the raw target."""
+    tr, te = parts(spark, sf)
+    tr2, te2, _ = ml.time_residual(tr, te, "congestion")
+    feats = ["ta", "ws", "rn_hr1", "hm", "is_holiday", "is_weekend"]
+    model = ml.fit_model(tr2, feats, "residual", "forest", {"numTrees": 40})
+    return _metrics_frame(spark, [("forest_on_residual", ml.evaluate(model, te2, "residual"))])
+
+
+@register("ml_lag_model")
+def ml_lag_model(spark, sf):
+    """Models with and without lags 1-3 and the hour x weekday mean; compare RMSE / R^2."""
+    from ..operators import joins as jn
+    from ..operators import series as se
+    df = model_frame(spark, sf)
+    df = se.sequence_index(df, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000))
+    df = se.add_lags(df, ["station_name"], "pos", ["congestion"], [1, 2, 3], block_rows=100_000)
+    df = jn.join_group_mean(df, ["hour", "dayofweek"], "congestion", bound_rows=168)
+    df = se.drop_warmup(df, ["congestion_lag_1", "congestion_lag_2", "congestion_lag_3"])
+    tr, te = df.filter(F.col("tm") < SPLIT_TM), df.filter(F.col("tm") >= SPLIT_TM)
+    lag_feats = BASE_FEATURES + ["congestion_lag_1", "congestion_lag_2", "congestion_lag_3", "congestion_hour_day_avg"]
+    rows = []
+    for name, feats in [("linear_base", BASE_FEATURES), ("linear_lags", lag_feats)]:
+        model = ml.fit_model(tr, feats, "congestion", "linear")
+        rows.append((name, ml.evaluate(model, te, "congestion")))
+    return _metrics_frame(spark, rows)
+
+
+# --------------------------------------------------------------------------- metrics and evaluation (oracle-checked)
+_MET_SQL = """round(avg(abs(prediction - congestion)), 6) as mae, round(sqrt(avg((prediction - congestion) * (prediction - congestion))), 6) as rmse,
+       round(1 - sum((prediction - congestion) * (prediction - congestion))
+             / (sum(congestion * congestion) - sum(congestion) * sum(congestion) / count(congestion)), 6) as r2,
+       cast(count(congestion) as bigint) as n"""
+
+
+@register("ml_metrics", with_p(f"select {_MET_SQL} from p"))
+def ml_metrics(spark, sf):
+    out = ev.metrics(baseline_predictions(spark, sf), "congestion", "prediction")
+    return final(out.select(r("mae").alias("mae"), r("rmse").alias("rmse"), r("r2").alias("r2"), "n"))
+
+
+@register("ml_best", with_p(f"""
+with allp as (select 'hour_weekday_mean' as model, congestion, prediction from p
+              union all select 'overall_mean', congestion, (select avg(congestion) from tr) from p),
+mm as (select model, avg(abs(prediction - congestion)) as mae, sqrt(avg((prediction - congestion) * (prediction - congestion))) as rmse,
+              1 - sum((prediction - congestion) * (prediction - congestion))
+                  / (sum(congestion * congestion) - sum(congestion) * sum(congestion) / count(congestion)) as r2
+       from allp group by model),
+b as (select * from mm order by mae, model limit 1)
+select model, round(mae, 6) as mae, round(rmse, 6) as rmse, round(r2, 6) as r2,
+       case when r2 > 0.8 then 'good' when r2 > 0.6 then 'fair' else 'poor' end as grade,
+       cast(r2 < 0.7 as bigint) as needs_work from b"""))
+def ml_best(spark, sf):
+    """Pick the candidate with the lowest MAE and grade it by R^2."""
+    p = baseline_predictions(spark, sf)
+    tr, _ = parts(spark, sf)
+    overall = tr.select(F.avg("congestion")).scalar()
+    cands = p.select(F.lit("hour_weekday_mean").alias("model"), "congestion", "prediction").unionByName(
+        p.select(F.lit("overall_mean").alias("model"), "congestion", F.lit(overall).alias("prediction")))
+    m = ev.metrics(cands, "congestion", "prediction", by=["model"]).drop("n")
+    best = ev.best_model(m)
+    return final(best.select("model", r("mae").alias("mae"), r("rmse").alias("rmse"), r("r2").alias("r2"), "grade",
+                             "needs_work"))
+
+
+@register("eval_hourly_error", with_p("""
+select cast(hour as bigint) as hour, round(avg(abs(prediction - congestion)), 6) as mae, cast(count(*) as bigint) as n
+from p group by hour"""))
+def eval_hourly_error(spark, sf):
+    out = ev.hourly_error(baseline_predictions(spark, sf), "congestion", "prediction")
+    return final(out.withColumn("mae", r("mae")))
+
+
+@register("eval_actual_vs_pred", with_p("""
+select cast(hour as bigint) as hour, cast(dayofweek >= 5 as bigint) as is_weekend,
+       round(avg(congestion), 6) as actual_mean, round(avg(prediction), 6) as pred_mean,
+       round(stddev_samp(congestion), 6) as actual_std, round(stddev_samp(prediction), 6) as pred_std,
+       cast(count(*) as bigint) as n from p group by all"""))
+def eval_actual_vs_pred(spark, sf):
+    d = baseline_predictions(spark, sf)
+    out = ev.actual_vs_pred(d, "congestion", "prediction", ["hour", "is_weekend"])
+    return final(out.select("hour", "is_weekend", *[r(c).alias(c) for c in
+                                                    ("actual_mean", "pred_mean", "actual_std", "pred_std")], "n"))
+
+
+@register("eval_bias", with_p("""
+select 'all' as subset, cast(hour as bigint) as hour, round(avg(prediction - congestion), 6) as bias,
+       cast(count(*) as bigint) as n from p group by hour
+union all
+select 'weekend_8plus', cast(hour as bigint), round(avg(prediction - congestion), 6), cast(count(*) as bigint)
+from p where dayofweek >= 5 and hour >= 8 group by hour"""))
+def eval_bias(spark, sf):
+    d = baseline_predictions(spark, sf)
+    a = ev.bias_by(d, "congestion", "prediction", ["hour"]).select(F.lit("all").alias("subset"), "*")
+    w = ev.bias_by(d, "congestion", "prediction", ["hour"], (F.col("dayofweek") >= 5) & (F.col("hour") >= 8))
+    w = w.select(F.lit("weekend_8plus").alias("subset"), "*")
+    return final(a.unionByName(w).withColumn("bias", r("bias")))
+
+
+@register("eval_daily_direction", with_p("""
+select 'date_hour' as level, strftime(date, '%Y-%m-%d') as period, direction, cast(hour as bigint) as hour,
+       round(avg(congestion), 6) as actual_mean, round(avg(prediction), 6) as pred_mean from p group by all
+union all
+select 'month', strftime(date, '%Y-%m'), direction, cast(-1 as bigint), round(avg(congestion), 6), round(avg(prediction), 6)
+from p group by all"""))
+def eval_daily_direction(spark, sf):
+    """Hourly means per date x direction and daily-level means per month x direction."""
+    d = baseline_predictions(spark, sf)
+    a = d.groupBy(F.date_format("date", "yyyy-MM-dd").alias("period"), "direction", "hour").agg(
+        F.avg("congestion").alias("actual_mean"), F.avg("prediction").alias("pred_mean"))
+    a = a.select(F.lit("date_hour").alias("level"), "*")
+    m = d.groupBy(F.date_format("date", "yyyy-MM").alias("period"), "direction").agg(
+        F.avg("congestion").alias("actual_mean"), F.avg("prediction").alias("pred_mean"))
+    m = m.select(F.lit("month").alias("level"), "period", "direction", F.lit(-1).alias("hour"), "actual_mean", "pred_mean")
+    out = a.unionByName(m)
+    return final(out.withColumns({"actual_mean": r("actual_mean"), "pred_mean": r("pred_mean")}))
+
+
+@register("eval_peak_error", with_p("""
+select round(avg(case when (hour between 8 and 9) or (hour between 18 and 19) then abs(prediction - congestion) end), 6) as peak_mae,
+       round(avg(case when not ((hour between 8 and 9) or (hour between 18 and 19)) then abs(prediction - congestion) end), 6) as non_peak_mae,
+       round(avg(case when dayofweek >= 5 then abs(prediction - congestion) end), 6) as weekend_mae,
+       round(avg(case when not (dayofweek >= 5) then abs(prediction - congestion) end), 6) as non_weekend_mae from p"""))
+def eval_peak_error(spark, sf):
+    d = baseline_predictions(spark, sf)
+    out = ev.conditional_error(d, "congestion", "prediction",
+                               {"peak": F.col("is_peak_time") == 1, "weekend": F.col("is_weekend") == 1})
+    return final(out.select(*[r(c).alias(c) for c in out.columns]))
+
+
+@register("eval_residuals", with_p("""
+with e as (select congestion - prediction as residual from p),
+b as (select min(residual) as lo, max(residual) as hi from e),
+h as (select least(cast(floor((residual - lo) / (hi - lo) * 30) as bigint), 29) as bin, count(*) as n from e, b group by 1)
+select 'hist' as kind, cast(bin as double) as bin, cast(n as double) as value from h
+union all select 'mean', cast(null as double), round(avg(residual), 6) from e
+union all select 'std', cast(null as double), round(stddev_samp(residual), 6) from e"""))
+def eval_residuals(spark, sf):
+    d = baseline_predictions(spark, sf)
+    stats, hist = ev.residual_summary(d, "congestion", "prediction")
+    h = hist.select(F.lit("hist").alias("kind"), F.col("bin").cast("double").alias("bin"), F.col("n").cast("double").alias("value"))
+    s = stats.select(F.inline(F.array(F.struct(F.lit("mean").alias("kind"), F.lit(None).cast("double").alias("bin"),
+                                               r("mean").alias("value")),
+                                      F.struct(F.lit("std").alias("kind"), F.lit(None).cast("double").alias("bin"),
+                                               r("std").alias("value")))))
+    return final(h.unionByName(s))
+
+
+@register("eval_scatter_sample")
+def eval_scatter_sample(spark, sf):
+    """Bounded seeded sample of (actual, predicted) pairs for a scatter chart (sampling is the feature)."""
+    d = baseline_predictions(spark, sf).select("congestion", "prediction")
+    return pdat.seeded_sample(d, 5000, 42)
