@@ -1,3 +1,104 @@
-"""Registered queries."""
+"""Registered source and sink queries.
+
+Inputs are the driver tables; file round trips write a panel derived from
+them into a fresh folder under ``spark.checkpoint.dir`` and read it back.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import calendar as cal
+from ..sources import panel_io as pio
+from . import ml
+from .common import final, r, wide, with_clean, with_panel
+from .q_ml import SQL_MODEL, baseline_predictions, parts
+from .registry import register
+
+COLS = [f.name for f in pio.PANEL_SCHEMA.fields]
+COLS_SQL = ", ".join(COLS)
+
+
+@register("src_csv", with_panel(f"select {COLS_SQL} from panel"))
+def src_csv(spark, sf):
+    """Panel written as header CSV and read back under the fixed schema."""
+    path = pio.write_panel_csv(wide(spark, sf), pio.io_dir(spark, "src_csv"))
+    return final(pio.read_panel(spark, path))
+
+
+def _write_years(spark, sf, years, prefix: bool):
+    base = pio.io_dir(spark, "years")
+    df = wide(spark, sf)
+    for y in years:
+        part = df.filter(F.floor(F.col("tm") / 1000000) == y)
+        pio.write_panel_csv(part, f"{base}/{pio.FILE_PATTERN.format(yy=y % 100)}",
+                            pio.PREFIX_PATTERN.format(yy=y % 100) if prefix else None)
+    return base
+
+
+@register("src_multi_year", with_panel(f"""
+select {COLS_SQL}, cast(tm // 1000000 as integer) as year from panel where tm // 1000000 in (1995, 1996)"""))
+def src_multi_year(spark, sf):
+    """Per-year files stacked in one read; the year comes from the file name."""
+    base = _write_years(spark, sf, [1995, 1996], prefix=False)
+    return pio.read_years(spark, base, [1995, 1996])
+
+
+@register("src_strip_prefix", with_panel(f"""
+select {COLS_SQL}, 1995 as year from panel where tm // 1000000 = 1995
+union all select {COLS_SQL}, 1996 from panel where tm // 1000000 = 1996"""))
+def src_strip_prefix(spark, sf):
+    """Year files whose headers carry a ``train_subwayYY.`` prefix; names stripped on read."""
+    base = _write_years(spark, sf, [1995, 1996], prefix=True)
+    return pio.read_years(spark, base, [1995, 1996], with_prefix=True)
+
+
+_PROFILE_TYPES = [("station_name", "string"), ("direction", "string"), ("tm", "bigint"), ("ta", "double"),
+                  ("wd", "double"), ("ws", "double"), ("rn_day", "double"), ("rn_hr1", "double"), ("hm", "double"),
+                  ("si", "double"), ("ta_chi", "double"), ("congestion", "double"), ("l_orderkey", "bigint"),
+                  ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+                  ("l_extendedprice", "double")]
+
+
+@register("src_profile", with_panel(" union all ".join(
+    f"select '{c}' as column, '{t}' as type, cast(count_if({c} is null) as bigint) as nulls, "
+    f"cast(count(*) as bigint) as rows from panel" for c, t in _PROFILE_TYPES)))
+def src_profile(spark, sf):
+    return pio.profile(wide(spark, sf))
+
+
+SINK_SQL = with_clean(f"""with {SQL_MODEL}
+select strftime(datetime, '%Y%m%d%H%M') as tm, congestion as congestion1, round(prediction, 6) as congestion2,
+       direction, cast(direction = 'O' as integer) as direction_encoded,
+       cast(strftime(date, '%m-%d') in ({', '.join(f"'{m}'" for m in cal.recurring_month_days())}) as integer) as is_holiday,
+       cast(hour between 7 and 9 and direction = 'O' as integer) as is_morning_outer,
+       cast(hour between 17 and 19 and direction = 'F' as integer) as is_evening_inner
+from p""")
+
+
+@register("sink_predictions", SINK_SQL)
+def sink_predictions(spark, sf):
+    """Prediction file (stamp, actual, predicted, direction, flags) written as CSV and read back."""
+    p = baseline_predictions(spark, sf)
+    out = p.select(cal.format_stamp("datetime").alias("tm"), F.col("congestion").alias("congestion1"),
+                   r("prediction").alias("congestion2"), "direction", "direction_encoded", "is_holiday",
+                   *[c.alias(n) for n, c in cal.direction_cross(up="O", down="F").items()])
+    path = pio.write_predictions(out, pio.io_dir(spark, "predictions"))
+    schema = ("tm string, congestion1 double, congestion2 double, direction string, direction_encoded int, "
+              "is_holiday int, is_morning_outer int, is_evening_inner int")
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@register("sink_model")
+def sink_model(spark, sf):
+    """Fit, save the model bundle (model + metrics), reload through a fallback path list, re-score."""
+    tr, te = parts(spark, sf)
+    feats = ["hour", "dayofweek", "ta", "ws", "rn_hr1", "hm", "is_weekend"]
+    model = ml.fit_model(tr, feats, "congestion", "linear")
+    m = ml.evaluate(model, te, "congestion")
+    base = pio.io_dir(spark, "bundle")
+    metrics = spark.createDataFrame([(float(m["mae"]), float(m["rmse"]), float(m["r2"]))], "mae double, rmse double, r2 double")
+    ml.save_bundle(model, base, metrics)
+    loaded, saved_metrics = ml.load_bundle(spark, [f"{base}-missing", base])
+    again = ml.evaluate(loaded, te, "congestion")
+    return saved_metrics.withColumn("reloaded_mae", F.lit(float(again["mae"])))
