@@ -176,3 +176,22 @@ def win_decompose(spark, sf):
     out = se.decompose_additive(df, ["station_name"], "pos", "n_rows", "congestion", 24, block_rows=BLOCK_ROWS)
     return final(out.select("station_name", "ts_hour", r("trend").alias("trend"), r("seasonal").alias("seasonal"),
                             r("residual").alias("residual")))
+
+
+@register("impute_chain")
+def impute_chain(spark, sf):
+    """Whole feature chain fitted on the train period, applied to the test period;
+    returns the per-column missing counts of the result (all zero)."""
+    from ..sources import panel_io as pio
+    from .feature_chain import FeatureChain
+    df = cal_panel(spark, sf)
+    tr, te = df.filter(F.col("tm") < 2000000000), df.filter(F.col("tm") >= 2000000000)
+    chain = FeatureChain(series_keys=["station_name"], order=KEY, block_rows=BLOCK_ROWS,
+                         exclude=["tm", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"])
+    model = chain.fit(tr)
+    return pio.profile(model.transform(te))
+
+
+def cal_panel(spark, sf):
+    from ..functions import calendar as cal
+    return cal.with_calendar(fx.panel_wide(spark, sf))
