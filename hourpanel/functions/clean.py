@@ -64,8 +64,30 @@ def null_out_of_range(df: DataFrame, ranges: Mapping[str, tuple[float | None, fl
 def clean_weather(df: DataFrame, cols: Sequence[str] = WEATHER_COLUMNS,
                   sentinels: Sequence[float] = SENTINELS_ALL,
                   ranges: Mapping[str, tuple] = VALID_RANGES) -> DataFrame:
-    """Sentinels first, then range gates (the order used before feature work)."""
-    return null_out_of_range(null_sentinels(df, cols, sentinels), ranges)
+    """Sentinels (and NaN) and out-of-range values -> NULL, in one expression per column.
+
+    Same result as ``null_sentinels`` followed by ``null_out_of_range``, but a
+    single CASE level: when a later filter (e.g. ``dropna``) is pushed below
+    this projection, the optimizer inlines the expression, and nested levels
+    would multiply the copies of the input expression and fall out of
+    whole-stage codegen.
+    """
+    out = {}
+    for c in list(dict.fromkeys([*cols, *ranges])):
+        if c not in df.columns:
+            continue
+        x = F.col(c)
+        bad = F.lit(False)
+        if c in cols:
+            bad = bad | x.isin([float(v) for v in sentinels]) | F.isnan(x)
+        if c in ranges:
+            lo, hi = ranges[c]
+            if lo is not None:
+                bad = bad | (x < F.lit(float(lo)))
+            if hi is not None:
+                bad = bad | (x > F.lit(float(hi)))
+        out[c] = F.when(~bad, x)
+    return df.withColumns(out)
 
 
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool = True) -> dict[str, tuple[float, float]]:

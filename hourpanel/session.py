@@ -22,6 +22,10 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "false",
+    # The JVM does not JIT-compile methods above 8000 bytes of bytecode; a
+    # whole-stage-codegen method between 8000 and Spark's default 65535 runs
+    # interpreted and is several times slower than falling back.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -26,7 +26,31 @@ PANEL_COLUMNS = ["station_name", "direction", "tm"] + WEATHER + ["congestion"] +
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read a driver table.
+
+    A single file smaller than one split (``spark.sql.files.maxPartitionBytes``)
+    is read by one task, so every projection of the scan stage would run on
+    one core; such a file is spread round-robin once.  Inputs made of many
+    files or larger than a split already scan in parallel and are left
+    untouched (no extra shuffle at scale).
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if _single_small_file(spark, path):
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
+def _single_small_file(spark: SparkSession, path: str, min_bytes: int = 4 << 20) -> bool:
+    import os
+    if not os.path.isfile(path):  # a directory / remote store: many splits, leave it
+        return False
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
+    try:
+        split_bytes = int(split)
+    except ValueError:
+        split_bytes = 128 << 20
+    return min_bytes <= os.path.getsize(path) <= split_bytes
 
 
 def _rush_hour(h: Column) -> Column:
