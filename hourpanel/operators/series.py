@@ -125,30 +125,33 @@ def add_rolling_means(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequen
 def carry(df: DataFrame, keys: Sequence[str], pos: str, exprs: Mapping[str, Column], forward: bool = True,
           block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Last non-null value up to the row (``forward``) or first non-null from
-    the row on (backward), per series.  Two-level block scan (see module doc)."""
+    the row on (backward), per series.  Two-level block scan (see module doc).
+
+    Backward scans run as forward scans over the descending order: Spark
+    evaluates an (unbounded preceding, current) frame incrementally, while a
+    (current, unbounded following) frame is recomputed for every row.
+    """
     keys = list(keys)
     names = list(exprs)
     base = df.withColumns({f"__v_{n}": e for n, e in exprs.items()})
-    fn = F.last if forward else F.first
+    p = F.col(pos) if forward else F.col(pos).desc()
     if block_rows is None:
-        w = Window.partitionBy(*keys).orderBy(pos)
-        frame = w.rowsBetween(UNB_PRE, 0) if forward else w.rowsBetween(0, UNB_FOL)
-        out = base.withColumns({n: fn(f"__v_{n}", True).over(frame) for n in names})
+        frame = Window.partitionBy(*keys).orderBy(p).rowsBetween(UNB_PRE, 0)
+        out = base.withColumns({n: F.last(f"__v_{n}", True).over(frame) for n in names})
         return out.drop(*[f"__v_{n}" for n in names])
     base = base.withColumn("__blk", F.floor(F.col(pos) / block_rows))
     pick = F.max_by if forward else F.min_by
     summ = base.groupBy(*keys, "__blk").agg(
         *[pick(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), F.col(pos))).alias(f"__s_{n}")
           for n in names])
-    ws = Window.partitionBy(*keys).orderBy("__blk")
-    sframe = ws.rowsBetween(UNB_PRE, -1) if forward else ws.rowsBetween(1, UNB_FOL)
-    summ = summ.select(*keys, "__blk", *[fn(f"__s_{n}", True).over(sframe).alias(f"__c_{n}") for n in names])
-    w = Window.partitionBy(*keys, "__blk").orderBy(pos)
-    frame = w.rowsBetween(UNB_PRE, 0) if forward else w.rowsBetween(0, UNB_FOL)
-    local = base.withColumns({f"__l_{n}": fn(f"__v_{n}", True).over(frame) for n in names})
+    b = F.col("__blk") if forward else F.col("__blk").desc()
+    sframe = Window.partitionBy(*keys).orderBy(b).rowsBetween(UNB_PRE, -1)
+    summ = summ.select(*keys, "__blk", *[F.last(f"__s_{n}", True).over(sframe).alias(f"__c_{n}") for n in names])
+    frame = Window.partitionBy(*keys, "__blk").orderBy(p).rowsBetween(UNB_PRE, 0)
+    local = base.withColumns({f"__l_{n}": F.last(f"__v_{n}", True).over(frame) for n in names})
     out = local.join(summ, [*keys, "__blk"], "left")
     out = out.withColumns({n: F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n in names})
-    return out.drop("__blk", *[f"__{p}_{n}" for n in names for p in ("v", "l", "c")])
+    return out.drop("__blk", *[f"__{k}_{n}" for n in names for k in ("v", "l", "c")])
 
 
 def fill_ff_bf(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], median_fallback: bool = True,

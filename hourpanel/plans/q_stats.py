@@ -364,12 +364,12 @@ d as (select a.hour, congestion - my as yd, ta - mx as xd, congestion from a joi
 s as (select sum(xd * yd) / sum(xd * xd) as beta, sum(yd * yd) as syy, sum(xd * yd) as sxy from d),
 o as (select avg(congestion) as ybar, sum((congestion - (select avg(congestion) from a)) * (congestion - (select avg(congestion) from a))) as sst from a),
 b as (select (select my - (select beta from s) * mx from h order by hour limit 1) as a0)
-select 'beta_ta' as term, cast(null as integer) as hour, round(beta, 9) as value from s
-union all select 'time_effect', cast(h.hour as integer), round((my - s.beta * mx) - b.a0, 9) from h, s, b
-union all select 'r2_time', cast(null as integer), round(sum(nh * (my - ybar) * (my - ybar)) / any_value(sst), 9) from h, o
-union all select 'r2_full', cast(null as integer), round(1 - (any_value(syy) - any_value(beta) * any_value(sxy)) / any_value(sst), 9)
+select 'beta_ta' as term, cast(-1 as bigint) as hour, round(beta, 9) as value from s
+union all select 'time_effect', cast(h.hour as bigint), round((my - s.beta * mx) - b.a0, 9) from h, s, b
+union all select 'r2_time', cast(-1 as bigint), round(sum(nh * (my - ybar) * (my - ybar)) / any_value(sst), 9) from h, o
+union all select 'r2_full', cast(-1 as bigint), round(1 - (any_value(syy) - any_value(beta) * any_value(sxy)) / any_value(sst), 9)
           from s, o
-union all select 'r2_weather', cast(null as integer), round(corr(ta, congestion) * corr(ta, congestion), 9) from a""")
+union all select 'r2_weather', cast(-1 as bigint), round(corr(ta, congestion) * corr(ta, congestion), 9) from a""")
 
 
 @register("stat_fixed_effects_ta", _FE1_SQL)
@@ -378,8 +378,9 @@ def stat_fixed_effects_ta(spark, sf):
     the within-hour slope of temperature, each hour's effect vs the first hour, and the three R^2."""
     _df = analysis(spark, sf)
     fe = fx_eff.fit_hour_effects(_df, "congestion", ["ta"], "hour")
-    rows = [("beta_ta", None, fe.beta["ta"]), ("r2_time", None, fe.r2_time), ("r2_full", None, fe.r2_full),
-            ("r2_weather", None, fe.r2_weather)]
-    head = spark.createDataFrame([(k, h, float(v)) for k, h, v in rows], "term string, hour int, value double")
-    hours = fe.hour_table.select(F.lit("time_effect").alias("term"), "hour", F.col("time_effect").alias("value"))
+    rows = [("beta_ta", -1, fe.beta["ta"]), ("r2_time", -1, fe.r2_time), ("r2_full", -1, fe.r2_full),
+            ("r2_weather", -1, fe.r2_weather)]  # hour -1: not an hour row
+    head = spark.createDataFrame([(k, h, float(v)) for k, h, v in rows], "term string, hour long, value double")
+    hours = fe.hour_table.select(F.lit("time_effect").alias("term"), F.col("hour").cast("long").alias("hour"),
+                                 F.col("time_effect").alias("value"))
     return head.unionByName(hours).withColumn("value", r("value", 9))

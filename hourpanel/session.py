@@ -26,6 +26,10 @@ DEFAULT_CONF = {
     # whole-stage-codegen method between 8000 and Spark's default 65535 runs
     # interpreted and is several times slower than falling back.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Window / sort stages are CPU-bound: do not let adaptive coalescing fold a
+    # small-but-expensive shuffle into a single task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 
