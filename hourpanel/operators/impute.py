@@ -55,13 +55,26 @@ def impute_group_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str], bou
 
 
 def mode_values(df: DataFrame, cols: Sequence[str]) -> dict:
-    """Most frequent non-null value per column; ties -> smallest value."""
+    """Most frequent non-null value per column; ties -> smallest value.
+
+    All columns in one pass: unpivot to (variable, value), count per pair
+    (map-side combined), arg-max per variable on the small count table.
+    """
+    if not cols:
+        return {}
+    types = dict(df.dtypes)
+    parts = [F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("value")) for c in cols]
+    counts = (df.select(F.inline(F.array(*parts))).filter(F.col("value").isNotNull())
+              .groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")))
+    rows = counts.groupBy("variable").agg(
+        # ties: numerically smallest for numeric columns, lexically smallest for text
+        F.min_by(F.col("value"), F.struct(-F.col("n"), F.col("value").try_cast("double"), F.col("value"))).alias("m")
+    ).collect()
     out = {}
-    for c in cols:
-        row = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-               .agg(F.min_by(F.col(c), F.struct(-F.col("n"), F.col(c))).alias("m")).first())
-        if row and row["m"] is not None:
-            out[c] = row["m"]
+    for r in rows:
+        t = types[r["variable"]]
+        v = r["m"]
+        out[r["variable"]] = v if t == "string" else (float(v) if t in ("double", "float") else int(float(v)))
     return out
 
 

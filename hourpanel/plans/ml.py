@@ -131,7 +131,15 @@ def regressor(kind: str, label: str, params: Mapping | None = None, weight: str
 
 def fit_model(train: DataFrame, features: Sequence[str], label: str, kind: str, params: Mapping | None = None,
               weight: str | None = None) -> PipelineModel:
-    return Pipeline(stages=[assemble(features), regressor(kind, label, params, weight)]).fit(train)
+    """Assemble + regressor pipeline.  Estimators pass over the data several
+    times (statistics, solve / tree levels, training summary), so only the
+    needed columns are persisted for the duration of the fit."""
+    cols = list(dict.fromkeys([*features, label] + ([weight] if weight else [])))
+    data = train.select(*cols).persist()
+    try:
+        return Pipeline(stages=[assemble(features), regressor(kind, label, params, weight)]).fit(data)
+    finally:
+        data.unpersist()
 
 
 def evaluate(model: PipelineModel, test: DataFrame, label: str, pred: str = "prediction") -> dict:
