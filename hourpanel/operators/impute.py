@@ -19,9 +19,15 @@ FLAG_PREFIXES = ("extreme_", "is_", "no_", "light_", "heavy_", "strong_", "calm_
 INTERACTION_MARKERS = ("interaction", "apparent_temp", "wind_chill")
 
 
-def column_stats(df: DataFrame, cols: Sequence[str], how: str = "median", exact: bool = True) -> dict:
+def column_stats(df: DataFrame, cols: Sequence[str], how: str = "median", exact: bool | str = True) -> dict:
+    """Mean or median per column.  Medians: exact (one aggregate, buffers the
+    values), ``exact=False`` sketch, ``exact="bounded"`` exact with bounded memory."""
     if not cols:
         return {}
+    if how == "median" and exact == "bounded":
+        from .quantiles import exact_quantiles
+        vals = {c: exact_quantiles(df, c, [0.5])[0] for c in cols}
+        return {k: v for k, v in vals.items() if v is not None}
     if how == "mean":
         aggs = [F.avg(c).alias(c) for c in cols]
     elif how == "median":

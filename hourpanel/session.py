@@ -55,6 +55,19 @@ def get_session(app: str = "hourpanel", master: str | None = None,
     return spark
 
 
+RUNTIME_SQL_CONF = {k: v for k, v in DEFAULT_CONF.items() if k.startswith("spark.sql.")}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    """Apply the library's runtime SQL settings to an existing session
+    (one created elsewhere, e.g. by a job submitter), and make sure a
+    checkpoint folder is known."""
+    for k, v in RUNTIME_SQL_CONF.items():
+        spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -99,7 +99,10 @@ def panel_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lo = ev.select(F.min("ts_hour")).scalar()
     hi = ev.select(F.max("ts_hour")).scalar()
+    # the station list is tiny; spread it before generating the grid so the
+    # station x hour rows are produced by many tasks, not the one holding the list
     grid = (ev.select("station_name").distinct()
+            .repartition(spark.sparkContext.defaultParallelism, "station_name")
             .select("station_name",
                     F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 HOUR"))).alias("ts_hour")))
     obs = ev.groupBy("station_name", "ts_hour").agg(
