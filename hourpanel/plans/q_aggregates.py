@@ -552,3 +552,23 @@ def agg_plot_data(spark, sf):
     # bin / n are doubles so the box rows can carry NULL without a nullable-integer column
     return final(hist.unionByName(box.select("kind", F.lit(None).cast("double").alias("bin"),
                                              F.lit(None).cast("double").alias("n"), r("x").alias("x"))))
+
+
+KDE_BINS, KDE_GRID = 512, 100
+
+
+@register("agg_plot_kde", with_clean(f"""
+with s as (select min(congestion) as lo, max(congestion) as hi, count(congestion) as n,
+                  stddev_samp(congestion) * pow(count(congestion), -0.2) as h from clean),
+hb as (select least(cast(floor((congestion - lo) / (hi - lo) * {KDE_BINS}) as bigint), {KDE_BINS - 1}) as bin,
+              count(*) as n from clean, s where congestion is not null group by 1),
+c as (select lo + (bin + 0.5) * (hi - lo) / {KDE_BINS} as c, hb.n from hb, s),
+g as (select (lo - 3 * h) + ((hi + 3 * h) - (lo - 3 * h)) * i / {KDE_GRID - 1} as x
+      from s, range(0, {KDE_GRID}) t(i))
+select round(x, 6) as x, round(sum(c.n * exp(-0.5 * ((x - c) / h) * ((x - c) / h))) / (any_value(s.n) * any_value(h) * sqrt(2 * pi())), 9)
+       as density from g, c, s group by x"""))
+def agg_plot_kde(spark, sf):
+    """Kernel density of the target on a 100-point grid (binned, Scott bandwidth)."""
+    from ..operators import plotdata as pdat
+    out = pdat.kde_binned(clean(spark, sf), "congestion", KDE_BINS, KDE_GRID)
+    return final(out.select(r("x").alias("x"), r("density", 9).alias("density")))
