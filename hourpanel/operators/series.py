@@ -127,9 +127,12 @@ def carry(df: DataFrame, keys: Sequence[str], pos: str, exprs: Mapping[str, Colu
     """Last non-null value up to the row (``forward``) or first non-null from
     the row on (backward), per series.  Two-level block scan (see module doc).
 
-    Backward scans run as forward scans over the descending order: Spark
-    evaluates an (unbounded preceding, current) frame incrementally, while a
-    (current, unbounded following) frame is recomputed for every row.
+    The block summaries are read off the in-block scan itself (its value at
+    the block's last row in scan order), so the input is referenced once and
+    its exchange is shared.  Backward scans run as forward scans over the
+    descending order: Spark evaluates an (unbounded preceding, current) frame
+    incrementally, while a (current, unbounded following) frame is
+    recomputed for every row.
     """
     keys = list(keys)
     names = list(exprs)
@@ -140,18 +143,17 @@ def carry(df: DataFrame, keys: Sequence[str], pos: str, exprs: Mapping[str, Colu
         out = base.withColumns({n: F.last(f"__v_{n}", True).over(frame) for n in names})
         return out.drop(*[f"__v_{n}" for n in names])
     base = base.withColumn("__blk", F.floor(F.col(pos) / block_rows))
+    frame = Window.partitionBy(*keys, "__blk").orderBy(p).rowsBetween(UNB_PRE, 0)
+    local = base.withColumns({f"__l_{n}": F.last(f"__v_{n}", True).over(frame) for n in names}).drop(
+        *[f"__v_{n}" for n in names])
     pick = F.max_by if forward else F.min_by
-    summ = base.groupBy(*keys, "__blk").agg(
-        *[pick(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), F.col(pos))).alias(f"__s_{n}")
-          for n in names])
+    summ = local.groupBy(*keys, "__blk").agg(*[pick(F.col(f"__l_{n}"), F.col(pos)).alias(f"__s_{n}") for n in names])
     b = F.col("__blk") if forward else F.col("__blk").desc()
     sframe = Window.partitionBy(*keys).orderBy(b).rowsBetween(UNB_PRE, -1)
     summ = summ.select(*keys, "__blk", *[F.last(f"__s_{n}", True).over(sframe).alias(f"__c_{n}") for n in names])
-    frame = Window.partitionBy(*keys, "__blk").orderBy(p).rowsBetween(UNB_PRE, 0)
-    local = base.withColumns({f"__l_{n}": F.last(f"__v_{n}", True).over(frame) for n in names})
     out = local.join(summ, [*keys, "__blk"], "left")
     out = out.withColumns({n: F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n in names})
-    return out.drop("__blk", *[f"__{k}_{n}" for n in names for k in ("v", "l", "c")])
+    return out.drop("__blk", *[f"__{k}_{n}" for n in names for k in ("l", "c")])
 
 
 def fill_ff_bf(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], median_fallback: bool = True,
@@ -257,7 +259,8 @@ def decompose_additive(df: DataFrame, keys: Sequence[str], pos: str, length: str
             ma = F.avg(y).over(w.rowsBetween(-half, half))
         return {"__trend0": F.when((p >= half) & (p <= n - 1 - half), ma)}
 
-    t = block_windows(df, keys, pos, make, before=half, after=half, block_rows=block_rows)
+    from ..session import materialize
+    t = materialize(block_windows(df, keys, pos, make, before=half, after=half, block_rows=block_rows))
     front, back = F.lit(half), n - 1 - half
     in_front = (p >= front) & (p < F.least(front + period, back))
     in_back = (p >= F.greatest(front, back - period)) & (p < back)
@@ -271,7 +274,7 @@ def decompose_additive(df: DataFrame, keys: Sequence[str], pos: str, length: str
     trend = (F.when(p < front, F.col("__kf") * p + F.col("__nf"))
              .when(p > back, F.col("__kb") * p + F.col("__nb"))
              .otherwise(F.col("__trend0")))
-    t = t.withColumns({"trend": trend, "__phase": p % period})
+    t = materialize(t.withColumns({"trend": trend, "__phase": p % period}))
     phase = (t.groupBy(*keys, "__phase").agg(F.avg(F.col(y) - F.col("trend")).alias("__pm")))
     phase = phase.withColumn("seasonal", F.col("__pm") - F.avg("__pm").over(Window.partitionBy(*keys)))
     t = t.join(phase.drop("__pm"), [*keys, "__phase"], "left")

@@ -26,6 +26,7 @@ from ..functions import clean as cl
 from ..functions import features as ft
 from ..operators import impute as im
 from ..operators import series as se
+from ..session import materialize
 
 WEATHER = ["ta", "ws", "rn_hr1", "hm"]
 CATEGORICAL = ["time_period", "detailed_season", "day_type"]
@@ -37,7 +38,7 @@ class FeatureChainModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         c = self.chain
-        out = c.features(df, self.thresholds)
+        out = materialize(c.features(df, self.thresholds))
         # series fills: forward then backward inside the series, then the fitted median
         out = se.fill_ff_bf(out, c.series_keys, "pos", WEATHER, median_fallback=False, block_rows=c.block_rows)
         out = out.fillna({k: v for k, v in self.medians.items() if k in WEATHER})

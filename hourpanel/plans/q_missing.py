@@ -10,6 +10,7 @@ from ..operators import select as sel
 from ..operators import series as se
 from ..sources import fixtures as fx
 from .common import clean, final, r, with_clean
+from ..session import materialize
 from .registry import register
 
 KEY = fx.ROW_KEY
@@ -95,7 +96,7 @@ def dataset_c(spark, sf):
     among rows with fewer than two missing basic variables; rain gaps -> 0."""
     df = ms.with_row_nulls(clean(spark, sf), BASIC)
     ok = df.filter(~F.col("multiple_missing"))
-    ok = se.sequence_index(ok, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000))
+    ok = materialize(se.sequence_index(ok, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000)))
     ok = se.interpolate_linear(ok, ["station_name"], "pos", ["ta", "ws", "hm"], block_rows=BLOCK_ROWS).drop("pos")
     rest = df.filter(F.col("multiple_missing")).withColumns(
         {f"{c}_interpolated": F.col(c) for c in ("ta", "ws", "hm")})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import series as se
 from ..sources import fixtures as fx
 from .common import clean, final, hourly, r, with_clean, with_hourly
+from ..session import materialize
 from .registry import register
 
 BLOCK_ROWS = 168
@@ -24,14 +25,14 @@ W_H = "partition by station_name order by ts_hour"
 def hourly_pos(spark, sf):
     """Hourly panel with its position inside each station's series (month buckets)."""
     df = hourly(spark, sf)
-    return se.sequence_index(df, ["station_name"], ["ts_hour"], bucket=F.date_trunc("month", "ts_hour"),
-                             length="n_rows")
+    return materialize(se.sequence_index(df, ["station_name"], ["ts_hour"], bucket=F.date_trunc("month", "ts_hour"),
+                                         length="n_rows"))
 
 
 def wide_pos(spark, sf):
     """Cleaned wide panel, series = station, ordered by stamp + row-key tie-break."""
     df = clean(spark, sf)
-    return se.sequence_index(df, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000))
+    return materialize(se.sequence_index(df, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000)))
 
 
 @register("win_lag_target", with_hourly(f"""

@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -86,3 +86,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a multi-step intermediate result.
+
+    A reliable checkpoint (written under ``spark.checkpoint.dir``, shared
+    storage on a cluster) is computed once and read by every later branch,
+    instead of every self-join or two-branch step recomputing the whole
+    upstream plan; it also survives executor loss.  Never a local checkpoint.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

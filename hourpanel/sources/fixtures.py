@@ -107,8 +107,10 @@ def panel_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 HOUR"))).alias("ts_hour")))
     obs = ev.groupBy("station_name", "ts_hour").agg(
         F.avg("value").alias("congestion"), F.count(F.lit(1)).alias("n"))
-    return grid.join(obs, ["station_name", "ts_hour"], "left").select(
-        "station_name", "ts_hour", "congestion", "n")
+    from ..session import materialize
+    # the grid feeds multi-branch series steps: compute it once
+    return materialize(grid.join(obs, ["station_name", "ts_hour"], "left").select(
+        "station_name", "ts_hour", "congestion", "n"))
 
 
 # ---------------------------------------------------------------------------
