@@ -73,9 +73,7 @@ class FeatureChain:
         d = d.withColumns(ft.interaction_columns())
         d = d.withColumn("extreme_weather_rush", ft.extreme_rush())
         d = se.sequence_index(d, self.series_keys, self.order, bucket=F.floor(F.col(self.bucket_col) / 10000))
-        d = se.add_lags(d, self.series_keys, "pos", WEATHER, [24], block_rows=self.block_rows)
-        d = se.add_rolling_means(d, self.series_keys, "pos", WEATHER, [3, 6, 12], block_rows=self.block_rows)
-        return d
+        return se.add_lags_and_means(d, self.series_keys, "pos", WEATHER, [24], [3, 6, 12], block_rows=self.block_rows)
 
     def fit(self, train: DataFrame) -> FeatureChainModel:
         thresholds = ft.extreme_thresholds(cl.clean_weather(train), self.exact)
