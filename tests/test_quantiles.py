@@ -10,3 +10,11 @@ def test_bracketed_quantiles_equal_linear_percentiles(spark):
     probs = [0.0, 0.05, 0.25, 0.5, 0.9, 0.95, 1.0]
     got = exact_quantiles(df, "x", probs, accuracy=200, small_rows=100)
     assert np.allclose(got, np.quantile(vals, probs), atol=1e-9)
+
+
+def test_bounded_mode_in_operators(spark):
+    from hourpanel.functions import bins as bn
+    from hourpanel.functions import clean as cl
+    df = spark.createDataFrame([(float(v),) for v in range(1, 101)], "x double")
+    assert bn.quantile_edges(df, "x", 4, exact="bounded") == bn.quantile_edges(df, "x", 4)
+    assert cl.iqr_fences(df, ["x"], exact="bounded") == cl.iqr_fences(df, ["x"])
