@@ -298,8 +298,12 @@ def stat_adjust_check(spark, sf):
         F.corr("hour", "congestion").alias("r_hour_before"), F.corr("hour", "congestion_time_adjusted").alias("r_hour_after"))
     an = st.anova_oneway(adj.withColumn("g", F.lit(1)), ["g"], "hour", "congestion_time_adjusted").select(
         F.col("f_stat").alias("anova_f_after"))
-    out = spread.crossJoin(resid).crossJoin(an)  # three single-row frames
-    return final(out.select(*[r(c, 6).alias(c) for c in out.columns]))
+    # three one-row aggregates: assemble their scalars into one row (no join needed)
+    vals = {**spread.first().asDict(), **resid.first().asDict(), **an.first().asDict()}
+    names = list(vals)
+    out = spark.createDataFrame([tuple(float(vals[k]) if vals[k] is not None else None for k in names)],
+                                ", ".join(f"{k} double" for k in names))
+    return final(out.select(*[r(c, 6).alias(c) for c in names]))
 
 
 @register("stat_corr_shift")
