@@ -15,6 +15,7 @@ from ..operators import select as sel
 from ..operators import stats as st
 from ..sources import fixtures as fx
 from .common import clean, final, r, sql_case_in, with_clean
+from ..session import materialize
 from .registry import register
 
 KEY = fx.ROW_KEY
@@ -248,7 +249,9 @@ def stat_slope(spark, sf):
 
 
 def _effects(spark, sf):
-    df = analysis(spark, sf)
+    # several passes follow (fit, adjusted frame, checks): read one checkpoint, not the whole plan each time
+    df = materialize(analysis(spark, sf).select("station_name", "tm", "hour", "congestion", "rn_hr1", *[
+        c for c in XS if c != "rn_hr1"]))
     return df, fx_eff.fit_hour_effects(df, "congestion", XS, "hour")
 
 
