@@ -30,6 +30,8 @@ DEFAULT_CONF = {
     # small-but-expensive shuffle into a single task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # checkpoints cut lineage of intermediate results; delete them once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
