@@ -53,41 +53,41 @@ def get_session(app: str = "hourpanel", master: str | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-RUNTIME_SQL_CONF = {k: v for k, v in DEFAULT_CONF.items() if k.startswith("spark.sql.")}
+# Settings that results depend on, and the JIT limit on generated methods.  Partition sizes, adaptive execution and
+# the rest of the sizing belong to the cluster and are not touched on a session the library did not create.
+RUNTIME_SQL_CONF = {k: DEFAULT_CONF[k] for k in (
+    "spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.codegen.hugeMethodLimit")}
 
 
 def tune_session(spark: SparkSession) -> SparkSession:
-    """Apply the library's runtime SQL settings to an existing session
-    (one created elsewhere, e.g. by a job submitter), and make sure a
-    checkpoint folder is known."""
+    """Apply the settings that the queries' results depend on to a session created elsewhere."""
     for k, v in RUNTIME_SQL_CONF.items():
         spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    On a cluster that setting points at shared storage and is used as is; a
+    cluster session without it is an error, since a folder of one machine
+    cannot be read by the others.  Only a local master gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="hourpanel-ckpt-")
-    sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="hourpanel-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
