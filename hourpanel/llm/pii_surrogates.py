@@ -6,7 +6,7 @@ surrogate is a keyed hash of the entity in its canonical form, so one entity
 gets one surrogate in the whole corpus (coreference) without a lookup:
 
 * digits become digits and letters letters of their case, separators stay;
-* a card keeps its first digit and, if it was valid, a valid check digit; an
+* an international number keeps its first digit; a card keeps its first digit and, if it was valid, a valid check digit; an
   address stays a valid address; an email keeps the form of its parts and its
   top-level domain;
 * a titled name keeps title, gender, script and number of words.
@@ -144,7 +144,7 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
     def make(x):
         kind, h = x["kind"], x["h"]
         # what stays before and after the part that is disguised
-        head = (F.when(kind == "phone", F.regexp_extract(entity, r"^(\+[0-9]{1,3}(?=[ .(-])|\+?)", 1))
+        head = (F.when(kind == "phone", F.regexp_extract(entity, r"^(\+[0-9]|)", 1))
                 .when(kind == "iban", F.substring(entity, 1, 2)).otherwise(""))
         tail = F.when(kind == "email", F.regexp_extract(entity, r"(\.[^.]+)$", 1)).otherwise("")
         body = entity.substr(F.length(head) + 1, F.length(entity) - F.length(head) - F.length(tail))

@@ -57,13 +57,15 @@ def _repeated_window_words(words: Column) -> Column:
     return repeats.cast("long")
 
 
-def _repeated_lines(text: Column) -> Column:
+def _lines(text: Column) -> Column:
+    """(n_lines, n_dup_lines) of the lines with a word."""
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, ASCII_SPACE, "") != "")
-    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+    return let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"),
+                                         (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
 
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each row."""
+    """(id, host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed) of each row."""
     text = text_or_empty(docs, text_col)
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     counts = docs.select(
@@ -72,8 +74,9 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                       _repeated_window_words(w).alias("n_repeat_words"))).alias("w"),
         F.length(F.translate(text, ASCII_SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _repeated_lines(text).alias("n_dup_lines"))
-    counts = counts.select("id", "host", "w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
+        _lines(text).alias("lines"))
+    counts = counts.select("id", "host", "w.n_words", "word_chars", "n_symbols", "lines.n_lines", "lines.n_dup_lines",
+                           "w.n_repeat_words")
     return counts.withColumn("base_failed", _failures()["short"] | _failures()["repeat"])
 
 
@@ -82,7 +85,7 @@ def _failures() -> dict[str, Column]:
     return {"short": c("n_words") < MIN_WORDS,
             "repeat": 100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"),
             "symbol": 100 * c("n_symbols") > MAX_SYMBOL_PERCENT * c("word_chars"),
-            "line": 100 * c("n_dup_lines") > MAX_DUP_LINE_PERCENT * (c("n_dup_lines") + 1)}
+            "line": 100 * c("n_dup_lines") > MAX_DUP_LINE_PERCENT * c("n_lines")}
 
 
 def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:

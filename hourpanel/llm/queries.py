@@ -65,7 +65,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 with u as (
   select page_id,
          translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1), '') as path
+         case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*(/[^?#]*)', 1) else '' end as path
   from pages),
 r(rhost, rpath, rverdict) as (values {", ".join(map(str, URL_RULES))}),
 fit as (
@@ -195,12 +195,12 @@ cover as (
 c as (
   select rid, doc_id, source, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words
+         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, len(lines) as n_lines, coalesce(n_repeat, 0)::bigint as n_repeat_words
   from d left join cover using (rid)),
 f as (
   select *, (n_words < {q.MIN_WORDS})::int as x_short, (100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words)::int as x_repeat,
          (100 * n_symbols > {q.MAX_SYMBOL_PERCENT} * word_chars)::int as x_symbol,
-         (100 * n_dup_lines > {q.MAX_DUP_LINE_PERCENT} * (n_dup_lines + 1))::int as x_line from c),
+         (100 * n_dup_lines > {q.MAX_DUP_LINE_PERCENT} * n_lines)::int as x_line from c),
 h as (select source, count(*)::double as n, {", ".join(f"sum(x_{r})::double as f_{r}" for r in q.RULES)} from f group by source),
 m as (select {rates} from h), p as (select {weights} from m),
 v as (select source, greatest({worst}) as worst_rate from h cross join p)

@@ -41,7 +41,7 @@ def url_host(url: Column) -> Column:
 
 def url_path(url: Column) -> Column:
     """What follows the host, up to ``?``, ``#`` or the end."""
-    return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"^(?>(?s:.*?)://)[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
 def host_suffixes(host: Column) -> Column:

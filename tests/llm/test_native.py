@@ -18,8 +18,11 @@ def brute_dedup(rows):
     groups = defaultdict(list)
     for i, (doc_id, text) in enumerate(rows):
         groups[(text or "").translate(SPACE)].append((-len(text or ""), doc_id is None, doc_id or 0, doc_id))
-    return Counter((doc_id, (k := (text or "").translate(SPACE)) and min(groups[k])[3] if k else min(groups[""])[3], len(groups[k]),
-                    hashlib.sha256(k.encode()).hexdigest()) for doc_id, text in rows)
+    out = Counter()
+    for doc_id, text in rows:
+        k = (text or "").translate(SPACE)
+        out[doc_id, min(groups[k])[3], len(groups[k]), hashlib.sha256(k.encode()).hexdigest()] += 1
+    return out
 
 
 @pytest.mark.parametrize("cells", [exact_dedup.MAX_CELLS, 64])
@@ -112,7 +115,7 @@ def brute_counts(text):
 
 def test_quality_counts_and_hosts(spark, edge, small):
     again = spark.createDataFrame([(i, "one two three four five six " * k + "a # b", f"bad{i % 2}") for i, k in enumerate((2, 3, 4, 9, 9, 9, 9, 9))]
-                                  + [(20 + i, f"good words {i} " + " ".join(f"w{j}" for j in range(30)) + "\nx y\nx y", "fine") for i in range(9)],
+                                  + [(20 + i, f"good words {i} " + " ".join(f"w{j}" for j in range(30)) + "\nx y\nx z", "fine") for i in range(9)],
                                   "doc_id long, text string, source string")
     for df in (edge, small, again):
         out = quality_hosts.judge_by_host(df)
