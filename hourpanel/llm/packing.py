@@ -46,24 +46,18 @@ class WordTokenizer:
     between a character that isn't white space and the blank after it, so a
     text is cut there into words that start with the blank.  Texts that hold a
     special token's string go through the library whole.
-    A new word is encoded by ``tiktoken`` with the vocabulary of the same file,
-    which gives the same ids in less time (tests compare them).
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        spelled = {c: b for b, c in byte_letters().items()}
-        ranks = {bytes(spelled[c] for c in t): i for t, i in self.lib.get_vocab(with_added_tokens=False).items() if t not in self.special}
         self.white = np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000)
-        self.fast = tiktoken.Encoding("words", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
         self.known = WordTable(self._encode_words, self._word_starts, cache_words)
 
     def _encode_words(self, words: list[str]):
-        got = list(map(self.fast.encode_ordinary, words))
+        got = [x.ids for x in self.lib.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         yield range(len(words)), np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
 
@@ -82,17 +76,6 @@ class WordTokenizer:
         return out
 
 
-# Fixed value: the pre-tokenizer of byte-level BPE files with "use_regex".
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_letters() -> dict[int, str]:
-    """The letters that byte-level BPE files write bytes as: printable bytes stand for themselves, others from U+0100 up."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
-
-
 class Packer:
     """Packs the documents of one task; ``take`` and ``finish`` return finished windows.
 
