@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import store
+
 HASH_BITS = 17
 SAMPLE_ROWS = 20_000
 SWITCH_PENALTY = 12.0
@@ -179,10 +181,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"),
                        docs[text_col].cast("string").alias("text")) \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    n_langs = per_lang.count()
-    quota = sample_rows / max(1, n_langs)
-    share = per_lang.select(F.col("lang").alias("l"), (F.lit(quota) / F.col("n")).alias("share"))
+    per_lang = store(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang-counts")
+    quota = sample_rows / max(1, per_lang.count())
+    # stored: Spark sees that it is small and sends it to the texts, which don't shuffle
+    share = store(per_lang.select(F.col("lang").alias("l"), (F.lit(quota) / F.col("n")).alias("share")), "lang-shares")
     unit = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(share, F.col("lang") == F.col("l")).where(unit < F.col("share")).select("lang", "text")
     scripts = len(SCRIPTS) + 1
