@@ -253,15 +253,25 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], intercept: bool = True) -> dic
     """Normal-equation least squares; pseudo-inverse when X'X is singular.
 
     Returns coefficients (intercept first when fitted) and R^2 from the
-    same sums (SSE = y'y - 2 b'X'y + b'X'Xb, SST = y'y - n ybar^2).
+    same sums (SSE = y'y - 2 b'X'y + b'X'Xb).  With an intercept the sums are
+    taken about the means, found in a first aggregate, so that large offsets
+    don't cancel; the intercept follows from the means.
     """
-    cols, xtx, xty, yy, sy, n = gram(df, y, xs, intercept)
+    d = df.dropna(subset=[*xs, y])
+    means = None
+    if intercept:
+        row = d.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate([*xs, y])]).first()
+        means = [row[f"m{i}"] or 0.0 for i in range(len(xs) + 1)]
+        d = d.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip([*xs, y], means)])
+    cols, xtx, xty, yy, sy, n = gram(d, y, xs, intercept=False)
     try:
         beta = np.linalg.solve(xtx, xty)
     except np.linalg.LinAlgError:
         beta = np.linalg.pinv(xtx) @ xty
     sse = yy - 2 * beta @ xty + beta @ xtx @ beta
-    sst = yy - sy * sy / n if n else float("nan")
+    sst = yy if intercept else yy - sy * sy / n if n else float("nan")
+    if intercept:
+        beta = np.concatenate([[means[-1] - float(np.dot(beta, means[:-1]))], beta])
     names = (["intercept"] if intercept else []) + list(xs)
     return {"names": names, "coef": [float(b) for b in beta], "r2": float(1 - sse / sst) if sst else float("nan"),
             "n": int(n)}

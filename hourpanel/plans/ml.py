@@ -72,11 +72,8 @@ def one_hot(df: DataFrame, index_col: str, out: str | None = None) -> DataFrame:
 
 
 def standardize(train: DataFrame, cols: Sequence[str], test: DataFrame | None = None, suffix: str = "_scaled"):
-    """(x - mean) / std with train statistics (one aggregate), as plain columns.
-
-    Spark's sample standard deviation is used (the study's scaler divides by
-    the population one; the difference is a factor sqrt(n/(n-1)))."""
-    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"s_{c}") for c in cols]).first()
+    """(x - mean) / std with train statistics (one aggregate, population std), as plain columns."""
+    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     stats = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
 
     def apply(d):
@@ -259,11 +256,14 @@ def save_bundle(model: PipelineModel, path: str, metrics_df: DataFrame, importan
 
 
 def load_bundle(spark, paths: Sequence[str]):
-    """Load from the first path that holds a bundle (fallback list)."""
-    last = None
+    """Load from the first path that exists (fallback list); a bundle that can't be read is an error."""
+    from pyspark.errors import AnalysisException
     for p in paths:
         try:
-            return PipelineModel.load(f"{p}/model"), spark.read.parquet(f"{p}/metrics")
-        except Exception as e:  # noqa: BLE001 - try the next location
-            last = e
-    raise FileNotFoundError(f"no bundle in {list(paths)}") from last
+            saved = spark.read.parquet(f"{p}/metrics")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        return PipelineModel.load(f"{p}/model"), saved
+    raise FileNotFoundError(f"no bundle in {list(paths)}")

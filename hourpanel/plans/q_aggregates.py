@@ -174,15 +174,13 @@ def agg_peak(spark, sf):
 
 
 @register("agg_reindex", with_clean("""
-select h.hour, coalesce(c.n, 0) as n
-from (select cast(unnest(range(0, 24)) as bigint) as hour) h
-left join (select cast(hour as bigint) as hour, cast(count(*) as bigint) as n
-           from clean where rn_hr1 > 20 and dayofweek = 6 group by hour) c on c.hour = h.hour"""))
+select y.year, coalesce(c.n, 0) as n
+from (select cast(unnest(range(1990, 2001)) as bigint) as year) y
+left join (select cast(year as bigint) as year, cast(count(*) as bigint) as n from clean group by 1) c on c.year = y.year"""))
 def agg_reindex(spark, sf):
-    """Heavy-rain Sunday rows per hour on the full 0-23 domain (absent -> 0)."""
-    df = clean(spark, sf).filter((F.col("rn_hr1") > 20) & (F.col("dayofweek") == 6))
-    counts = df.groupBy(F.col("hour").cast("long").alias("hour")).agg(F.count(F.lit(1)).cast("long").alias("n"))
-    return final(ag.reindex(counts, "hour", list(range(24)), {"n": 0}).withColumn("hour", F.col("hour").cast("long")))
+    """Rows per year on a fixed domain that reaches beyond the data's years (absent -> 0)."""
+    counts = clean(spark, sf).groupBy(F.col("year").cast("long").alias("year")).agg(F.count(F.lit(1)).cast("long").alias("n"))
+    return final(ag.reindex(counts, "year", list(range(1990, 2001)), {"n": 0}).withColumn("year", F.col("year").cast("long")))
 
 
 def _effect_labels():

@@ -292,13 +292,12 @@ def bin_rain_bands(spark, sf):
 
 
 @register("bin_rare_collapse", with_clean(f"""
-with c as (select station_name, count(*) as n from clean where hour = 8 group by station_name)
-select {KEY_SQL}, case when c.n > 100 then x.station_name else 'Other' end as station_group
-from (select * from clean where hour = 8) x left join c using (station_name)"""))
+with c as (select station_name, count(*) as n from clean group by station_name)
+select {KEY_SQL}, case when c.n > 600 then x.station_name else 'Other' end as station_group
+from clean x left join c using (station_name)"""))
 def bin_rare_collapse(spark, sf):
-    """Stations with more than 100 rows at 08h keep their name, the rest become 'Other'."""
-    df = clean(spark, sf).filter(F.col("hour") == 8)
-    out = bn.rare_collapse(df, "station_name", 100, out="station_group")
+    """Stations with more than 600 rows keep their name, the rest become 'Other'."""
+    out = bn.rare_collapse(clean(spark, sf), "station_name", 600, out="station_group")
     return _key(out, "station_group")
 
 

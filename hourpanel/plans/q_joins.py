@@ -46,18 +46,16 @@ def join_outer_align(spark, sf):
 
 
 @register("join_common_keys", with_clean(f"""
-with tr as (select * from clean where tm < {SPLIT_TM} and hour between 7 and 9),
-te as (select * from clean where tm >= {SPLIT_TM} and rn_hr1 > 20 and hour between 7 and 9),
+with tr as (select * from clean where tm < {SPLIT_TM}),
+te as (select * from clean where tm >= {SPLIT_TM}),
 k as (select station_name from tr intersect select station_name from te)
 select 'train' as part, cast(count(*) as bigint) as n, cast(count(distinct station_name) as bigint) as stations
 from tr semi join k using (station_name)
 union all
 select 'test', cast(count(*) as bigint), cast(count(distinct station_name) as bigint) from te semi join k using (station_name)"""))
 def join_common_keys(spark, sf):
-    """Keep only stations present in both parts (morning rows; heavy-rain test rows)."""
+    """Keep only stations present in both parts."""
     tr, te = _parts(spark, sf)
-    tr = tr.filter(F.col("hour").between(7, 9))
-    te = te.filter((F.col("rn_hr1") > 20) & F.col("hour").between(7, 9))
     a, b = jn.keep_common(tr, te, "station_name")
     agg = lambda f, name: f.agg(F.lit(name).alias("part"), F.count(F.lit(1)).cast("long").alias("n"),
                                 F.count_distinct("station_name").cast("long").alias("stations"))
@@ -98,11 +96,11 @@ def set_union(spark, sf):
 
 
 @register("set_distinct_union", with_clean(f"""
-select distinct station_name from clean where tm < {SPLIT_TM} and hour = 3
-union select distinct station_name from clean where tm >= {SPLIT_TM} and hour = 3"""))
+select distinct station_name from clean where tm < {SPLIT_TM}
+union select distinct station_name from clean where tm >= {SPLIT_TM}"""))
 def set_distinct_union(spark, sf):
     tr, te = _parts(spark, sf)
-    return jn.distinct_union([tr.filter(F.col("hour") == 3), te.filter(F.col("hour") == 3)], "station_name")
+    return jn.distinct_union([tr, te], "station_name")
 
 
 _TC = cal.TIME_CATEGORY_LABELS

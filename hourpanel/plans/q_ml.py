@@ -78,17 +78,18 @@ def ml_random_split(spark, sf):
 
 @register("ml_year_split", with_clean("""
 select cast(year as bigint) as year, case when year <= 1996 then 'train' else 'test' end as part,
-       cast(count(*) as bigint) as n from clean where year in (1995, 1996, 1997) group by all"""))
+       cast(count(*) as bigint) as n from clean group by all"""))
 def ml_year_split(spark, sf):
-    """Train on years 1995-1996, test on 1997 (year filters prune at the scan)."""
+    """Train on the years up to 1996, test on the later ones."""
     df = clean(spark, sf)
-    tr, te = ml.year_split(df, "year", [1995, 1996], [1997])
+    years = [r["year"] for r in df.select("year").distinct().collect()]  # calendar years
+    tr, te = ml.year_split(df, "year", [y for y in years if y <= 1996], [y for y in years if y > 1996])
     out = tr.withColumn("part", F.lit("train")).unionByName(te.withColumn("part", F.lit("test")))
     return final(out.groupBy("year", "part").agg(F.count(F.lit(1)).cast("long").alias("n")))
 
 
 @register("ml_scale", with_p(f"""
-with s as (select avg(ta) as m_ta, stddev_samp(ta) as s_ta, avg(hm) as m_hm, stddev_samp(hm) as s_hm from tr)
+with s as (select avg(ta) as m_ta, stddev_pop(ta) as s_ta, avg(hm) as m_hm, stddev_pop(hm) as s_hm from tr)
 select {KEY_SQL}, round((ta - m_ta) / s_ta, 6) as ta_scaled, round((hm - m_hm) / s_hm, 6) as hm_scaled,
        round(((ta - m_ta) / s_ta) * s_ta + m_ta, 6) as ta_original from te, s"""))
 def ml_scale(spark, sf):

@@ -26,31 +26,31 @@ def src_csv(spark, sf):
     return final(pio.read_panel(spark, path))
 
 
-def _write_years(spark, sf, years, prefix: bool):
+def _write_years(spark, sf, prefix: bool):
+    """One file for each year of the panel; returns the folder and the years."""
     base = pio.io_dir(spark, "years")
     df = wide(spark, sf)
+    year = F.floor(F.col("tm") / 1000000).cast("int").alias("year")
+    years = sorted(r["year"] for r in df.select(year).distinct().collect())  # calendar years
     for y in years:
         part = df.filter(F.floor(F.col("tm") / 1000000) == y)
         pio.write_panel_csv(part, f"{base}/{pio.FILE_PATTERN.format(yy=y % 100)}",
                             pio.PREFIX_PATTERN.format(yy=y % 100) if prefix else None)
-    return base
+    return base, years
 
 
 @register("src_multi_year", with_panel(f"""
-select {COLS_SQL}, cast(tm // 1000000 as integer) as year from panel where tm // 1000000 in (1995, 1996)"""))
+select {COLS_SQL}, cast(tm // 1000000 as integer) as year from panel"""))
 def src_multi_year(spark, sf):
-    """Per-year files stacked in one read; the year comes from the file name."""
-    base = _write_years(spark, sf, [1995, 1996], prefix=False)
-    return pio.read_years(spark, base, [1995, 1996])
+    """Per-year files stacked in one read; each file has its year."""
+    return pio.read_years(spark, *_write_years(spark, sf, prefix=False))
 
 
 @register("src_strip_prefix", with_panel(f"""
-select {COLS_SQL}, 1995 as year from panel where tm // 1000000 = 1995
-union all select {COLS_SQL}, 1996 from panel where tm // 1000000 = 1996"""))
+select {COLS_SQL}, cast(tm // 1000000 as integer) as year from panel"""))
 def src_strip_prefix(spark, sf):
     """Year files whose headers carry a ``train_subwayYY.`` prefix; names stripped on read."""
-    base = _write_years(spark, sf, [1995, 1996], prefix=True)
-    return pio.read_years(spark, base, [1995, 1996], with_prefix=True)
+    return pio.read_years(spark, *_write_years(spark, sf, prefix=True), with_prefix=True)
 
 
 _PROFILE_TYPES = [("station_name", "string"), ("direction", "string"), ("tm", "bigint"), ("ta", "double"),
