@@ -5,7 +5,7 @@ as Parquet and read again as the next one's docs.  All but the last return the
 columns of ``documents``.
 
 Defined cases are those of the operators: language ID rejects texts that are
-null or have no letter, and those of whose letters no language has half; of
+null or have no letter, and those of whose letters no language has a quarter; of
 equal and of near-equal texts one document stays; secrets are replaced by a
 mark and the document stays (``n_chars`` is counted anew); empty tables pass.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hourpanel.llm import exact_dedup, language_id, packing, secret_ledger, simhash_dedup
 from hourpanel.llm.common import fresh, store
 
-MIN_LANGUAGE_SHARE = 0.5
+MIN_LANGUAGE_SHARE = 0.25
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

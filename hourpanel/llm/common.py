@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -9,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import hourpanel
 from hourpanel.session import ensure_checkpoint_dir
 
 #: Fixed value: the six ASCII white-space characters, \x20 and \x09-\x0D.
@@ -32,6 +36,26 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Python workers have been given this package, once for each context.
+
+    Functions that run in Python workers import the package there; Spark hands the archive to every executor.
+    """
+    sc = df.sparkSession.sparkContext
+    root = os.path.dirname(hourpanel.__file__)
+    if not getattr(sc, "_hourpanel_shipped", False) and os.path.isdir(root):
+        path = os.path.join(tempfile.mkdtemp(prefix="hourpanel-"), "hourpanel.zip")  # the driver's copy, for Spark to send
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        file = os.path.join(folder, name)
+                        z.write(file, os.path.relpath(file, os.path.dirname(root)))
+        sc.addPyFile(path)
+        sc._hourpanel_shipped = True
+    return df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` doesn't have yet (compared without case, as Spark does)."""
     have = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import ship, store
 
 HASH_BITS = 17
 SAMPLE_ROWS = 20_000
@@ -203,7 +203,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 cell = np.flatnonzero(total)
                 yield pa.RecordBatch.from_pydict({"lang": [lang] * len(cell), "cell": cell, "n": total[cell]})
 
-    got = sample.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    got = ship(sample).mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     langs = tuple(sorted(set(got["lang"].to_pylist())))
     counts = np.zeros(((1 << HASH_BITS) + scripts, len(langs)))
     if langs:
@@ -274,4 +274,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
 
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
                        + ["lang_pred string", "score double", "spans array<struct<start:long,end:long,lang:string>>"])
-    return docs.mapInArrow(run, schema)
+    return ship(docs).mapInArrow(run, schema)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import ship
 from .word_table import WordTable
 
 TIERS = (128, 256, 512, 1024)
@@ -220,7 +221,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield flush()
 
     schema = f"id {slim.schema['id'].dataType.simpleString()}, {PIECE}"
-    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return ship(slim).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def _encoded(batch: pa.RecordBatch, words: WordTokenizer, closing_id: int, rows: int = 256) -> Iterator[tuple]:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import ship
 from .word_table import WordTable, code_points
 
 MARK = "▁"
@@ -216,7 +217,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], ids], [*keep, out_col])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], f"`{out_col}` array<int>"])
-    return docs.select(*keep, docs[text_col].cast("string").alias(text_col)).mapInArrow(run, schema)
+    return ship(docs.select(*keep, docs[text_col].cast("string").alias(text_col))).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -230,4 +231,4 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(texts, pa.string())], [*keep, out_col])
 
     schema = ", ".join([*[f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in keep], f"`{out_col}` string"])
-    return coded.select(*keep, ids_col).mapInArrow(run, schema)
+    return ship(coded.select(*keep, ids_col)).mapInArrow(run, schema)

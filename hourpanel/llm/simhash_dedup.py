@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, store
+from .common import fresh, ship, store
 from .components import components
 
 SHINGLE = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text = docs[text_col].cast("string")
     slim = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, text_key long, fp long")
+    return ship(slim).mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def index_entries(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -128,7 +128,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             yield edges(held)
 
     entries = index_entries(fps, max_bits).repartition("mask", "bytes").sortWithinPartitions("mask", "bytes")
-    return entries.mapInArrow(run, "u long, v long").distinct()
+    return ship(entries).mapInArrow(run, "u long, v long").distinct()
 
 
 def _classes(docs, id_col, text_col, shingle, max_bits):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, splitmix, store
+from .common import fresh, ship, splitmix, store
 
 SLICE_KEYS = 1 << 21
 FALSE_SHARE = 0.01  # of each level
@@ -139,7 +139,7 @@ def _build_slice(keys: DataFrame, s: int, n_slices: int, false_share: float) ->
         def count(batches, survivors=survivors):
             yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(a) for a, _ in survivors(batches))], pa.int64())})
 
-        n = keys.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+        n = ship(keys).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
         if not n:
             return so_far
         probes = max(1, round(-np.log2(false_share)))
@@ -154,7 +154,7 @@ def _build_slice(keys: DataFrame, s: int, n_slices: int, false_share: float) ->
             at = np.flatnonzero(level.bits)
             yield pa.RecordBatch.from_pydict({"word": pa.array(at, pa.int64()), "bits": pa.array(level.bits[at].view(np.int64))})
 
-        got = keys.mapInArrow(fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        got = ship(keys).mapInArrow(fill, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
         shape.bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
         levels.append(shape)
 
@@ -177,7 +177,7 @@ def is_listed(df: DataFrame, hashes: str, cascade: Cascade, out: str) -> DataFra
 
     One broadcast and one lookup for each slice of the cascade.
     """
-    n = len(cascade.slices)
+    n, df = len(cascade.slices), ship(df)
     parts = [_lookup(df.sparkSession.sparkContext.broadcast(levels), s, n)(F.col(f"{hashes}.a"), F.col(f"{hashes}.b"))
              for s, levels in enumerate(cascade.slices)]
     whole = parts[0]

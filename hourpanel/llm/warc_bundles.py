@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, store
+from .common import shared_path, ship, store
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
@@ -211,7 +211,7 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     schema = INDEX.format(id=id_type)
     names = [x.split()[0] for x in schema.split(", ")]
-    index = rows.mapInArrow(run, schema)
+    index = ship(rows).mapInArrow(run, schema)
     index.write.parquet(f"{path.rstrip('/')}/index")
     return open_index(rows.sparkSession, path, id_type)
 
@@ -254,7 +254,7 @@ def read_records(index: DataFrame, path: str, payload: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays(out, names)
 
     schema = f"page_id {id_type}, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, url string"
-    return index.mapInArrow(run, schema + ", payload binary" * payload)
+    return ship(index).mapInArrow(run, schema + ", payload binary" * payload)
 
 
 def _id(urn: str | None) -> str | None:
