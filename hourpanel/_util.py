@@ -20,13 +20,3 @@ def nan_to_null(c: str | Column) -> Column:
     """Spark orders NaN above every number and it poisons ``avg``: map to NULL."""
     x = col_of(c)
     return F.when(~F.isnan(x), x)
-
-
-def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast a side whose row count is bounded by construction.
-
-    ``bound_rows`` is the static bound the caller proves (e.g. 24 hours x 7
-    days).  Above ``max_rows`` the frame is returned unhinted and the join is
-    left to adaptive execution (runtime size check, sort-merge otherwise).
-    """
-    return F.broadcast(df) if bound_rows <= max_rows else df

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._util import col_of
+from ..operators.quantiles import exact_quantiles
 
 INF = float("inf")
 
@@ -121,23 +122,18 @@ def rain_band(x: str | Column = "rn_hr1") -> Column:
             .when(c <= 5, RAIN_BANDS[2]).when(c > 5, RAIN_BANDS[3]))
 
 
-def quantile_edges(df: DataFrame, x: str, q: int, exact: bool | str = True, accuracy: int = 100000) -> list[float]:
-    """Equal-frequency edges (linear quantiles) computed in one aggregate
-    (``exact="bounded"``: the same edges with bounded memory)."""
+def quantile_edges(df: DataFrame, x: str, q: int, exact: bool = True, accuracy: int = 100000) -> list[float]:
+    """Equal-frequency edges (linear quantiles); ``exact=False`` takes a sketch alone."""
     probs = [i / q for i in range(q + 1)]
-    if exact == "bounded":
-        from ..operators.quantiles import exact_quantiles
-        return exact_quantiles(df, x, probs)
     if exact:
-        agg = F.percentile(F.col(x), F.array(*[F.lit(p) for p in probs]))
-    else:
-        agg = F.percentile_approx(F.col(x), F.array(*[F.lit(p) for p in probs]), accuracy)
+        return exact_quantiles(df, {x: probs})[x]
+    agg = F.percentile_approx(F.col(x), F.array(*[F.lit(p) for p in probs]), accuracy)
     return [float(v) for v in df.select(agg.alias("e")).first()["e"]]
 
 
 def qcut(df: DataFrame, x: str, q: int, labels: Sequence | None = None, out: str | None = None,
-         exact: bool | str = True) -> DataFrame:
-    """Equal-frequency cut: quantile edges (one small aggregate), lowest included."""
+         exact: bool = True) -> DataFrame:
+    """Equal-frequency cut at the quantile edges, lowest included."""
     edges = quantile_edges(df, x, q, exact)
     return df.withColumn(out or f"{x}_qcut", cut(x, edges, labels, include_lowest=True))
 

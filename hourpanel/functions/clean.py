@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._util import col_of
+from ..operators.quantiles import exact_quantiles
 
 # ---------------------------------------------------------------------------
 # Coded missing values used by the weather source.
@@ -90,25 +91,17 @@ def clean_weather(df: DataFrame, cols: Sequence[str] = WEATHER_COLUMNS,
     return df.withColumns(out)
 
 
-def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool | str = True
+def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool = True
                ) -> dict[str, tuple[float, float]]:
-    """Q1 - k*IQR, Q3 + k*IQR per column from a single aggregate
-    (``exact="bounded"``: exact quartiles with bounded memory)."""
-    if exact == "bounded":
-        from ..operators.quantiles import exact_quantiles
-        out = {}
-        for c in cols:
-            q1, q3 = exact_quantiles(df, c, [0.25, 0.75])
-            if q1 is not None:
-                out[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
-        return out
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    aggs = [(F.percentile(F.col(c), probs) if exact else F.percentile_approx(F.col(c), probs, 100000)).alias(c)
-            for c in cols]
-    row = df.agg(*aggs).first()
+    """Q1 - k*IQR, Q3 + k*IQR per column (exact quartiles; ``exact=False`` takes a sketch alone)."""
+    probs = [0.25, 0.75]
+    if exact:
+        quartiles = exact_quantiles(df, {c: probs for c in cols})
+    else:
+        quartiles = df.agg(*[F.percentile_approx(F.col(c), probs, 100000).alias(c) for c in cols]).first().asDict()
     fences = {}
     for c in cols:
-        q1, q3 = row[c] if row[c] is not None else (None, None)
+        q1, q3 = quartiles[c] if quartiles[c] is not None else (None, None)
         if q1 is None:
             continue
         iqr = q3 - q1
@@ -116,7 +109,7 @@ def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool |
     return fences
 
 
-def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool | str = True) -> DataFrame:
+def iqr_clip(df: DataFrame, cols: Sequence[str], k: float = 1.5, exact: bool = True) -> DataFrame:
     fences = iqr_fences(df, cols, k, exact)
     # greatest/least skip NULLs, so a missing value is kept missing explicitly
     return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)))

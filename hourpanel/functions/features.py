@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._util import col_of
+from ..operators.quantiles import exact_quantiles
 from . import calendar as cal
 
 # ---------------------------------------------------------------------------
@@ -30,25 +31,16 @@ THRESHOLD_SPEC = {"ta_q05": ("ta", 0.05), "ta_q95": ("ta", 0.95), "ws_q90": ("ws
                   "ws_q95": ("ws", 0.95), "hm_q05": ("hm", 0.05), "hm_q95": ("hm", 0.95)}
 
 
-def extreme_thresholds(df: DataFrame, exact: bool | str = True) -> dict[str, float]:
-    """All six quantile thresholds in one aggregate (exact linear or sketch).
-
-    ``exact="bounded"``: the same exact values with bounded memory
-    (``operators.quantiles.exact_quantiles``), for very large inputs.
-    """
-    if exact == "bounded":
-        from ..operators.quantiles import exact_quantiles
-        out = {}
-        for c in dict.fromkeys(v[0] for v in THRESHOLD_SPEC.values()):
-            names = [k for k, (cc, _) in THRESHOLD_SPEC.items() if cc == c]
-            vals = exact_quantiles(df, c, [THRESHOLD_SPEC[k][1] for k in names])
-            out.update(dict(zip(names, vals)))
-        return out
-    aggs = []
-    for name, (c, p) in THRESHOLD_SPEC.items():
-        f = F.percentile(c, p) if exact else F.percentile_approx(c, p, 100000)
-        aggs.append(f.cast("double").alias(name))
-    row = df.agg(*aggs).first()
+def extreme_thresholds(df: DataFrame, exact: bool = True) -> dict[str, float]:
+    """All six quantile thresholds (exact linear; ``exact=False`` takes a sketch alone)."""
+    if exact:
+        probs: dict[str, list[float]] = {}
+        for c, p in THRESHOLD_SPEC.values():
+            probs.setdefault(c, []).append(p)
+        values = exact_quantiles(df, probs)
+        return {k: values[c][probs[c].index(p)] for k, (c, p) in THRESHOLD_SPEC.items()}
+    row = df.agg(*[F.percentile_approx(c, p, 100000).cast("double").alias(k)
+                   for k, (c, p) in THRESHOLD_SPEC.items()]).first()
     return {k: row[k] for k in THRESHOLD_SPEC}
 
 

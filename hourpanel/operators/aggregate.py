@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._util import col_of
+from .quantiles import exact_quantiles
 
 STAT_FUNCS = {
     "count": lambda c: F.count(c).cast("long"),
@@ -24,19 +25,21 @@ STAT_FUNCS = {
     "min": F.min,
     "max": F.max,
     "sum": F.sum,
-    "median": F.median,
 }
 
 
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max per column, long format.
 
-    One aggregate over all columns, then a stack to (variable, stat...) rows.
+    One aggregate over all columns (the quartiles by ``exact_quantiles``, or
+    by a sketch with ``exact=False``), then a stack to (variable, stat...) rows.
     """
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    probs = [0.25, 0.5, 0.75]
+    exact_q = exact_quantiles(df, {c: probs for c in cols}) if exact else {}
     aggs = []
     for c in cols:
-        q = F.percentile(c, probs) if exact else F.percentile_approx(c, probs, 100000)
+        q = (F.array(*[F.lit(v).cast("double") for v in exact_q[c]]) if exact
+             else F.percentile_approx(c, probs, 100000).cast("array<double>"))
         aggs += [F.count(c).cast("long").alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
                  F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
                  q.alias(f"{c}__q"), F.max(c).cast("double").alias(f"{c}__max")]

@@ -7,7 +7,7 @@ the demeaned regression equal the dummy model's, and the hour intercepts are
 ``a_hour - a_base`` and the adjusted target is ``y - time effect``.
 
 Data-sized work: one grouped aggregate (hour means, bounded by the number of
-hours), one broadcast join of that table, one Gram aggregate of the
+hours), one join of that table, one Gram aggregate of the
 demeaned columns.  No dummy columns are materialised.
 """
 
@@ -19,7 +19,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import bounded_broadcast
 from . import stats as st
 
 
@@ -47,12 +46,12 @@ class HourEffects:
         }).drop("base_intercept")
 
 
-def fit_hour_effects(df: DataFrame, y: str, xs: Sequence[str], fe: str = "hour", fe_levels: int = 24) -> HourEffects:
+def fit_hour_effects(df: DataFrame, y: str, xs: Sequence[str], fe: str = "hour") -> HourEffects:
     d = df.select(y, *xs, fe).dropna()
     means = d.groupBy(fe).agg(F.count(F.lit(1)).alias("__n"), F.avg(y).alias("__my"),
                               *[F.avg(x).alias(f"__mx_{x}") for x in xs])
     means = means.cache()
-    dm = d.join(bounded_broadcast(means, fe_levels), fe).select(
+    dm = d.join(means, fe).select(
         (F.col(y) - F.col("__my")).alias(y), *[(F.col(x) - F.col(f"__mx_{x}")).alias(x) for x in xs])
     cols, xtx, xty, yy, _, n = st.gram(dm, y, xs, intercept=False)
     try:

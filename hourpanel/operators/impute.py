@@ -13,26 +13,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import bounded_broadcast
+from .quantiles import exact_quantiles
 
 FLAG_PREFIXES = ("extreme_", "is_", "no_", "light_", "heavy_", "strong_", "calm_")
 INTERACTION_MARKERS = ("interaction", "apparent_temp", "wind_chill")
 
 
-def column_stats(df: DataFrame, cols: Sequence[str], how: str = "median", exact: bool | str = True) -> dict:
-    """Mean or median per column.  Medians: exact (one aggregate, buffers the
-    values), ``exact=False`` sketch, ``exact="bounded"`` exact with bounded memory."""
+def column_stats(df: DataFrame, cols: Sequence[str], how: str = "median", exact: bool = True) -> dict:
+    """Mean or median per column.  Medians are exact with bounded memory; ``exact=False`` takes a sketch alone."""
     if not cols:
         return {}
-    if how == "median" and exact == "bounded":
-        from .quantiles import exact_quantiles
-        vals = {c: exact_quantiles(df, c, [0.5])[0] for c in cols}
-        return {k: v for k, v in vals.items() if v is not None}
+    if how == "median" and exact:
+        vals = exact_quantiles(df, {c: [0.5] for c in cols})
+        return {k: v for k, (v,) in vals.items() if v is not None}
     if how == "mean":
         aggs = [F.avg(c).alias(c) for c in cols]
     elif how == "median":
-        aggs = [(F.median(c) if exact else F.percentile_approx(c, 0.5, 100000)).cast("double").alias(c)
-                for c in cols]
+        aggs = [F.percentile_approx(c, 0.5, 100000).cast("double").alias(c) for c in cols]
     else:
         raise ValueError(how)
     row = df.agg(*aggs).first().asDict()
@@ -40,21 +37,18 @@ def column_stats(df: DataFrame, cols: Sequence[str], how: str = "median", exact:
 
 
 def impute(df: DataFrame, cols: Sequence[str], how: str = "mean", exact: bool = True) -> DataFrame:
-    """Fill NULLs with the column mean or exact median (one aggregate)."""
+    """Fill NULLs with the column mean or exact median."""
     return df.fillna(column_stats(df, cols, how, exact))
 
 
-def impute_group_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str], bound_rows: int | None = None,
-                      suffix: str = "") -> DataFrame:
+def impute_group_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str], suffix: str = "") -> DataFrame:
     """Fill NULLs with the mean of the row's group.
 
     A grouped aggregate (map-side combined) joined back on the group key:
-    no window, so a hot group never lands in one task.  ``bound_rows`` is the
-    caller's bound on the number of groups (e.g. 24 hours) -> broadcast.
+    no window, so a hot group never lands in one task.  Adaptive execution
+    chooses the join from the measured size of the group table.
     """
     stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-    if bound_rows is not None:
-        stats = bounded_broadcast(stats, bound_rows)
     out = df.join(stats, list(by), "left")
     out = out.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in cols})
     return out.drop(*[f"__m_{c}" for c in cols])

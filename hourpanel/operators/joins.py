@@ -1,27 +1,20 @@
 """Join and set operators (all hash equi-joins).
 
-Small sides are broadcast only when their size is bounded by construction
-(a key domain such as 24 hours x 7 weekdays, a top-k list); sides whose size
-depends on the data are left unhinted so adaptive execution picks broadcast
-or sort-merge from the measured shuffle size (and splits skewed partitions).
+No side is hinted: adaptive execution picks broadcast or sort-merge from the
+measured shuffle size and splits skewed partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import bounded_broadcast
 
-
-def join_group_mean(df: DataFrame, keys: Sequence[str], value: str, suffix: str = "_hour_day_avg",
-                    bound_rows: int | None = None) -> DataFrame:
+def join_group_mean(df: DataFrame, keys: Sequence[str], value: str, suffix: str = "_hour_day_avg") -> DataFrame:
     """Inner-merge the mean of ``value`` per key combination back onto the rows."""
     means = df.groupBy(*keys).agg(F.avg(value).alias(f"{value}{suffix}"))
-    if bound_rows is not None:
-        means = bounded_broadcast(means, bound_rows)
     return df.join(means, list(keys), "inner")
 
 
@@ -42,12 +35,9 @@ def keep_common(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, DataFr
     return a.join(keys, key, "left_semi"), b.join(keys, key, "left_semi")
 
 
-def keep_in(df: DataFrame, keys_df: DataFrame, key: str, bound_rows: int | None = None) -> DataFrame:
+def keep_in(df: DataFrame, keys_df: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in a (top) list: left-semi join."""
-    k = keys_df.select(key)
-    if bound_rows is not None:
-        k = bounded_broadcast(k, bound_rows)
-    return df.join(k, key, "left_semi")
+    return df.join(keys_df.select(key), key, "left_semi")
 
 
 def map_back(df: DataFrame, values: DataFrame, key: Sequence[str], value: str, fallback: str,
@@ -79,7 +69,3 @@ def one_hot_columns(df: DataFrame, col: str, values: Sequence, prefix: str | Non
     """Append 0/1 dummy columns for a known category domain (no positional join)."""
     p = prefix or col
     return df.withColumns({f"{p}_{v}": (F.col(col) == F.lit(v)).cast("int") for v in values})
-
-
-def eq_null_safe(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

@@ -1,4 +1,4 @@
-"""Data behind charts: histograms, box statistics and bounded seeded samples.
+"""Data behind charts: histograms on one and two axes and box statistics.
 
 Rendering is out of scope; these are the aggregates a chart needs, so the
 same chart can be drawn from a cluster-size table.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     """Equal-width bins between the column's min and max (two scalar
@@ -21,21 +23,21 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
 
 
 def box_stats(df: DataFrame, col: str) -> DataFrame:
-    q = df.select(F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return q.select(F.inline(F.array(
-        F.struct(F.lit("box_q1").alias("kind"), F.col("q")[0].alias("x")),
-        F.struct(F.lit("box_median").alias("kind"), F.col("q")[1].alias("x")),
-        F.struct(F.lit("box_q3").alias("kind"), F.col("q")[2].alias("x")))))
-
-
-def seeded_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Up to n rows for a scatter plot: a Bernoulli sample sized from the row
-    count (reproducible by seed), then a bounded top-n by a seeded random key."""
-    total = df.count()
-    if total == 0:
-        return df
-    frac = min(1.0, 2.0 * n / total)
-    return df.sample(False, frac, seed).orderBy(F.rand(seed)).limit(n)
+    q = exact_quantiles(df, {col: [0.25, 0.5, 0.75]})[col]
+    return df.sparkSession.createDataFrame(list(zip(("box_q1", "box_median", "box_q3"), q)), "kind string, x double")
+
+
+def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
+    """Row counts on an equal-width grid over the range of two columns: the
+    data of a scatter chart, over all rows.  Rows with a missing value have no
+    place in the chart; the max falls in the last bin of its axis."""
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    row = d.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+
+    def axis(c, lo, hi):
+        width = (hi - lo) if hi is not None and hi != lo else 1.0
+        return F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width) * bins).cast("long"), F.lit(bins - 1)).alias(f"{c}_bin")
+    return d.groupBy(axis(x, *row[:2]), axis(y, *row[2:])).agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
 def kde_binned(df: DataFrame, col: str, bins: int = 512, grid: int = 100, bandwidth: float | None = None) -> DataFrame:

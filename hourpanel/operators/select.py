@@ -62,10 +62,10 @@ def complete_set_shares(df: DataFrame, sets: Mapping[str, Sequence[str]]) -> Dat
 def select_dataset(df: DataFrame, mode: str = "basic") -> DataFrame:
     sets = {"complete": SET_COMPLETE, "basic": SET_BASIC,
             "interpolated": ["ta_interpolated", "ws_interpolated", "rn_hr1_filled", "hm_interpolated"]}
-    cols = sets[mode]
-    if mode == "interpolated" and not all(c in df.columns for c in cols):
-        cols = SET_BASIC
-    return complete_rows(df, cols)
+    missing = [c for c in sets[mode] if c not in df.columns]
+    if missing:
+        raise ValueError(f"data set {mode!r} needs the columns {missing}")
+    return complete_rows(df, sets[mode])
 
 
 def slice_stats(df: DataFrame, y: str, **equals) -> DataFrame:
@@ -115,10 +115,3 @@ def sparse_columns(frames: Sequence[DataFrame], cols: Sequence[str], threshold:
 def drop_sparse(train: DataFrame, test: DataFrame, cols: Sequence[str], threshold: float = 0.5):
     bad = sparse_columns([train, test], cols, threshold)
     return train.drop(*bad), test.drop(*bad), [c for c in cols if c not in bad]
-
-
-def any_null_filter(cols: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return cond

@@ -8,18 +8,19 @@ station holds a third of the table, that task holds a third of the table.
 Every operator here therefore works on a *dense row position* ``pos`` inside
 the series and on fixed-size *position blocks*:
 
-1. ``sequence_index``: rows are counted per (series, coarse time bucket) (a
-   map-side combined aggregate), bucket offsets are a running sum over that
-   small count table, and ``row_number`` runs inside (series, bucket) only.
-   ``pos = offset + row_number - 1`` is the exact position in the series.
+1. ``sequence_index``: one range shuffle on (series, order) cuts a long
+   series over many tasks; every sorted partition numbers its rows, the rows
+   per (series, partition) are counted, and a running sum over that small
+   count table gives each partition's offset inside the series.
 2. Bounded windows (lag k, lead k, rolling k) run per (series, block of
    ``block_rows`` positions).  The last ``before`` rows of the previous
    block and the first ``after`` rows of the next one are copied in as halo
    rows, so each block task sees exactly what its rows need; halo rows are
    dropped afterwards.  Task size is bounded by ``block_rows + halo``.
 3. Unbounded scans (fills) are two-level: the scan runs inside each block,
-   each block's last (first) non-null value is summarised in a tiny table,
-   carried across blocks by a window over that table, and joined back.
+   each block's last (first) non-null value is summarised in a table of one
+   row per ``block_rows`` rows, carried across blocks by a window over that
+   table, and joined back: a series of 10^11 rows is 10^5 summary rows.
 
 With ``block_rows=None`` the operators fall back to a plain per-series
 window (one shuffle, fine when no series is large).
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._util import col_of
+from ..session import materialize
 
 DEFAULT_BLOCK_ROWS = 1_000_000
 UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
@@ -40,32 +42,31 @@ UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
 
 # --------------------------------------------------------------------------- positions
 def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
-                   bucket: Column | None = None, pos: str = "pos", length: str | None = None) -> DataFrame:
+                   pos: str = "pos", length: str | None = None, ranges: int | None = None) -> DataFrame:
     """Add the 0-based row position of each row inside its series.
 
-    ``order`` must be a total order inside a series (add tie-break columns).
-    ``bucket`` is a coarse, order-compatible time bucket (e.g. the month of
-    the stamp); with it no task ever holds more than one (series, bucket).
-    ``length`` optionally adds the series length.
+    ``order`` must be a total order inside a series (add tie-break columns);
+    the series keys must not be NULL.  ``length`` optionally adds the series
+    length.  ``ranges`` sets the number of range partitions (default: the
+    session's shuffle partitions).
+
+    No task holds more than one range, whatever share of the rows a series
+    has.  The numbered rows are checkpointed, since the numbers depend on the
+    ranges: pass only the columns that later steps read.
     """
     keys = list(keys)
-    order_cols = [col_of(o) for o in order]
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order_cols)
-        out = df.withColumn(pos, F.row_number().over(w) - 1)
-        if length:
-            out = out.withColumn(length, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        return out
-    d = df.withColumn("__bkt", bucket)
-    counts = d.groupBy(*keys, "__bkt").agg(F.count(F.lit(1)).alias("__n"))
-    wc = Window.partitionBy(*keys).orderBy("__bkt")
+    by = [*[F.col(k) for k in keys], *[col_of(o) for o in order]]
+    d = df.repartitionByRange(*([ranges] if ranges else []), *by).sortWithinPartitions(*by)
+    # the id is (partition number << 33) + row number inside the sorted partition
+    d = materialize(d.withColumn("__id", F.monotonically_increasing_id()))
+    d = d.withColumn("__range", F.shiftright("__id", 33))
+    counts = d.groupBy(*keys, "__range").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    wc = Window.partitionBy(*keys).orderBy("__range")
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(wc.rowsBetween(UNB_PRE, -1)), F.lit(0)))
     if length:
         offs = offs.withColumn(length, F.sum("__n").over(Window.partitionBy(*keys)))
-    offs = offs.drop("__n")
-    j = d.join(offs, [*keys, "__bkt"])
-    w = Window.partitionBy(*keys, "__bkt").orderBy(*order_cols)
-    return j.withColumn(pos, F.col("__off") + F.row_number().over(w) - 1).drop("__off", "__bkt")
+    out = d.join(offs.drop("__n"), [*keys, "__range"])
+    return out.withColumn(pos, F.col("__off") + F.col("__id") - F.col("__first")).drop("__off", "__first", "__id", "__range")
 
 
 # --------------------------------------------------------------------------- bounded windows
@@ -228,12 +229,12 @@ def chrono_split(df: DataFrame, time_col: str, train_share: float = 0.8, part: s
     """Tag rows 'train'/'test' by chronological rank of the distinct stamps.
 
     The distinct stamp table is bounded by the number of hours in the span
-    (not by the rows), so its single ordered window and broadcast are cheap.
+    (not by the rows), so its single ordered window is cheap.
     """
     stamps = df.select(time_col).distinct()
     ranked = stamps.withColumn("__pr", F.percent_rank().over(Window.orderBy(time_col)))
     cut = ranked.select(time_col, F.when(F.col("__pr") < train_share, "train").otherwise("test").alias(part))
-    return df.join(F.broadcast(cut), time_col)
+    return df.join(cut, time_col)
 
 
 # --------------------------------------------------------------------------- decomposition
@@ -270,7 +271,6 @@ def decompose_additive(df: DataFrame, keys: Sequence[str], pos: str, length: str
             ma = F.avg(y).over(w.rowsBetween(-half, half))
         return {"__trend0": F.when((p >= half) & (p <= n - 1 - half), ma)}
 
-    from ..session import materialize
     t = materialize(block_windows(df, keys, pos, make, before=half, after=half, block_rows=block_rows))
     front, back = F.lit(half), n - 1 - half
     in_front = (p >= front) & (p < F.least(front + period, back))

@@ -55,14 +55,15 @@ class FeatureChainModel:
 
 class FeatureChain:
     def __init__(self, series_keys: Sequence[str] = ("station_name",), order: Sequence[str] = ("tm",),
-                 bucket_col: str = "tm", exact: bool = True, block_rows: int | None = se.DEFAULT_BLOCK_ROWS,
+                 exact: bool = True, block_rows: int | None = se.DEFAULT_BLOCK_ROWS,
                  refit: bool = False, exclude: Sequence[str] = ()):
         self.series_keys, self.order = list(series_keys), list(order)
-        self.bucket_col, self.exact, self.block_rows, self.refit = bucket_col, exact, block_rows, refit
+        self.exact, self.block_rows, self.refit = exact, block_rows, refit
         self.exclude = set(exclude)
 
     def features(self, df: DataFrame, thresholds: dict) -> DataFrame:
-        d = cl.clean_weather(df)
+        d = se.sequence_index(cl.clean_weather(df), self.series_keys, self.order)
+        d = se.add_lags_and_means(d, self.series_keys, "pos", WEATHER, [24], [3, 6, 12], block_rows=self.block_rows)
         d = ft.with_extreme_flags(d, thresholds)
         if "hour" not in d.columns:
             d = cal.with_calendar(d)
@@ -71,9 +72,7 @@ class FeatureChain:
                            **cal.dow_flags("dayofweek")})
         d = cal.cyclic_features(d, week="week_of_year")
         d = d.withColumns(ft.interaction_columns())
-        d = d.withColumn("extreme_weather_rush", ft.extreme_rush())
-        d = se.sequence_index(d, self.series_keys, self.order, bucket=F.floor(F.col(self.bucket_col) / 10000))
-        return se.add_lags_and_means(d, self.series_keys, "pos", WEATHER, [24], [3, 6, 12], block_rows=self.block_rows)
+        return d.withColumn("extreme_weather_rush", ft.extreme_rush())
 
     def fit(self, train: DataFrame) -> FeatureChainModel:
         thresholds = ft.extreme_thresholds(cl.clean_weather(train), self.exact)

@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators.quantiles import exact_quantiles
 
 # ---------------------------------------------------------------------------
 # Model settings of the study.
 FOREST_TREES, SEED = 100, 42
 BOOST_DEFAULT = {"maxIter": 200, "maxDepth": 6}
-BOOST_LARGE = {"maxIter": 2000, "maxDepth": 15, "stepSize": 0.03, "subsamplingRate": 0.8}
 SEARCH_SPACE = {"maxIter": (100, 1000), "maxDepth": (3, 12), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0),
                 "featureSubsetStrategy": (0.6, 1.0)}
 VARIANCE_MIN = 0.01
@@ -40,8 +40,9 @@ TIME_FEATURES = ["hour", "dayofweek", "month", "hour_sin", "hour_cos", "day_sin"
 # --------------------------------------------------------------------------- splits
 def hash_split(df: DataFrame, key: Sequence[str], train_share: float = 0.8, seed: int = SEED,
                part: str = "part") -> DataFrame:
-    """Reproducible random split by a hash of the row key (independent of partitioning)."""
-    u = (F.abs(F.xxhash64(F.lit(seed), *key)) % 1_000_000) / 1_000_000.0
+    """Reproducible random split by the MD5 of an integer or text row key (independent of partitioning)."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1_000_000) / 1_000_000.0
     return df.withColumn(part, F.when(u < train_share, "train").otherwise("test"))
 
 
@@ -54,7 +55,7 @@ def time_folds(df: DataFrame, time_col: str, n_splits: int = 3, fold: str = "fol
     by ``ntile`` (a window over the bounded distinct-stamp table)."""
     stamps = df.select(time_col).distinct()
     stamps = stamps.withColumn(fold, F.ntile(n_splits + 1).over(Window.orderBy(time_col)) - 1)
-    return df.join(F.broadcast(stamps), time_col)
+    return df.join(stamps, time_col)
 
 
 # --------------------------------------------------------------------------- encoding / scaling
@@ -101,12 +102,12 @@ def sample_weights(df: DataFrame, y: str, high_threshold: float, weekend: str =
 
 
 def high_threshold(df: DataFrame, y: str, q: float = HIGH_Q) -> float:
-    return float(df.select(F.percentile(y, q)).first()[0])
+    return exact_quantiles(df, {y: [q]})[y][0]
 
 
 # --------------------------------------------------------------------------- models
 def assemble(features: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip")
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
 
 
 def regressor(kind: str, label: str, params: Mapping | None = None, weight: str | None = None):
@@ -128,7 +129,8 @@ def regressor(kind: str, label: str, params: Mapping | None = None, weight: str
 
 def fit_model(train: DataFrame, features: Sequence[str], label: str, kind: str, params: Mapping | None = None,
               weight: str | None = None) -> PipelineModel:
-    """Assemble + regressor pipeline.  Estimators pass over the data several
+    """Assemble + regressor pipeline (a missing feature is an error: drop or fill
+    such rows before).  Estimators pass over the data several
     times (statistics, solve / tree levels, training summary), so only the
     needed columns are persisted for the duration of the fit."""
     cols = list(dict.fromkeys([*features, label] + ([weight] if weight else [])))

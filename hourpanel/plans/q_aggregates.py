@@ -8,6 +8,7 @@ from ..functions import bins as bn
 from ..functions import calendar as cal
 from ..functions import features as ft
 from ..operators import aggregate as ag
+from ..operators.quantiles import exact_quantiles
 from .common import clean, final, r, with_clean
 from .registry import register
 
@@ -379,14 +380,16 @@ select s.season, round(avg(case when ta >= q90 then congestion end), 6) as hot_m
 from s join q on s.season = q.season group by s.season"""))
 def agg_season_extremes(spark, sf):
     """Per season: mean congestion in the top/bottom temperature decile (season-wise
-    quantiles, a grouped aggregate joined back on the 4-row season key), rainy vs dry."""
+    quantiles: one column of temperatures per season label), rainy vs dry."""
     df = clean(spark, sf).withColumn("season", cal.season("month", "label"))
-    q = df.groupBy("season").agg(F.percentile("ta", 0.1).alias("q10"), F.percentile("ta", 0.9).alias("q90"))
-    j = df.join(F.broadcast(q), "season")  # <= 5 season labels
+    labels = ["봄", "여름", "가을", "겨울"]  # every month 1-12 has one of the four
+    by_season = df.select(*[F.when(F.col("season") == s, F.col("ta")).alias(s) for s in labels])
+    q = exact_quantiles(by_season, {s: [0.1, 0.9] for s in labels})
+    q10, q90 = [F.coalesce(*[F.when(F.col("season") == s, F.lit(q[s][i])) for s in labels]).cast("double") for i in (0, 1)]
     y = F.col("congestion")
-    out = j.groupBy("season").agg(
-        r(F.avg(F.when(F.col("ta") >= F.col("q90"), y))).alias("hot_mean"),
-        r(F.avg(F.when(F.col("ta") <= F.col("q10"), y))).alias("cold_mean"),
+    out = df.groupBy("season").agg(
+        r(F.avg(F.when(F.col("ta") >= q90, y))).alias("hot_mean"),
+        r(F.avg(F.when(F.col("ta") <= q10, y))).alias("cold_mean"),
         r(F.avg(F.when(F.col("rn_hr1") > 0, y))).alias("rainy_mean"),
         r(F.avg(F.when(F.col("rn_hr1") == 0, y))).alias("dry_mean"))
     return final(out)

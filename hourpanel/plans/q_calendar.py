@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bins as bn
 from ..functions import calendar as cal
 from ..functions import features as ft
+from ..operators.quantiles import exact_quantiles
 from ..sources import fixtures as fx
 from .common import clean, final, r, sql_case_in, with_clean
 from .registry import register
@@ -277,8 +278,7 @@ from b group by band"""))
 def bin_quantile_bands(spark, sf):
     """Rows per temperature quantile band (bands overlap at q95) and mean target per band."""
     df = clean(spark, sf)
-    qs = df.agg(F.percentile("ta", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.75, 0.95)])).alias("q")).first()["q"]
-    q05, q25, q75, q95 = [F.lit(v) for v in qs]
+    q05, q25, q75, q95 = [F.lit(v) for v in exact_quantiles(df, {"ta": [0.05, 0.25, 0.75, 0.95]})["ta"]]
     ex = df.select(F.explode(bn.quantile_band_masks("ta", q05, q25, q75, q95)).alias("band"), "congestion")
     out = ex.groupBy("band").agg(F.count(F.lit(1)).cast("long").alias("n"), r(F.avg("congestion")).alias("mean_congestion"))
     return final(out)

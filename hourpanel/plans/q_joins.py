@@ -27,7 +27,7 @@ select {KEY_SQL}, round(congestion_hour_day_avg, 6) as congestion_hour_day_avg
 from clean join m using (hour, dayofweek)"""))
 def join_group_avg(spark, sf):
     """Hour x weekday mean merged back onto every row (168-row side, broadcast)."""
-    df = jn.join_group_mean(clean(spark, sf), ["hour", "dayofweek"], "congestion", bound_rows=24 * 7)
+    df = jn.join_group_mean(clean(spark, sf), ["hour", "dayofweek"], "congestion")
     return final(df.select(*KEY, r("congestion_hour_day_avg").alias("congestion_hour_day_avg")))
 
 
@@ -69,7 +69,7 @@ def join_isin_top(spark, sf):
     df = clean(spark, sf)
     top = ag.top_k(df.groupBy("station_name").agg(F.avg("congestion").alias("m")),
                    [F.desc("m"), F.asc("station_name")], 5)
-    return final(jn.keep_in(df, top, "station_name", bound_rows=5).select(*KEY, "station_name"))
+    return final(jn.keep_in(df, top, "station_name").select(*KEY, "station_name"))
 
 
 @register("join_map_back", with_clean(f"""

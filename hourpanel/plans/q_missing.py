@@ -10,7 +10,6 @@ from ..operators import select as sel
 from ..operators import series as se
 from ..sources import fixtures as fx
 from .common import clean, final, r, with_clean
-from ..session import materialize
 from .registry import register
 
 KEY = fx.ROW_KEY
@@ -18,7 +17,6 @@ KEY_SQL = ", ".join(KEY)
 WCOLS = ["ta", "ws", "hm", "si", "rn_hr1"]
 BASIC = ["ta", "ws", "rn_hr1", "hm"]
 W_ST = f"partition by station_name order by {KEY_SQL}"
-BLOCK_ROWS = 168
 
 
 @register("agg_null_profile", with_clean(" union all ".join(
@@ -94,10 +92,10 @@ def agg_row_null_count(spark, sf):
 def dataset_c(spark, sf):
     """Set C: ta/ws/hm interpolated by position inside each station series
     among rows with fewer than two missing basic variables; rain gaps -> 0."""
-    df = ms.with_row_nulls(clean(spark, sf), BASIC)
+    df = ms.with_row_nulls(clean(spark, sf).select("station_name", *KEY, *BASIC, "si", "hour", "congestion"), BASIC)
     ok = df.filter(~F.col("multiple_missing"))
-    ok = materialize(se.sequence_index(ok, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000)))
-    ok = se.interpolate_linear(ok, ["station_name"], "pos", ["ta", "ws", "hm"], block_rows=BLOCK_ROWS).drop("pos")
+    ok = se.sequence_index(ok, ["station_name"], KEY)
+    ok = se.interpolate_linear(ok, ["station_name"], "pos", ["ta", "ws", "hm"]).drop("pos")
     rest = df.filter(F.col("multiple_missing")).withColumns(
         {f"{c}_interpolated": F.col(c) for c in ("ta", "ws", "hm")})
     allrows = ok.unionByName(rest)

@@ -68,10 +68,13 @@ def with_p(body: str) -> str:
 
 
 # --------------------------------------------------------------------------- splits, encoding, scaling
-@register("ml_random_split")
+@register("ml_random_split", with_p("""
+with s as (select congestion, case when (cast('0x' || substr(md5(concat_ws('|', '42', tm, l_orderkey, l_partkey, l_suppkey,
+             l_linenumber)), 1, 8) as bigint) % 1000000) / 1000000.0 < 0.8 then 'train' else 'test' end as part from m)
+select part, count(*) as n, round(avg(congestion), 6) as mean_y from s group by part"""))
 def ml_random_split(spark, sf):
     """80/20 split by a seeded hash of the row key (reproducible under any partitioning)."""
-    df = ml.hash_split(model_frame(spark, sf), KEY, 0.8, 42)
+    df = ml.hash_split(model_frame(spark, sf), KEY[:-1], 0.8, 42)  # the integer keys
     return final(df.groupBy("part").agg(F.count(F.lit(1)).cast("long").alias("n"),
                                         r(F.avg("congestion")).alias("mean_y")))
 
@@ -270,20 +273,21 @@ def ml_target_swap(spark, sf):
     tr, te = parts(spark, sf)
     tr2, te2, _ = ml.time_residual(tr, te, "congestion")
     feats = ["ta", "ws", "rn_hr1", "hm", "is_holiday", "is_weekend"]
-    model = ml.fit_model(tr2, feats, "residual", "forest", {"numTrees": 40})
+    model = ml.fit_model(tr2, feats, "residual", "forest")
     return _metrics_frame(spark, [("forest_on_residual", ml.evaluate(model, te2, "residual"))])
 
 
 @register("ml_lag_model")
 def ml_lag_model(spark, sf):
     """Models with and without lags 1-3 and the hour x weekday mean; compare RMSE / R^2."""
-    from ..operators import joins as jn
     from ..operators import series as se
-    df = model_frame(spark, sf)
-    df = se.sequence_index(df, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000))
-    df = se.add_lags(df, ["station_name"], "pos", ["congestion"], [1, 2, 3], block_rows=100_000)
-    df = jn.join_group_mean(df, ["hour", "dayofweek"], "congestion", bound_rows=168)
+    df = model_frame(spark, sf).select("station_name", *KEY, *BASE_FEATURES, "congestion")
+    df = se.sequence_index(df, ["station_name"], KEY)
+    df = se.add_lags(df, ["station_name"], "pos", ["congestion"], [1, 2, 3])
     df = se.drop_warmup(df, ["congestion_lag_1", "congestion_lag_2", "congestion_lag_3"])
+    train = df.filter(F.col("tm") < SPLIT_TM)  # the means are the train period's, for both parts
+    means = train.groupBy("hour", "dayofweek").agg(F.avg("congestion").alias("congestion_hour_day_avg"))
+    df = df.join(means, ["hour", "dayofweek"])
     tr, te = df.filter(F.col("tm") < SPLIT_TM), df.filter(F.col("tm") >= SPLIT_TM)
     lag_feats = BASE_FEATURES + ["congestion_lag_1", "congestion_lag_2", "congestion_lag_3", "congestion_hour_day_avg"]
     rows = []
@@ -413,8 +417,13 @@ def eval_residuals(spark, sf):
     return final(h.unionByName(s))
 
 
-@register("eval_scatter_sample")
-def eval_scatter_sample(spark, sf):
-    """Bounded seeded sample of (actual, predicted) pairs for a scatter chart (sampling is the feature)."""
-    d = baseline_predictions(spark, sf).select("congestion", "prediction")
-    return pdat.seeded_sample(d, 5000, 42)
+@register("eval_scatter_density", with_p("""
+with b as (select min(congestion) as xl, max(congestion) as xh, min(prediction) as yl, max(prediction) as yh
+           from p where congestion is not null and prediction is not null)
+select least(cast(floor((congestion - xl) / (xh - xl) * 50) as bigint), 49) as congestion_bin,
+       least(cast(floor((prediction - yl) / (yh - yl) * 50) as bigint), 49) as prediction_bin,
+       count(*) as n
+from p, b where congestion is not null and prediction is not null group by all"""))
+def eval_scatter_density(spark, sf):
+    """Actual against predicted on a 50 x 50 grid, all rows."""
+    return final(pdat.histogram_2d(baseline_predictions(spark, sf), "congestion", "prediction", 50))

@@ -1,8 +1,7 @@
 """Registered window / time-series queries.
 
-Series queries run the skew-safe block path with one-week blocks
-(``BLOCK_ROWS`` hourly positions), so halo and carry logic is exercised on
-every series even at the small scale factors.
+Series queries run the skew-safe block path with the library's block size;
+the tests run the same operators with small blocks.
 """
 
 from __future__ import annotations
@@ -12,10 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import series as se
 from ..sources import fixtures as fx
 from .common import clean, final, hourly, r, with_clean, with_hourly
-from ..session import materialize
 from .registry import register
 
-BLOCK_ROWS = 168
 KEY = fx.ROW_KEY
 KEY_SQL = ", ".join(KEY)
 W_ST = f"partition by station_name order by {KEY_SQL}"
@@ -23,16 +20,14 @@ W_H = "partition by station_name order by ts_hour"
 
 
 def hourly_pos(spark, sf):
-    """Hourly panel with its position inside each station's series (month buckets)."""
-    df = hourly(spark, sf)
-    return materialize(se.sequence_index(df, ["station_name"], ["ts_hour"], bucket=F.date_trunc("month", "ts_hour"),
-                                         length="n_rows"))
+    """Hourly panel with its position inside each station's series."""
+    df = hourly(spark, sf).select("station_name", "ts_hour", "congestion")
+    return se.sequence_index(df, ["station_name"], ["ts_hour"], length="n_rows")
 
 
-def wide_pos(spark, sf):
-    """Cleaned wide panel, series = station, ordered by stamp + row-key tie-break."""
-    df = clean(spark, sf)
-    return materialize(se.sequence_index(df, ["station_name"], KEY, bucket=F.floor(F.col("tm") / 10000)))
+def wide_pos(spark, sf, cols):
+    """Key and ``cols`` of the cleaned wide panel, series = station, ordered by stamp + row-key tie-break."""
+    return se.sequence_index(clean(spark, sf).select("station_name", *KEY, *cols), ["station_name"], KEY)
 
 
 @register("win_lag_target", with_hourly(f"""
@@ -40,7 +35,7 @@ select station_name, ts_hour, {', '.join(f'lag(congestion, {k}) over ({W_H}) as
 from hourly"""))
 def win_lag_target(spark, sf):
     df = se.add_lags(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"], [1, 2, 3, 24, 48],
-                     block_rows=BLOCK_ROWS, name="{col}_lag_{k}")
+                     name="{col}_lag_{k}")
     return final(df.select("station_name", "ts_hour", *[f"congestion_lag_{k}" for k in (1, 2, 3, 24, 48)]))
 
 
@@ -50,7 +45,7 @@ _WV = ["ta", "ws", "rn_hr1", "hm"]
 @register("win_lag_weather", with_clean(f"""
 select {KEY_SQL}, {', '.join(f'lag({c}, 24) over ({W_ST}) as {c}_lag_24' for c in _WV)} from clean"""))
 def win_lag_weather(spark, sf):
-    df = se.add_lags(wide_pos(spark, sf), ["station_name"], "pos", _WV, [24], block_rows=BLOCK_ROWS)
+    df = se.add_lags(wide_pos(spark, sf, _WV), ["station_name"], "pos", _WV, [24])
     return final(df.select(*KEY, *[f"{c}_lag_24" for c in _WV]))
 
 
@@ -58,7 +53,7 @@ def win_lag_weather(spark, sf):
 select {KEY_SQL}, {', '.join(f'round(avg({c}) over ({W_ST} rows between {k - 1} preceding and current row), 6) as {c}_ma_{k}'
                               for c in _WV for k in (3, 6, 12))} from clean"""))
 def win_ma_weather(spark, sf):
-    df = se.add_rolling_means(wide_pos(spark, sf), ["station_name"], "pos", _WV, [3, 6, 12], block_rows=BLOCK_ROWS)
+    df = se.add_rolling_means(wide_pos(spark, sf, _WV), ["station_name"], "pos", _WV, [3, 6, 12])
     return final(df.select(*KEY, *[r(f"{c}_ma_{k}").alias(f"{c}_ma_{k}") for c in _WV for k in (3, 6, 12)]))
 
 
@@ -67,8 +62,7 @@ select station_name, ts_hour, {', '.join(
     f'round(avg(congestion) over ({W_H} rows between {k - 1} preceding and current row), 6) as congestion_ma_{k}'
     for k in (3, 6, 12, 24))} from hourly"""))
 def win_ma_target(spark, sf):
-    df = se.add_rolling_means(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"], [3, 6, 12, 24],
-                              block_rows=BLOCK_ROWS)
+    df = se.add_rolling_means(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"], [3, 6, 12, 24])
     return final(df.select("station_name", "ts_hour", *[r(f"congestion_ma_{k}").alias(f"congestion_ma_{k}")
                                                          for k in (3, 6, 12, 24)]))
 
@@ -82,7 +76,7 @@ _FFBF_SQL = f"""coalesce(congestion,
 select station_name, ts_hour, round(coalesce({_FFBF_SQL}, (select median(congestion) from hourly)), 6) as congestion
 from hourly"""))
 def win_fill_ff_bf(spark, sf):
-    df = se.fill_ff_bf(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"], block_rows=BLOCK_ROWS)
+    df = se.fill_ff_bf(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"])
     return final(df.select("station_name", "ts_hour", r("congestion").alias("congestion")))
 
 
@@ -93,8 +87,8 @@ select {KEY_SQL}, coalesce(ta_lag_24, ta, 0.0) as ta_lag_24,
        round(coalesce(congestion_lag_1, avg(congestion_lag_1) over (partition by station_name), 50.0), 6) as congestion_lag_1
 from l"""))
 def win_fill_lag(spark, sf):
-    df = se.add_lags(wide_pos(spark, sf), ["station_name"], "pos", ["ta"], [24], block_rows=BLOCK_ROWS)
-    df = se.add_lags(df, ["station_name"], "pos", ["congestion"], [1], block_rows=BLOCK_ROWS)
+    df = se.add_lags(wide_pos(spark, sf, ["ta", "congestion"]), ["station_name"], "pos", ["ta"], [24])
+    df = se.add_lags(df, ["station_name"], "pos", ["congestion"], [1])
     df = se.fill_lag_features(df, ["station_name"], {"ta_lag_24": "ta"}, ["congestion_lag_1"])
     return final(df.select(*KEY, "ta_lag_24", r("congestion_lag_1").alias("congestion_lag_1")))
 
@@ -114,7 +108,7 @@ select station_name, ts_hour,
                   when pi is not null then pv end, 6) as congestion_interpolated
 from q"""))
 def win_interpolate(spark, sf):
-    df = se.interpolate_linear(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"], block_rows=BLOCK_ROWS)
+    df = se.interpolate_linear(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"])
     return final(df.select("station_name", "ts_hour", r("congestion_interpolated").alias("congestion_interpolated")))
 
 
@@ -122,8 +116,7 @@ def win_interpolate(spark, sf):
 select * from (select station_name, ts_hour, {', '.join(f'lag(congestion, {k}) over ({W_H}) as lag_{k}' for k in (1, 2, 3))}
                from hourly) where lag_1 is not null and lag_2 is not null and lag_3 is not null"""))
 def win_drop_warmup(spark, sf):
-    df = se.add_lags(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"], [1, 2, 3],
-                     block_rows=BLOCK_ROWS, name="lag_{k}")
+    df = se.add_lags(hourly_pos(spark, sf), ["station_name"], "pos", ["congestion"], [1, 2, 3], name="lag_{k}")
     df = se.drop_warmup(df, ["lag_1", "lag_2", "lag_3"])
     return final(df.select("station_name", "ts_hour", "lag_1", "lag_2", "lag_3"))
 
@@ -173,8 +166,8 @@ from t join phc on t.station_name = phc.station_name and t.pos % 24 = phc.phase"
 def win_decompose(spark, sf):
     """Daily-period additive decomposition of the gap-filled hourly series."""
     df = hourly_pos(spark, sf)
-    df = se.fill_ff_bf(df, ["station_name"], "pos", ["congestion"], median_fallback=False, block_rows=BLOCK_ROWS)
-    out = se.decompose_additive(df, ["station_name"], "pos", "n_rows", "congestion", 24, block_rows=BLOCK_ROWS)
+    df = se.fill_ff_bf(df, ["station_name"], "pos", ["congestion"], median_fallback=False)
+    out = se.decompose_additive(df, ["station_name"], "pos", "n_rows", "congestion", 24)
     return final(out.select("station_name", "ts_hour", r("trend").alias("trend"), r("seasonal").alias("seasonal"),
                             r("residual").alias("residual")))
 
@@ -187,7 +180,7 @@ def impute_chain(spark, sf):
     from .feature_chain import FeatureChain
     df = cal_panel(spark, sf)
     tr, te = df.filter(F.col("tm") < 2000000000), df.filter(F.col("tm") >= 2000000000)
-    chain = FeatureChain(series_keys=["station_name"], order=KEY, block_rows=BLOCK_ROWS,
+    chain = FeatureChain(series_keys=["station_name"], order=KEY,
                          exclude=["tm", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"])
     model = chain.fit(tr)
     return pio.profile(model.transform(te))

@@ -13,6 +13,7 @@ from ..functions import calendar as cal
 from ..operators import effects as fx_eff
 from ..operators import select as sel
 from ..operators import stats as st
+from ..operators.quantiles import exact_quantiles
 from ..sources import fixtures as fx
 from .common import clean, final, r, sql_case_in, with_clean
 from ..session import materialize
@@ -73,6 +74,75 @@ def _pair_rows(vars_, src: str) -> str:
 MATRIX_VARS = ["congestion", "ta", "ws", "hm", "rn_hr1", "si"]
 
 
+def _simpson(density: str, low: str, high: str, steps: int) -> str:
+    """Integral of ``density`` (an expression of ``s``) in SQL."""
+    step = f"(({high}) - ({low})) / {steps}.0"
+    at = density.replace("<s>", f"(({low}) + {step} * i)")
+    return (f"{step} / 3 * list_sum([case when i = 0 or i = {steps} then 1.0 when i % 2 = 1 then 4.0 else 2.0 end"
+            f" * ({at}) for i in range({steps + 1})])")
+
+
+def _t_p_sql(t: str, v: str) -> str:
+    """Two-sided p-value: one minus twice the integral of the t density from 0 to |t| (flat beyond 60)."""
+    dens = (f"exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) / sqrt({v} * pi())"
+            f" * pow(1 + <s> * <s> / {v}, -({v} + 1) / 2.0)")
+    return f"greatest(0.0, 1 - 2 * ({_simpson(dens, '0.0', f'least(abs({t}), 60.0)', 2000)}))"
+
+
+def _f_p_sql(f: str, d1: str, d2: str) -> str:
+    """Upper tail of the F distribution: the beta density in sin^2 form, integrated up to x = d2 / (d2 + d1 F)."""
+    dens = (f"2 * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0))"
+            f" * pow(sin(<s>), {d2} - 1) * pow(cos(<s>), {d1} - 1)")
+    return _simpson(dens, "0.0", f"asin(sqrt({d2} / ({d2} + {d1} * {f})))", 40000)
+
+
+_STARS_SQL = "case when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' when p is not null then '' end"
+_SIZE_SQL = """case when abs(effect) >= 2 then '큰 효과' when abs(effect) >= 1 then '중간 효과'
+            when abs(effect) >= 0.5 then '작은 효과' else '' end"""
+
+
+def _regression_sql(name: str, means: str, using: str) -> str:
+    """Least squares of congestion on ta, ws, rn_hr1 and hm about the given means, in SQL.
+
+    Each regressor is replaced by what the earlier ones leave of it, the
+    target likewise; the slopes follow backwards.  Defines <name>_means,
+    <name>_coef (b1..b4, syy and sse) and what lies between.
+    """
+    n = name
+    return f"""
+{n}_means as ({means}),
+{n}_0 as (select congestion - my as y, ta - m1 as x1, ws - m2 as x2, rn_hr1 - m3 as x3, hm - m4 as x4
+          from a join {n}_means {using}),
+{n}_g1 as (select sum(x2 * x1) / sum(x1 * x1) as a21, sum(x3 * x1) / sum(x1 * x1) as a31,
+                  sum(x4 * x1) / sum(x1 * x1) as a41, sum(y * x1) / sum(x1 * x1) as c1, sum(y * y) as syy from {n}_0),
+{n}_1 as (select y - c1 * x1 as y, x2 - a21 * x1 as x2, x3 - a31 * x1 as x3, x4 - a41 * x1 as x4 from {n}_0, {n}_g1),
+{n}_g2 as (select sum(x3 * x2) / sum(x2 * x2) as a32, sum(x4 * x2) / sum(x2 * x2) as a42,
+                  sum(y * x2) / sum(x2 * x2) as c2 from {n}_1),
+{n}_2 as (select y - c2 * x2 as y, x3 - a32 * x2 as x3, x4 - a42 * x2 as x4 from {n}_1, {n}_g2),
+{n}_g3 as (select sum(x4 * x3) / sum(x3 * x3) as a43, sum(y * x3) / sum(x3 * x3) as c3 from {n}_2),
+{n}_3 as (select y - c3 * x3 as y, x4 - a43 * x3 as x4 from {n}_2, {n}_g3),
+{n}_g4 as (select sum(y * x4) / sum(x4 * x4) as c4 from {n}_3),
+{n}_sse as (select sum((y - c4 * x4) * (y - c4 * x4)) as sse from {n}_3, {n}_g4),
+{n}_b3 as (select *, c4 as b4, c3 - a43 * c4 as b3 from {n}_g1, {n}_g2, {n}_g3, {n}_g4, {n}_sse),
+{n}_b2 as (select *, c2 - a32 * b3 - a42 * b4 as b2 from {n}_b3),
+{n}_coef as (select *, c1 - a21 * b2 - a31 * b3 - a41 * b4 as b1 from {n}_b2)"""
+
+
+_MEANS = "avg(congestion) as my, avg(ta) as m1, avg(ws) as m2, avg(rn_hr1) as m3, avg(hm) as m4"
+_OLS_CTES = _regression_sql("o", f"select {_MEANS} from a", "on true")
+_FE_CTES = _regression_sql("e", f"select hour, count(*) as nh, {_MEANS} from a group by hour", "using (hour)") + """,
+alpha as (select hour, nh, my, my - b1 * m1 - b2 * m2 - b3 * m3 - b4 * m4 as alpha from e_means, e_coef),
+base as (select alpha as base_alpha from alpha order by hour limit 1),
+fe_hours as (select hour, nh, my, alpha - base_alpha as time_effect from alpha, base),
+adj as (select a.*, time_effect, congestion - time_effect as y_adj,
+               b1 * ta + b2 * ws + b3 * rn_hr1 + b4 * hm + base_alpha as climate_prediction
+        from a join fe_hours using (hour), e_coef, base)"""
+_SPLIT_CTES = _OLS_CTES + "," + _FE_CTES + """,
+ssb as (select sum(nh * (my - g) * (my - g)) as ssb from fe_hours, (select avg(congestion) as g from a)),
+r2 as (select 1 - o_coef.sse / o_coef.syy as w, ssb / (e_coef.syy + ssb) as t, 1 - e_coef.sse / (e_coef.syy + ssb) as f
+       from o_coef, e_coef, ssb)"""
+
+
 @register("stat_corr", with_a("""
 select round(corr(ta, congestion), 6) as r, cast(count_if(ta is not null and congestion is not null) as bigint) as n,
        round(corr(rn_hr1, congestion), 6) as r_rain from a"""))
@@ -115,7 +185,12 @@ def stat_corr_test(spark, sf):
                             "notable"))
 
 
-@register("stat_corr_test_pvalue")
+@register("stat_corr_test_pvalue", with_a(f"""
+with g as (select *, r * sqrt((n - 2) / (1 - r * r)) as t from ({_GROUPED_SQL}) where n > 2),
+w as (select *, {_t_p_sql('t', '(n - 2)')} as p from g)
+select time_group, variable, round(r, 6) as r, cast(n as bigint) as n, round(t, 6) as t, cast(n - 2 as bigint) as df,
+       round(p, 9) as p_value, {_STARS_SQL} as stars, {_strength_sql('r', 'five')} as strength,
+       cast(abs(r) >= 0.4 as bigint) as notable from w"""))
 def stat_corr_test_pvalue(spark, sf):
     """Same as stat_corr_test plus two-sided p-values and significance stars."""
     g = st.corr_grouped(analysis(spark, sf), ["time_group"], "congestion", CORR_VARS, min_n=2)
@@ -165,7 +240,19 @@ def stat_anova(spark, sf):
     return final(out.select("time_group", "label_set", "k", "n", "df1", "df2", r("f_stat").alias("f_stat")))
 
 
-@register("stat_anova_pvalue")
+@register("stat_anova_pvalue", with_a(f"""
+with l as ({_ANOVA_LONG_SQL}),
+cells as (select time_group, label_set, label, count(congestion) as n, avg(congestion) as m,
+                 coalesce(var_samp(congestion), 0) as v
+          from l where label is not null and congestion is not null group by all),
+g as (select *, sum(n * m) over (partition by time_group, label_set) / sum(n) over (partition by time_group, label_set)
+               as grand from cells),
+s as (select time_group, label_set, count(*) as k, sum(n) as n, sum(n * (m - grand) * (m - grand)) as ssb,
+             sum((n - 1) * v) as ssw from g group by all),
+t as (select *, (ssb / (k - 1)) / (ssw / (n - k)) as f from s where k >= 2)
+select time_group, label_set, cast(k as bigint) as k, cast(n as bigint) as n, cast(k - 1 as bigint) as df1,
+       cast(n - k as bigint) as df2, round(f, 6) as f_stat, round({_f_p_sql('f', '(k - 1)', '(n - k)')}, 9) as p_value
+from t"""))
 def stat_anova_pvalue(spark, sf):
     out = st.anova_oneway(_anova_frame(spark, sf), ["time_group", "label_set"], "label", "congestion", with_p=True)
     return final(out.select("time_group", "label_set", "k", "n", "df1", "df2", r("f_stat").alias("f_stat"),
@@ -197,23 +284,28 @@ def stat_ttest_1samp(spark, sf):
 
 
 def _band_ttest(df, y, with_p):
-    qs = df.agg(F.percentile("ta", F.array(*[F.lit(p) for p in (0.05, 0.25, 0.75, 0.95)])).alias("q"),
-                F.avg(y).alias("mu")).first()
-    q05, q25, q75, q95 = [F.lit(v) for v in qs["q"]]
+    q05, q25, q75, q95 = [F.lit(v) for v in exact_quantiles(df, {"ta": [0.05, 0.25, 0.75, 0.95]})["ta"]]
     ex = df.select(F.explode(bn.quantile_band_masks("ta", q05, q25, q75, q95)).alias("band"), y)
-    return st.ttest_1samp(ex, "band", y, F.lit(qs["mu"]), with_p=with_p)
+    return st.ttest_1samp(ex, "band", y, F.lit(df.agg(F.avg(y)).first()[0]), with_p=with_p)
 
 
-@register("stat_ttest_1samp_pvalue")
+@register("stat_ttest_1samp_pvalue", with_a(f"""
+with {_BANDS_SQL},
+g as (select band, avg(congestion) as mean, count(congestion) as n, avg(congestion) - any_value(mu) as effect,
+             (avg(congestion) - any_value(mu)) / (stddev_samp(congestion) / sqrt(count(congestion))) as t
+      from b, q group by band having count(congestion) >= 30),
+w as (select *, {_t_p_sql('t', '(n - 1)')} as p from g)
+select cast(band as bigint) as band, round(mean, 6) as mean, cast(n as bigint) as n, round(t, 6) as t,
+       round(p, 9) as p_value, {_STARS_SQL} as stars, {_SIZE_SQL} as size_label from w"""))
 def stat_ttest_1samp_pvalue(spark, sf):
     out = _band_ttest(analysis(spark, sf), "congestion", with_p=True)
     return final(out.select("band", r("mean").alias("mean"), "n", r("t").alias("t"),
                             r("p_value", 9).alias("p_value"), "stars", "size_label"))
 
 
-@register("stat_normality", with_a("""
-with h as (select hour, avg(congestion) as hm_y from a group by hour),
-e as (select congestion - hm_y as e from a join h using (hour)),
+@register("stat_normality", with_a(f"""
+with {_FE_CTES},
+e as (select congestion - climate_prediction - time_effect as e from adj),
 m as (select avg(e) as mu from e),
 c as (select count(*) as n, avg((e - mu) * (e - mu)) as m2, avg((e - mu) * (e - mu) * (e - mu)) as m3,
              avg((e - mu) * (e - mu) * (e - mu) * (e - mu)) as m4 from e, m)
@@ -221,21 +313,25 @@ select cast(n as bigint) as n, round(m3 / pow(m2, 1.5), 6) as skewness, round(m4
        round(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 4) as jb,
        round(exp(-(n / 6.0 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4)) / 2), 9) as p_value from c"""))
 def stat_normality(spark, sf):
-    """Jarque-Bera on all hour-demeaned residuals (no 5,000-row sample)."""
-    df = analysis(spark, sf)
-    hm = F.broadcast(df.groupBy("hour").agg(F.avg("congestion").alias("hm_y")))  # 20 service hours
-    e = df.join(hm, "hour").select((F.col("congestion") - F.col("hm_y")).alias("e"))
+    """Jarque-Bera on all residuals of the fitted model: target less weather prediction less hour effect."""
+    df, fe = _effects(spark, sf)
+    e = fe.transform(df).select((F.col("congestion") - F.col("climate_prediction") - F.col("time_effect")).alias("e"))
     out = st.normality_jb(e, "e")
     return final(out.select("n", r("skewness").alias("skewness"), r("excess_kurtosis").alias("excess_kurtosis"),
                             r("jb", 4).alias("jb"), r("p_value", 9).alias("p_value")))
 
 
-@register("stat_ols")
+@register("stat_ols", with_a(f"""
+with {_OLS_CTES}
+select 'intercept' as term, round(my - b1 * m1 - b2 * m2 - b3 * m3 - b4 * m4, 6) as value from o_means, o_coef
+union all select 'ta', round(b1, 6) from o_coef union all select 'ws', round(b2, 6) from o_coef
+union all select 'rn_hr1', round(b3, 6) from o_coef union all select 'hm', round(b4, 6) from o_coef
+union all select 'r2', round(1 - sse / syy, 6) from o_coef"""))
 def stat_ols(spark, sf):
     """Least squares of congestion on the weather set from one Gram aggregate."""
     fit = st.ols(analysis(spark, sf), "congestion", XS)
     rows = [(n, float(c)) for n, c in zip(fit["names"], fit["coef"])] + [("r2", fit["r2"])]
-    return spark.createDataFrame(rows, "term string, value double").withColumn("value", r("value", 9))
+    return spark.createDataFrame(rows, "term string, value double").withColumn("value", r("value"))
 
 
 @register("stat_slope", with_a("""
@@ -255,26 +351,43 @@ def _effects(spark, sf):
     return df, fx_eff.fit_hour_effects(df, "congestion", XS, "hour")
 
 
-@register("stat_fixed_effects")
+@register("stat_fixed_effects", with_a(f"""
+with {_FE_CTES}
+select 'beta_ta' as term, cast(null as bigint) as hour, round(b1, 6) as value from e_coef
+union all select 'beta_ws', null, round(b2, 6) from e_coef
+union all select 'beta_rn_hr1', null, round(b3, 6) from e_coef
+union all select 'beta_hm', null, round(b4, 6) from e_coef
+union all select 'time_effect', cast(hour as bigint), round(time_effect, 6) from fe_hours"""))
 def stat_fixed_effects(spark, sf):
     """Weather slopes net of hour fixed effects, and each hour's effect vs the first hour."""
     _, fe = _effects(spark, sf)
     coefs = spark.createDataFrame([(f"beta_{k}", None, v) for k, v in fe.beta.items()],
                                   "term string, hour int, value double")
     hours = fe.hour_table.select(F.lit("time_effect").alias("term"), "hour", F.col("time_effect").alias("value"))
-    return final(coefs.unionByName(hours).withColumn("value", r("value", 9)))
+    return final(coefs.unionByName(hours).withColumn("value", r("value")))
 
 
-@register("stat_effect_split")
+@register("stat_effect_split", with_a(f"""
+with {_SPLIT_CTES}
+select 'r2_weather' as metric, round(w, 6) as value from r2 union all select 'r2_time', round(t, 6) from r2
+union all select 'r2_full', round(f, 6) from r2 union all select 'time_share_pct', round(t / f * 100, 6) from r2
+union all select 'climate_share_pct', round(100 - t / f * 100, 6) from r2"""))
 def stat_effect_split(spark, sf):
     _, fe = _effects(spark, sf)
     rows = [("r2_weather", fe.r2_weather), ("r2_time", fe.r2_time), ("r2_full", fe.r2_full),
             ("time_share_pct", fe.time_share), ("climate_share_pct", 100 - fe.time_share if fe.r2_full else 0.0)]
     rows = [(k, float(v)) for k, v in rows]
-    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", r("value", 9))
+    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", r("value"))
 
 
-@register("stat_effect_ranking")
+@register("stat_effect_ranking", with_a(f"""
+with {_FE_CTES},
+c as (select 'ta' as term, b1 as v from e_coef union all select 'ws', b2 from e_coef
+      union all select 'rn_hr1', b3 from e_coef union all select 'hm', b4 from e_coef),
+top as (select * from fe_hours where time_effect <> 0 order by abs(time_effect) desc, hour limit 5)
+select term, round(v, 6) as value, case when abs(v) > 1 then '큰' when abs(v) > 0.5 then '중간' else '작은' end as size,
+       cast(null as bigint) as hour from c
+union all select concat('hour_', hour), round(time_effect, 6), null, cast(hour as bigint) from top"""))
 def stat_effect_ranking(spark, sf):
     """Weather coefficients with a size label, and the five hours with the largest |effect|."""
     _, fe = _effects(spark, sf)
@@ -284,32 +397,68 @@ def stat_effect_ranking(spark, sf):
     hours = hours.select(F.concat(F.lit("hour_"), F.col("hour").cast("string")).alias("term"),
                          F.col("time_effect").alias("value"), F.lit(None).cast("string").alias("size"),
                          F.col("hour").cast("long").alias("hour"))
-    return final(coefs.unionByName(hours).withColumn("value", r("value", 9)))
+    return final(coefs.unionByName(hours).withColumn("value", r("value")))
+
 
+@register("stat_adjust_hours", with_a(f"""
+with {_FE_CTES}
+select cast(hour as bigint) as hour, round(avg(congestion), 6) as before, round(avg(y_adj), 6) as after,
+       round(abs(avg(congestion) - avg(y_adj)), 6) as diff, round(var_samp(y_adj), 4) as var_after
+from adj group by hour"""))
+def stat_adjust_hours(spark, sf):
+    """Mean target per hour before and after the hour effect is removed, and the variance left."""
+    df, fe = _effects(spark, sf)
+    before, after = F.avg("congestion"), F.avg("congestion_time_adjusted")
+    out = fe.transform(df).groupBy("hour").agg(
+        r(before).alias("before"), r(after).alias("after"), r(F.abs(before - after)).alias("diff"),
+        r(F.var_samp("congestion_time_adjusted"), 4).alias("var_after"))
+    return final(out)
 
-@register("stat_adjust_check")
+
+@register("stat_adjust_check", with_a(f"""
+with {_FE_CTES},
+v as (select hour, count(*) as n, avg(y_adj) as m, var_samp(y_adj) as v from adj group by hour),
+s as (select count(*) as k, sum(n) as n, sum(n * (m - (select avg(y_adj) from adj)) * (m - (select avg(y_adj) from adj))) as ssb,
+             sum((n - 1) * v) as ssw, avg(v) as var_mean, min(v) as var_min, max(v) as var_max,
+             stddev_samp(v) / avg(v) as var_cv from v),
+f as (select *, (ssb / (k - 1)) / (ssw / (n - k)) as f from s),
+c as (select avg(y_adj - climate_prediction) as rm, stddev_samp(y_adj - climate_prediction) as rs,
+             corr(hour, congestion) as r0, corr(hour, y_adj) as r1, var_samp(y_adj) as v1, var_samp(congestion) as v0 from adj)
+select round(var_mean, 4) as var_mean, round(var_min, 4) as var_min, round(var_max, 4) as var_max, round(var_cv, 6) as var_cv,
+       round(rm, 6) + 0.0 as resid_mean, round(rs, 6) as resid_std, round(r0, 6) as r_hour_before, round(r1, 6) as r_hour_after,
+       round((1 - abs(r1) / abs(r0)) * 100, 4) as corr_reduction_pct, round((1 - v1 / v0) * 100, 6) as var_reduction_pct,
+       round(f, 6) as anova_f_after, round({_f_p_sql('f', '(k - 1)', '(n - k)')}, 9) as anova_p_after from f, c"""))
 def stat_adjust_check(spark, sf):
-    """By-hour mean before/after adjustment, spread across hours, residual moments, ANOVA of adjusted y."""
+    """What the adjustment leaves: spread of the hourly variances, residual moments, correlation with the
+    hour before and after and its reduction, and ANOVA of the adjusted target over the hours."""
     df, fe = _effects(spark, sf)
     adj = fe.transform(df)
-    by_hour = adj.groupBy("hour").agg(F.avg("congestion").alias("before"), F.avg("congestion_time_adjusted").alias("after"))
-    spread = by_hour.agg(
-        (F.stddev_samp("before") / F.avg("before")).alias("cv_before"),
-        (F.stddev_samp("after") / F.avg("after")).alias("cv_after"))
+    by_hour = adj.groupBy("hour").agg(F.var_samp("congestion_time_adjusted").alias("v"))
+    spread = by_hour.agg(r(F.avg("v"), 4).alias("var_mean"), r(F.min("v"), 4).alias("var_min"), r(F.max("v"), 4).alias("var_max"),
+                         r(F.stddev_samp("v") / F.avg("v")).alias("var_cv"))
+    r0, r1 = F.corr("hour", "congestion"), F.corr("hour", "congestion_time_adjusted")
     resid = adj.withColumn("res", F.col("congestion_time_adjusted") - F.col("climate_prediction")).agg(
-        F.avg("res").alias("resid_mean"), F.stddev_samp("res").alias("resid_std"),
-        F.corr("hour", "congestion").alias("r_hour_before"), F.corr("hour", "congestion_time_adjusted").alias("r_hour_after"))
-    an = st.anova_oneway(adj.withColumn("g", F.lit(1)), ["g"], "hour", "congestion_time_adjusted").select(
-        F.col("f_stat").alias("anova_f_after"))
+        r(F.avg("res")).alias("resid_mean"), r(F.stddev_samp("res")).alias("resid_std"),
+        r(r0).alias("r_hour_before"), r(r1).alias("r_hour_after"),
+        r((1 - F.abs(r1) / F.abs(r0)) * 100, 4).alias("corr_reduction_pct"),
+        r((1 - F.var_samp("congestion_time_adjusted") / F.var_samp("congestion")) * 100).alias("var_reduction_pct"))
+    an = st.anova_oneway(adj.withColumn("g", F.lit(1)), ["g"], "hour", "congestion_time_adjusted", with_p=True).select(
+        r("f_stat").alias("anova_f_after"), r("p_value", 9).alias("anova_p_after"))
     # three one-row aggregates: assemble their scalars into one row (no join needed)
     vals = {**spread.first().asDict(), **resid.first().asDict(), **an.first().asDict()}
     names = list(vals)
     out = spark.createDataFrame([tuple(float(vals[k]) if vals[k] is not None else None for k in names)],
                                 ", ".join(f"{k} double" for k in names))
-    return final(out.select(*[r(c, 6).alias(c) for c in names]))
+    return final(out)
 
 
-@register("stat_corr_shift")
+@register("stat_corr_shift", with_a(f"""
+with {_FE_CTES},
+l as ({' union all '.join(f"select '{v}' as variable, {v} as x, congestion, y_adj from adj" for v in XS)}),
+g as (select variable, corr(x, congestion) as r_before, corr(x, y_adj) as r, count(x) as n from l group by variable),
+w as (select *, {_t_p_sql('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')} as p from g)
+select variable, round(r_before, 6) as r_before, round(r, 6) as r_after, cast(n as bigint) as n, round(p, 9) as p_after,
+       {_strength_sql('r', 'effect')} as effect_class from w"""))
 def stat_corr_shift(spark, sf):
     """r(x, y) before and after removing the hour effect, per weather variable, with p and class."""
     df, fe = _effects(spark, sf)
@@ -337,20 +486,45 @@ def stat_collinear(spark, sf):
     return final(out)
 
 
-@register("stat_extreme_bands")
+_BAND_ROWS = " union all ".join(
+    [f"""select '{v}' as variable, '{lab}' as band, y_adj from adj, (select quantile_cont({v}, 0.05) as q05,
+    quantile_cont({v}, 0.25) as q25, quantile_cont({v}, 0.75) as q75, quantile_cont({v}, 0.95) as q95 from a) where {cond}"""
+     for v in ("ta", "ws", "hm") for lab, cond in (
+         ("band_0", f"{v} <= q05"), ("band_1", f"{v} > q05 and {v} <= q25"), ("band_2", f"{v} > q25 and {v} <= q75"),
+         ("band_3", f"{v} > q75 and {v} <= q95"), ("band_4", f"{v} >= q95"))]
+    + [f"select 'rn_hr1' as variable, {lab} as band, y_adj from adj where {cond}" for lab, cond in (
+        ("'비없음'", "rn_hr1 = 0"), ("'약한비(0-2mm)'", "rn_hr1 > 0 and rn_hr1 <= 2"),
+        ("'보통비(2-5mm)'", "rn_hr1 > 2 and rn_hr1 <= 5"), ("'강한비(5mm초과)'", "rn_hr1 > 5"))])
+
+
+@register("stat_extreme_bands", with_a(f"""
+with {_FE_CTES},
+l as ({_BAND_ROWS}),
+g as (select variable, band, avg(y_adj) as mean, count(*) as n, avg(y_adj) - (select avg(y_adj) from adj) as effect,
+             (avg(y_adj) - (select avg(y_adj) from adj)) / (stddev_samp(y_adj) / sqrt(count(*))) as t
+      from l group by variable, band having count(*) >= 30),
+w as (select *, {_t_p_sql('t', '(n - 1)')} as p from g)
+select variable, band, round(mean, 6) as mean, cast(n as bigint) as n, round(effect, 6) as effect, round(t, 6) as t,
+       round(p, 9) as p_value, {_STARS_SQL} as stars, {_SIZE_SQL} as size_label from w"""))
 def stat_extreme_bands(spark, sf):
-    """Hour-adjusted target per temperature quantile band and rain band vs the adjusted baseline."""
+    """Hour-adjusted target against its mean in the bands of every weather variable: quantile bands, and
+    fixed bands for rain.  All bands of all variables are one grouped aggregate."""
     df, fe = _effects(spark, sf)
-    adj = fe.transform(df)
-    y = "congestion_time_adjusted"
-    temp = _band_ttest(adj, y, with_p=True).select(F.concat(F.lit("ta_band_"), F.col("band").cast("string")).alias("band"),
-                                                   "mean", "n", "effect", "t", "p_value")
-    mu = adj.select(F.avg(y)).scalar()
-    rain = st.ttest_1samp(adj.withColumn("rb", bn.rain_band("rn_hr1")), "rb", y, F.lit(mu), with_p=True).select(
-        F.col("rb").alias("band"), "mean", "n", "effect", "t", "p_value")
-    out = temp.unionByName(rain)
-    return final(out.select("band", r("mean").alias("mean"), "n", r("effect").alias("effect"), r("t").alias("t"),
-                            r("p_value", 9).alias("p_value")))
+    adj, y = fe.transform(df), "congestion_time_adjusted"
+    cuts = [v for v in XS if v != "rn_hr1"]
+    q = exact_quantiles(df, {v: [0.05, 0.25, 0.75, 0.95] for v in cuts})
+    names = {v: F.transform(bn.quantile_band_masks(v, *[F.lit(x) for x in q[v]]),
+                            lambda b: F.concat(F.lit("band_"), b.cast("string"))) for v in cuts}
+    names["rn_hr1"] = F.array(bn.rain_band("rn_hr1"))
+
+    def tagged(v, bands):
+        return F.transform(bands, lambda b: F.struct(F.lit(v).alias("variable"), b.alias("band")))
+    rows = F.flatten(F.array(*[tagged(v, bands) for v, bands in names.items()]))
+    long = adj.select(y, F.inline(rows)).filter(F.col("band").isNotNull())
+    key = F.struct("variable", "band").alias("at")
+    out = st.ttest_1samp(long, key, y, F.lit(adj.agg(F.avg(y)).first()[0]), with_p=True)
+    return final(out.select("at.variable", "at.band", r("mean").alias("mean"), "n", r("effect").alias("effect"),
+                            r("t").alias("t"), r("p_value", 9).alias("p_value"), "stars", "size_label"))
 
 
 @register("stat_hour_variance", with_a("""

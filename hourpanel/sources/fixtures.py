@@ -28,29 +28,13 @@ PANEL_COLUMNS = ["station_name", "direction", "tm"] + WEATHER + ["congestion"] +
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read a driver table.
 
-    A single file smaller than one split (``spark.sql.files.maxPartitionBytes``)
-    is read by one task, so every projection of the scan stage would run on
-    one core; such a file is spread round-robin once.  Inputs made of many
-    files or larger than a split already scan in parallel and are left
-    untouched (no extra shuffle at scale).
+    The scan's tasks are its input splits.  A table of one row group is one
+    split, however many cores there are: ``spark.hourpanel.spread`` (unset:
+    no shuffle) deals the rows to that many tasks.
     """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if _single_small_file(spark, path):
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
-
-
-def _single_small_file(spark: SparkSession, path: str, min_bytes: int = 4 << 20) -> bool:
-    import os
-    if not os.path.isfile(path):  # a directory / remote store: many splits, leave it
-        return False
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
-    try:
-        split_bytes = int(split)
-    except ValueError:
-        split_bytes = 128 << 20
-    return min_bytes <= os.path.getsize(path) <= split_bytes
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    spread = spark.conf.get("spark.hourpanel.spread", None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def _rush_hour(h: Column) -> Column:
@@ -107,10 +91,7 @@ def panel_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 HOUR"))).alias("ts_hour")))
     obs = ev.groupBy("station_name", "ts_hour").agg(
         F.avg("value").alias("congestion"), F.count(F.lit(1)).alias("n"))
-    from ..session import materialize
-    # the grid feeds multi-branch series steps: compute it once
-    return materialize(grid.join(obs, ["station_name", "ts_hour"], "left").select(
-        "station_name", "ts_hour", "congestion", "n"))
+    return grid.join(obs, ["station_name", "ts_hour"], "left").select("station_name", "ts_hour", "congestion", "n")
 
 
 # ---------------------------------------------------------------------------

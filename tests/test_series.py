@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourpanel.operators import series as se
@@ -20,16 +21,17 @@ def _lag_frame(spark):
     return spark.createDataFrame(rows, "station string, direction string, ts timestamp_ntz, y double")
 
 
-def test_sequence_index_bucketed_equals_row_number(spark):
+def test_sequence_index_equals_row_number(spark):
     df = _lag_frame(spark)
-    a = se.sequence_index(df, ["station", "direction"], ["ts"], bucket=F.date_trunc("day", "ts"))
-    b = se.sequence_index(df, ["station", "direction"], ["ts"])
+    a = se.sequence_index(df, ["station", "direction"], ["ts"], ranges=5)
+    w = Window.partitionBy("station", "direction").orderBy("ts")
+    b = df.withColumn("pos", F.row_number().over(w).cast("long") - 1)
     assert sorted(a.select("station", "direction", "ts", "pos").collect()) == \
         sorted(b.select("station", "direction", "ts", "pos").collect())
 
 
 def test_lags_and_rolling_match_pandas_with_small_blocks(spark):
-    df = se.sequence_index(_lag_frame(spark), ["station", "direction"], ["ts"], bucket=F.date_trunc("day", "ts"))
+    df = se.sequence_index(_lag_frame(spark), ["station", "direction"], ["ts"], ranges=5)
     out = se.add_lags(df, ["station", "direction"], "pos", ["y"], [1, 2, 3, 24, 48], block_rows=50)
     out = se.add_rolling_means(out, ["station", "direction"], "pos", ["y"], [3, 6, 12, 24], block_rows=50)
     got = out.toPandas().sort_values(["station", "direction", "ts"]).reset_index(drop=True)
@@ -120,7 +122,7 @@ def test_hot_series_block_path_equals_plain_window(spark):
         for i in range(n):
             rows.append((st, i, float(rng.normal()) if rng.random() > 0.2 else None))
     df = spark.createDataFrame(rows, "st string, t long, x double")
-    idx = se.sequence_index(df, ["st"], ["t"], bucket=(F.col("t") / 500).cast("long"))
+    idx = se.sequence_index(df, ["st"], ["t"], ranges=9)
 
     def run(block):
         out = se.add_lags(idx, ["st"], "pos", ["x"], [1, 24], block_rows=block)
@@ -136,9 +138,24 @@ def test_hot_series_block_path_equals_plain_window(spark):
 
 
 def test_fused_lags_and_means_equal_separate_passes(spark):
-    df = se.sequence_index(_lag_frame(spark), ["station", "direction"], ["ts"], bucket=F.date_trunc("day", "ts"))
+    df = se.sequence_index(_lag_frame(spark), ["station", "direction"], ["ts"], ranges=5)
     fused = se.add_lags_and_means(df, ["station", "direction"], "pos", ["y"], [1, 24], [3, 12], block_rows=40)
     sep = se.add_rolling_means(se.add_lags(df, ["station", "direction"], "pos", ["y"], [1, 24], block_rows=40),
                                ["station", "direction"], "pos", ["y"], [3, 12], block_rows=40)
     cols = ["station", "direction", "ts", "y_lag_1", "y_lag_24", "y_ma_3", "y_ma_12"]
     assert sorted(fused.select(*cols).collect()) == sorted(sep.select(*cols).collect())
+
+
+def test_positions_of_a_hot_series_are_spread(spark):
+    """One station holds a third of the rows: no range (task) holds more than a small multiple of its share."""
+    hot = spark.range(30000).selectExpr("'hot' as st", "cast((id * 7919) % 30000 as long) as t")
+    rest = spark.range(60000).selectExpr("concat('s', id % 300) as st", "cast(id as long) as t")
+    df = hot.unionByName(rest)
+    by = [F.col("st"), F.col("t")]
+    per_task = df.repartitionByRange(16, *by).groupBy(F.spark_partition_id().alias("p")).count()
+    assert per_task.agg(F.max("count")).first()[0] < 3 * 90000 / 16
+    out = se.sequence_index(df, ["st"], ["t"], length="n", ranges=16)
+    got = out.where("st = 'hot'")
+    assert got.where("pos <> t or n <> 30000").count() == 0 and got.count() == 30000
+    assert out.where("st <> 'hot'").groupBy("st").agg(F.countDistinct("pos").alias("d"), F.max("pos").alias("m"), F.max("n").alias("n")).where(
+        "d <> 200 or m <> 199 or n <> 200").count() == 0
