@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._util import col_of
@@ -107,17 +107,19 @@ def tm_month(tm: str | Column = "tm") -> Column:
 
 
 def with_calendar(df: DataFrame, tm: str = "tm", prefix: str = "") -> DataFrame:
-    """Add ``datetime, date, year, month, day, hour, dayofweek`` (0 = Monday)."""
-    dt = parse_tm(tm)
-    p = prefix
-    return df.withColumn(f"{p}datetime", dt).withColumns({
-        f"{p}date": F.to_date(F.col(f"{p}datetime")),
-        f"{p}year": F.year(f"{p}datetime"),
-        f"{p}month": F.month(f"{p}datetime"),
-        f"{p}day": F.dayofmonth(f"{p}datetime"),
-        f"{p}hour": F.hour(f"{p}datetime"),
-        f"{p}dayofweek": F.weekday(f"{p}datetime"),
-    })
+    """Add ``datetime, date, year, month, day, hour, dayofweek`` (0 = Monday) of a ten-digit stamp.
+
+    The parts are integer arithmetic on the stamp and one date; only ``datetime`` parses text.  A stamp of no
+    real date and hour has NULL parts.
+    """
+    p, n = prefix, F.col(tm).cast("long")
+    hour = (n % 100).cast("int")
+    date = F.to_date(F.try_make_timestamp_ntz(F.floor(n / 1000000).cast("int"), (F.floor(n / 10000) % 100).cast("int"),
+                                              (F.floor(n / 100) % 100).cast("int"), hour, F.lit(0), F.lit(0)))
+    out = df.withColumns({f"{p}datetime": parse_tm(tm), f"{p}date": F.when(n.between(10**9, 10**10 - 1), date)})
+    d = F.col(f"{p}date")
+    return out.withColumns({f"{p}year": F.year(d), f"{p}month": F.month(d), f"{p}day": F.dayofmonth(d),
+                            f"{p}hour": F.when(d.isNotNull(), hour), f"{p}dayofweek": F.weekday(d)})
 
 
 def iso_week(ts: str | Column = "datetime") -> Column:
@@ -268,19 +270,6 @@ def holiday_flag(date: str | Column = "date", dates: Sequence[str] = HOLIDAYS, r
     return F.coalesce(cond.cast("int"), F.lit(0))
 
 
-def holiday_dim(spark: SparkSession, dates: Sequence[str] = HOLIDAYS) -> DataFrame:
-    """Holiday dimension (date, is_holiday); its size is the list length."""
-    return spark.createDataFrame([(d,) for d in sorted(set(dates))], "d string").select(
-        F.to_date("d").alias("holiday_date"), F.lit(1).alias("is_holiday"))
-
-
-def with_holiday(df: DataFrame, date_col: str = "date", dates: Sequence[str] = HOLIDAYS) -> DataFrame:
-    """Left join to the (bounded, broadcast) holiday dimension -> ``is_holiday`` 0/1."""
-    dim = F.broadcast(holiday_dim(df.sparkSession, dates))
-    out = df.join(dim, F.col(date_col) == dim["holiday_date"], "left").drop("holiday_date")
-    return out.withColumn("is_holiday", F.coalesce(F.col("is_holiday"), F.lit(0)))
-
-
 def holiday_cross(holiday: str | Column = "is_holiday", hour: str | Column = "hour") -> dict[str, Column]:
     h, hol = col_of(hour), col_of(holiday) == 1
     return {

@@ -122,18 +122,19 @@ def add_rolling_means(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequen
     return block_windows(df, keys, pos, make, before=max(windows) - end, block_rows=block_rows)
 
 
-def add_lags_and_means(df: DataFrame, keys: Sequence[str], pos: str, cols: Sequence[str], lags: Sequence[int],
-                       windows: Sequence[int], block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Lags and trailing means of the same columns in one blocked window pass
+def add_lags_and_means(df: DataFrame, keys: Sequence[str], pos: str,
+                       steps: Mapping[str, tuple[Sequence[int], Sequence[int]]],
+                       block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Lags and trailing means, ``{column: (lags, mean lengths)}``, in one blocked window pass
     (one halo explode, one shuffle, one sort instead of two)."""
     def make(w):
-        out = {f"{c}_lag_{k}": F.lag(c, k).over(w) for c in cols for k in lags}
-        out.update({f"{c}_ma_{k}": F.avg(c).over(w.rowsBetween(-(k - 1), 0)) for c in cols for k in windows})
+        out = {f"{c}_lag_{k}": F.lag(c, k).over(w) for c, (lags, _) in steps.items() for k in lags}
+        out.update({f"{c}_ma_{k}": F.avg(c).over(w.rowsBetween(-(k - 1), 0)) for c, (_, sizes) in steps.items() for k in sizes})
         return out
-    return block_windows(df, keys, pos, make, before=max(max(lags), max(windows) - 1), block_rows=block_rows)
+    before = max(n for lags, sizes in steps.values() for n in [*lags, *[k - 1 for k in sizes]])
+    return block_windows(df, keys, pos, make, before=before, block_rows=block_rows)
 
 
-# --------------------------------------------------------------------------- unbounded scans
 def carry(df: DataFrame, keys: Sequence[str], pos: str, exprs: Mapping[str, Column], forward: bool = True,
           block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Last non-null value up to the row (``forward``) or first non-null from

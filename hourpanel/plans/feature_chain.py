@@ -2,9 +2,11 @@
 
 Order of steps (as in the study): coded missing values and range gates ->
 extreme-weather flags (quantile thresholds) -> detailed time features ->
-interactions -> weather lag 24 and rolling means per series -> forward /
-backward fill per series then median -> lag/MA gaps from the current value ->
-categorical mode -> flags 0 -> interaction medians -> numeric medians.
+interactions -> weather lag 24 and rolling means per series, and with
+``target`` its lags and rolling means (a mean counts its own row, as in the
+study: leave those out of a model of the same row) -> forward / backward fill
+per series then median -> lag/MA gaps from the current value, target ones from
+the series' mean -> categorical mode -> flags 0 -> interaction medians -> numeric medians.
 
 ``fit`` computes every data-dependent constant (6 quantiles, modes, medians)
 with a handful of aggregates over the training frame; ``transform`` is
@@ -15,9 +17,10 @@ the study did).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._util import numeric_columns
@@ -29,6 +32,10 @@ from ..operators import series as se
 from ..session import materialize
 
 WEATHER = ["ta", "ws", "rn_hr1", "hm"]
+# Weather columns with a lag, lags and rolling means.
+LAGGED = ["ta", "ws", "rn_hr1", "hm", "si"]
+WEATHER_LAGS, WEATHER_WINDOWS = [24], [3, 6, 12]
+TARGET_LAGS, TARGET_WINDOWS = [1, 2, 3, 24, 48], [3, 6, 12, 24]
 CATEGORICAL = ["time_period", "detailed_season", "day_type"]
 
 
@@ -42,9 +49,9 @@ class FeatureChainModel:
         # series fills: forward then backward inside the series, then the fitted median
         out = se.fill_ff_bf(out, c.series_keys, "pos", WEATHER, median_fallback=False, block_rows=c.block_rows)
         out = out.fillna({k: v for k, v in self.medians.items() if k in WEATHER})
-        lag_cols = [x for x in out.columns if "_lag_" in x or "_ma_" in x]
-        out = se.fill_lag_features(out, c.series_keys, {x: x.split("_lag_")[0] if "_lag_" in x else x.split("_ma_")[0]
-                                                       for x in lag_cols})
+        base = {x: x.split("_lag_")[0].split("_ma_")[0] for x in out.columns if "_lag_" in x or "_ma_" in x}
+        out = se.fill_lag_features(out, c.series_keys, {x: v for x, v in base.items() if v != c.target},
+                                   [x for x, v in base.items() if v == c.target])
         out = out.fillna(self.modes)
         out = im.impute_zero_flags(out)
         inter = im.interaction_columns(out)
@@ -52,18 +59,32 @@ class FeatureChainModel:
         rest = {k: v for k, v in self.medians.items() if k not in WEATHER and k not in inter}
         return out.fillna(rest).drop("pos")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the settings and fitted constants as one line of JSON."""
+        state = {"chain": self.chain.settings(), "thresholds": self.thresholds, "modes": self.modes, "medians": self.medians}
+        spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FeatureChainModel":
+        state = json.loads(spark.read.text(path).first()["value"])
+        return cls(FeatureChain(**state["chain"]), state["thresholds"], state["modes"], state["medians"])
+
 
 class FeatureChain:
     def __init__(self, series_keys: Sequence[str] = ("station_name",), order: Sequence[str] = ("tm",),
                  exact: bool = True, block_rows: int | None = se.DEFAULT_BLOCK_ROWS,
-                 refit: bool = False, exclude: Sequence[str] = ()):
+                 refit: bool = False, exclude: Sequence[str] = (), target: str | None = None):
         self.series_keys, self.order = list(series_keys), list(order)
         self.exact, self.block_rows, self.refit = exact, block_rows, refit
-        self.exclude = set(exclude)
+        self.exclude, self.target = set(exclude), target
+
+    def settings(self) -> dict:
+        return {"series_keys": self.series_keys, "order": self.order, "exact": self.exact, "block_rows": self.block_rows,
+                "refit": self.refit, "exclude": sorted(self.exclude), "target": self.target}
 
     def features(self, df: DataFrame, thresholds: dict) -> DataFrame:
         d = se.sequence_index(cl.clean_weather(df), self.series_keys, self.order)
-        d = se.add_lags_and_means(d, self.series_keys, "pos", WEATHER, [24], [3, 6, 12], block_rows=self.block_rows)
+        d = se.add_lags_and_means(d, self.series_keys, "pos", self.steps(d.columns), block_rows=self.block_rows)
         d = ft.with_extreme_flags(d, thresholds)
         if "hour" not in d.columns:
             d = cal.with_calendar(d)
@@ -74,6 +95,11 @@ class FeatureChain:
         d = d.withColumns(ft.interaction_columns())
         return d.withColumn("extreme_weather_rush", ft.extreme_rush())
 
+    def steps(self, columns: Sequence[str]) -> dict[str, tuple[list[int], list[int]]]:
+        """Lags and rolling means of each column."""
+        out = {c: (WEATHER_LAGS, WEATHER_WINDOWS if c in WEATHER else []) for c in LAGGED if c in columns}
+        return out | ({self.target: (TARGET_LAGS, TARGET_WINDOWS)} if self.target else {})
+
     def fit(self, train: DataFrame) -> FeatureChainModel:
         thresholds = ft.extreme_thresholds(cl.clean_weather(train), self.exact)
         feats = self.features(train, thresholds).cache()

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -17,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators import series as se
 from ..operators.quantiles import exact_quantiles
+from ..session import ensure_checkpoint_dir
+from .feature_chain import FeatureChainModel
 
 # ---------------------------------------------------------------------------
 # Model settings of the study.
@@ -59,12 +64,32 @@ def time_folds(df: DataFrame, time_col: str, n_splits: int = 3, fold: str = "fol
 
 
 # --------------------------------------------------------------------------- encoding / scaling
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """(label, code): alphabetical 0-based codes of the distinct values of ``col``; NULL has none.
+
+    The distinct values are numbered inside sorted ranges, so neither the
+    driver nor one task holds them all, however many there are.
+    """
+    values = df.where(F.col(col).isNotNull()).select(F.lit(0).alias("__all"), F.col(col).alias("label")).distinct()
+    return se.sequence_index(values, ["__all"], ["label"], pos="code").select("label", F.col("code").cast("double").alias("code"))
+
+
 def label_encode(train: DataFrame, cols: Sequence[str], test: DataFrame | None = None, suffix: str = "_encoded"):
-    """Alphabetical integer codes (fit on train; unseen test labels kept as an extra code)."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}{suffix}", stringOrderType="alphabetAsc", handleInvalid="keep")
-           for c in cols]
-    model = Pipeline(stages=idx).fit(train)
-    return (model.transform(train), model.transform(test) if test is not None else None, model)
+    """Alphabetical codes fitted on ``train``, added to both frames; unseen and missing labels get the code after the last.
+
+    Returns (train, test, codes), where ``codes`` maps a column to its (label, code) table.
+    """
+    codes = {c: label_codes(train, c) for c in cols}
+    sizes = {c: t.count() for c, t in codes.items()}
+
+    def apply(d):
+        for c, t in codes.items():
+            t = t.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
+            d = d.join(t, F.col(c) == F.col("__label"), "left").withColumn(
+                f"{c}{suffix}", F.coalesce(F.col("__code"), F.lit(float(sizes[c])))).drop("__label", "__code")
+        return d
+
+    return apply(train), (apply(test) if test is not None else None), codes
 
 
 def one_hot(df: DataFrame, index_col: str, out: str | None = None) -> DataFrame:
@@ -128,15 +153,22 @@ def regressor(kind: str, label: str, params: Mapping | None = None, weight: str
 
 
 def fit_model(train: DataFrame, features: Sequence[str], label: str, kind: str, params: Mapping | None = None,
-              weight: str | None = None) -> PipelineModel:
+              weight: str | None = None, valid: str | None = None) -> PipelineModel:
     """Assemble + regressor pipeline (a missing feature is an error: drop or fill
     such rows before).  Estimators pass over the data several
     times (statistics, solve / tree levels, training summary), so only the
-    needed columns are persisted for the duration of the fit."""
-    cols = list(dict.fromkeys([*features, label] + ([weight] if weight else [])))
+    needed columns are persisted for the duration of the fit.  Boosting with
+    ``valid`` (a boolean column) doesn't train on those rows and stops when
+    their error no longer falls; its lineage is cut by checkpoints."""
+    cols = list(dict.fromkeys([*features, label, *[c for c in (weight, valid) if c]]))
+    model = regressor(kind, label, params, weight)
+    if kind == "boost":
+        ensure_checkpoint_dir(train.sparkSession)
+    if valid:
+        model = model.setValidationIndicatorCol(valid)
     data = train.select(*cols).persist()
     try:
-        return Pipeline(stages=[assemble(features), regressor(kind, label, params, weight)]).fit(data)
+        return Pipeline(stages=[assemble(features), model]).fit(data)
     finally:
         data.unpersist()
 
@@ -250,22 +282,46 @@ def time_residual(train: DataFrame, test: DataFrame, label: str, features: Seque
 
 
 # --------------------------------------------------------------------------- persistence
-def save_bundle(model: PipelineModel, path: str, metrics_df: DataFrame, importance_df: DataFrame | None = None) -> None:
-    model.write().overwrite().save(f"{path}/model")
-    metrics_df.write.mode("overwrite").parquet(f"{path}/metrics")
-    if importance_df is not None:
-        importance_df.write.mode("overwrite").parquet(f"{path}/importance")
+@dataclass
+class Bundle:
+    """What a saved model needs to be used again: the fitted pipeline, its feature names in order, the metrics, and where
+    there are any, the importances and the fitted feature chain."""
+    model: PipelineModel
+    features: list[str]
+    metrics: DataFrame
+    importance: DataFrame | None = None
+    chain: FeatureChainModel | None = None
+
+
+def save_bundle(bundle: Bundle, path: str) -> None:
+    spark = bundle.metrics.sparkSession
+    bundle.model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame(list(enumerate(bundle.features)), "place int, feature string").write.mode("overwrite").parquet(f"{path}/features")
+    if bundle.importance is not None:
+        bundle.importance.write.mode("overwrite").parquet(f"{path}/importance")
+    if bundle.chain is not None:
+        bundle.chain.save(spark, f"{path}/chain")
+    bundle.metrics.write.mode("overwrite").parquet(f"{path}/metrics")  # the last: a bundle with metrics is whole
+
+
+def _if_there(read):
+    """``read()``, or None if its path does not exist; any other failure is an error."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def load_bundle(spark, paths: Sequence[str]):
+def load_bundle(spark, paths: Sequence[str]) -> Bundle:
     """Load from the first path that exists (fallback list); a bundle that can't be read is an error."""
-    from pyspark.errors import AnalysisException
     for p in paths:
-        try:
-            saved = spark.read.parquet(f"{p}/metrics")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        metrics = _if_there(lambda: spark.read.parquet(f"{p}/metrics"))
+        if metrics is None:
             continue
-        return PipelineModel.load(f"{p}/model"), saved
+        model = PipelineModel.load(f"{p}/model")
+        features = [r["feature"] for r in spark.read.parquet(f"{p}/features").orderBy("place").collect()]
+        return Bundle(model, features, metrics, _if_there(lambda: spark.read.parquet(f"{p}/importance")),
+                      _if_there(lambda: FeatureChainModel.load(spark, f"{p}/chain")))
     raise FileNotFoundError(f"no bundle in {list(paths)}")

@@ -227,7 +227,8 @@ select ta, wd, ws, rn_day, rn_hr1, hm, si, ta_chi, cast(month as bigint) as mont
 def proj_numeric_features(spark, sf):
     """Numeric columns common to train and test minus identifiers/target, applied to test."""
     df = clean(spark, sf)
-    train, test = df.filter(F.col("tm") < 2000000000), df.filter(F.col("tm") >= 2000000000).drop("si_extra")
+    train = df.filter(F.col("tm") < 2000000000).withColumn("train_only", F.lit(1.0))
+    test = df.filter(F.col("tm") >= 2000000000).withColumn("test_only", F.lit(1.0))
     cols = sel.numeric_features(train, test, _EXCLUDE)
     return final(test.select(*cols))
 

@@ -49,14 +49,13 @@ ALERT_PCT = 3.0
 
 
 @register("agg_null_alerts", with_clean(f"""
-select * from (select cast(hour as bigint) as hour, variable, null_pct from
-  ({' union all '.join(f"select hour, '{c}' as variable, round(avg(cast({c} is null as double)) * 100, 6) as null_pct from clean group by hour" for c in WCOLS)}))
-where null_pct >= {ALERT_PCT}"""))
+select hour, variable, round(pct, 6) as null_pct from (select cast(hour as bigint) as hour, variable, pct from
+  ({' union all '.join(f"select hour, '{c}' as variable, avg(cast({c} is null as double)) * 100 as pct from clean group by hour" for c in WCOLS)}))
+where pct >= {ALERT_PCT}"""))
 def agg_null_alerts(spark, sf):
     """(hour, variable) cells whose missing share reaches the alert level (3 % here; 30 % is the default)."""
     df = clean(spark, sf)
-    out = ms.null_pct_by(df, "hour", WCOLS, "hour").withColumn("null_pct", r("null_pct"))
-    return final(out.filter(F.col("null_pct") >= ALERT_PCT))
+    return final(ms.null_alerts(df, "hour", WCOLS, ALERT_PCT).withColumn("null_pct", r("null_pct")))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(WCOLS) for b in WCOLS[i + 1:]]

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import evaluate as ev
+from ..operators import joins as jn
 from ..operators import plotdata as pdat
 from ..operators import select as sel
+from ..operators import series as se
 from ..sources import fixtures as fx
 from . import ml
 from .common import clean, final, r, with_clean
@@ -44,6 +46,17 @@ def parts(spark, sf):
     return df.filter(F.col("tm") < SPLIT_TM), df.filter(F.col("tm") >= SPLIT_TM)
 
 
+#: What the fits use beside: the day of the month and the code of the station.
+FIT_FEATURES = [*BASE_FEATURES, "day", "station_encoded"]
+
+
+def fit_parts(spark, sf):
+    """Train and test rows of the stations that both have, with the code of the station."""
+    tr, te = jn.keep_common(*parts(spark, sf), "station_name")
+    tr, te, _ = ml.label_encode(tr.withColumn("station", F.col("station_name")), ["station"], te.withColumn("station", F.col("station_name")))
+    return tr, te
+
+
 def baseline_predictions(spark, sf):
     """Test rows with the train-period hour x weekday mean as the prediction."""
     tr, te = parts(spark, sf)
@@ -155,8 +168,8 @@ def ml_weights(spark, sf):
 
 
 # --------------------------------------------------------------------------- models
-def _fit_eval(spark, sf, kind, params=None, weight=False, features=BASE_FEATURES):
-    tr, te = parts(spark, sf)
+def _fit_eval(spark, sf, kind, params=None, weight=False, features=FIT_FEATURES):
+    tr, te = fit_parts(spark, sf)
     if weight:
         tr = ml.sample_weights(tr, "congestion", ml.high_threshold(tr, "congestion"))
     model = ml.fit_model(tr, features, "congestion", kind, params, "weight" if weight else None)
@@ -180,21 +193,18 @@ def ml_forest(spark, sf):
     return _metrics_frame(spark, [("forest", m)])
 
 
-BOOST_QUERY = {"maxIter": 40, "maxDepth": 6}
-
-
 @register("ml_boost")
 def ml_boost(spark, sf):
-    """Gradient boosting, weighted rows (iterations reduced for the registered run)."""
-    _, m = _fit_eval(spark, sf, "boost", BOOST_QUERY, weight=True)
+    """Gradient boosting with the study's settings, weighted rows."""
+    _, m = _fit_eval(spark, sf, "boost", weight=True)
     return _metrics_frame(spark, [("boost_weighted", m)])
 
 
 @register("ml_grid")
 def ml_grid(spark, sf):
     """Grid search with k-fold CrossValidator (a 2 x 2 grid, 3 folds for the registered run)."""
-    tr, _ = parts(spark, sf)
-    cvm = ml.grid_search(tr, BASE_FEATURES, "congestion", {"maxIter": [20], "maxDepth": [3, 5], "stepSize": [0.1, 0.3]},
+    tr, _ = fit_parts(spark, sf)
+    cvm = ml.grid_search(tr, FIT_FEATURES, "congestion", {"maxIter": [20], "maxDepth": [3, 5], "stepSize": [0.1, 0.3]},
                          folds=3)
     rows = [(str({p.name: v for p, v in pm.items()}), float(s)) for pm, s in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
     return spark.createDataFrame(rows, "params string, cv_rmse double")
@@ -203,8 +213,8 @@ def ml_grid(spark, sf):
 @register("ml_search")
 def ml_search(spark, sf):
     """Seeded random search (3 trials, iterations scaled 1/50) scored by expanding-window CV."""
-    tr, _ = parts(spark, sf)
-    res = ml.random_search(tr, BASE_FEATURES, "congestion", "tm", 3, scale={"maxIter": 0.02})
+    tr, _ = fit_parts(spark, sf)
+    res = ml.random_search(tr, FIT_FEATURES, "congestion", "tm", 3, scale={"maxIter": 0.02})
     return spark.createDataFrame([(x["trial"], x["maxIter"], x["maxDepth"], float(x["cv_mae"])) for x in res],
                                  "trial int, maxIter string, maxDepth string, cv_mae double")
 
@@ -212,8 +222,8 @@ def ml_search(spark, sf):
 @register("ml_ts_cv")
 def ml_ts_cv(spark, sf):
     """Three expanding-window folds cut on the distinct stamps (linear model)."""
-    tr, _ = parts(spark, sf)
-    res = ml.ts_cv(tr, BASE_FEATURES, "congestion", "tm", "linear")
+    tr, _ = fit_parts(spark, sf)
+    res = ml.ts_cv(tr, FIT_FEATURES, "congestion", "tm", "linear")
     return spark.createDataFrame([(x["fold"], float(x["mae"]), float(x["rmse"]), float(x["r2"]), int(x["n"])) for x in res],
                                  "fold int, mae double, rmse double, r2 double, n long")
 
@@ -233,25 +243,25 @@ def ml_variance_select(spark, sf):
 
 @register("ml_importance_select")
 def ml_importance_select(spark, sf):
-    tr, _ = parts(spark, sf)
-    kept = ml.importance_select(tr, BASE_FEATURES, "congestion")
+    tr, _ = fit_parts(spark, sf)
+    kept = ml.importance_select(tr, FIT_FEATURES, "congestion")
     return spark.createDataFrame([(c,) for c in kept], "feature string")
 
 
 @register("ml_importance")
 def ml_importance(spark, sf):
     """Top-15 forest importances with their feature family."""
-    tr, _ = parts(spark, sf)
-    model = ml.fit_model(tr, BASE_FEATURES, "congestion", "forest")
-    imp = ml.importances(model, BASE_FEATURES)[:15]
+    tr, _ = fit_parts(spark, sf)
+    model = ml.fit_model(tr, FIT_FEATURES, "congestion", "forest")
+    imp = ml.importances(model, FIT_FEATURES)[:15]
     return spark.createDataFrame([(f, v, ml.importance_family(f)) for f, v in imp], "feature string, importance double, family string")
 
 
 @register("ml_importance_family")
 def ml_importance_family(spark, sf):
-    tr, _ = parts(spark, sf)
-    model = ml.fit_model(tr, BASE_FEATURES, "congestion", "forest")
-    imp = spark.createDataFrame(ml.importances(model, BASE_FEATURES), "feature string, importance double")
+    tr, _ = fit_parts(spark, sf)
+    model = ml.fit_model(tr, FIT_FEATURES, "congestion", "forest")
+    imp = spark.createDataFrame(ml.importances(model, FIT_FEATURES), "feature string, importance double")
     return imp.groupBy(ml.family_expr(F.col("feature")).alias("family")).agg(F.sum("importance").alias("importance"))
 
 
@@ -277,10 +287,13 @@ def ml_target_swap(spark, sf):
     return _metrics_frame(spark, [("forest_on_residual", ml.evaluate(model, te2, "residual"))])
 
 
+BASE_BOOST = {"maxIter": 100, "maxDepth": 6}
+
+
 @register("ml_lag_model")
 def ml_lag_model(spark, sf):
-    """Models with and without lags 1-3 and the hour x weekday mean; compare RMSE / R^2."""
-    from ..operators import series as se
+    """Boosting as it comes, with its iterations chosen on the last fifth of the train stamps, and with lags 1-3 and the
+    hour x weekday mean on top; compare RMSE / R^2."""
     df = model_frame(spark, sf).select("station_name", *KEY, *BASE_FEATURES, "congestion")
     df = se.sequence_index(df, ["station_name"], KEY)
     df = se.add_lags(df, ["station_name"], "pos", ["congestion"], [1, 2, 3])
@@ -289,10 +302,12 @@ def ml_lag_model(spark, sf):
     means = train.groupBy("hour", "dayofweek").agg(F.avg("congestion").alias("congestion_hour_day_avg"))
     df = df.join(means, ["hour", "dayofweek"])
     tr, te = df.filter(F.col("tm") < SPLIT_TM), df.filter(F.col("tm") >= SPLIT_TM)
+    tr = se.chrono_split(tr, "tm", 0.8).withColumn("held_back", F.col("part") != "train")
     lag_feats = BASE_FEATURES + ["congestion_lag_1", "congestion_lag_2", "congestion_lag_3", "congestion_hour_day_avg"]
     rows = []
-    for name, feats in [("linear_base", BASE_FEATURES), ("linear_lags", lag_feats)]:
-        model = ml.fit_model(tr, feats, "congestion", "linear")
+    for name, feats, valid in [("boost_base", BASE_FEATURES, None), ("boost_tuned", BASE_FEATURES, "held_back"),
+                               ("boost_lags", lag_feats, "held_back")]:
+        model = ml.fit_model(tr, feats, "congestion", "boost", BASE_BOOST if valid is None else None, valid=valid)
         rows.append((name, ml.evaluate(model, te, "congestion")))
     return _metrics_frame(spark, rows)
 

@@ -181,7 +181,7 @@ def impute_chain(spark, sf):
     df = cal_panel(spark, sf)
     tr, te = df.filter(F.col("tm") < 2000000000), df.filter(F.col("tm") >= 2000000000)
     chain = FeatureChain(series_keys=["station_name"], order=KEY,
-                         exclude=["tm", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"])
+                         exclude=["tm", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"], target="congestion")
     model = chain.fit(tr)
     return pio.profile(model.transform(te))
 

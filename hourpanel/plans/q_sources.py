@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..sources import panel_io as pio
+from ..sources.fixtures import ROW_KEY
 from . import ml
 from .common import final, r, wide, with_clean, with_panel
-from .q_ml import SQL_MODEL, baseline_predictions, parts
+from .feature_chain import LAGGED, FeatureChain
+from .q_ml import SPLIT_TM, SQL_MODEL, baseline_predictions, parts
 from .registry import register
 
 COLS = [f.name for f in pio.PANEL_SCHEMA.fields]
@@ -53,6 +55,19 @@ def src_strip_prefix(spark, sf):
     return pio.read_years(spark, *_write_years(spark, sf, prefix=True), with_prefix=True)
 
 
+@register("src_year_partitions", with_panel("""
+select cast(tm // 1000000 as bigint) as year, case when tm // 1000000 <= 1996 then 'train' else 'test' end as part,
+       count(*) as n, round(avg(congestion), 6) as mean_y from panel group by all"""))
+def src_year_partitions(spark, sf):
+    """Panel in a folder for each year; train and test years read apart, each from its own folders."""
+    path = pio.write_panel(wide(spark, sf), pio.io_dir(spark, "by_year"))
+    years = [r["year"] for r in pio.open_panel(spark, path).select("year").distinct().collect()]  # calendar years
+    parts_ = [pio.open_panel(spark, path, ys).withColumn("part", F.lit(name)) for name, ys in (
+        ("train", [y for y in years if y <= 1996]), ("test", [y for y in years if y > 1996]))]
+    out = parts_[0].unionByName(parts_[1]).groupBy("year", "part").agg(F.count("*").alias("n"), r(F.avg("congestion")).alias("mean_y"))
+    return final(out)
+
+
 _PROFILE_TYPES = [("station_name", "string"), ("direction", "string"), ("tm", "bigint"), ("ta", "double"),
                   ("wd", "double"), ("ws", "double"), ("rn_day", "double"), ("rn_hr1", "double"), ("hm", "double"),
                   ("si", "double"), ("ta_chi", "double"), ("congestion", "double"), ("l_orderkey", "bigint"),
@@ -91,14 +106,19 @@ def sink_predictions(spark, sf):
 
 @register("sink_model")
 def sink_model(spark, sf):
-    """Fit, save the model bundle (model + metrics), reload through a fallback path list, re-score."""
+    """Fit, save the bundle (feature chain, model, features, metrics, importances), reload through a fallback path list, re-score."""
     tr, te = parts(spark, sf)
     feats = ["hour", "dayofweek", "ta", "ws", "rn_hr1", "hm", "is_weekend"]
-    model = ml.fit_model(tr, feats, "congestion", "linear")
+    model = ml.fit_model(tr, feats, "congestion", "forest", {"numTrees": ml.IMPORTANCE_TREES})
     m = ml.evaluate(model, te, "congestion")
     base = pio.io_dir(spark, "bundle")
     metrics = spark.createDataFrame([(float(m["mae"]), float(m["rmse"]), float(m["r2"]))], "mae double, rmse double, r2 double")
-    ml.save_bundle(model, base, metrics)
-    loaded, saved_metrics = ml.load_bundle(spark, [f"{base}-missing", base])
-    again = ml.evaluate(loaded, te, "congestion")
-    return saved_metrics.withColumn("reloaded_mae", F.lit(float(again["mae"])))
+    importance = spark.createDataFrame(ml.importances(model, feats), "feature string, importance double")
+    raw = wide(spark, sf).filter(F.col("tm") < SPLIT_TM).select("station_name", *ROW_KEY, *LAGGED)
+    chain = FeatureChain(order=ROW_KEY, exclude=ROW_KEY).fit(raw)
+    ml.save_bundle(ml.Bundle(model, feats, metrics, importance, chain), base)
+    got = ml.load_bundle(spark, [f"{base}-missing", base])
+    again = ml.evaluate(got.model, te, "congestion")
+    same = got.features == feats and got.chain.medians == chain.medians and got.chain.thresholds == chain.thresholds
+    return got.metrics.withColumns({"reloaded_mae": F.lit(float(again["mae"])), "same_chain": F.lit(same),
+                                    "n_importances": F.lit(got.importance.count())})

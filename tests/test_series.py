@@ -139,7 +139,7 @@ def test_hot_series_block_path_equals_plain_window(spark):
 
 def test_fused_lags_and_means_equal_separate_passes(spark):
     df = se.sequence_index(_lag_frame(spark), ["station", "direction"], ["ts"], ranges=5)
-    fused = se.add_lags_and_means(df, ["station", "direction"], "pos", ["y"], [1, 24], [3, 12], block_rows=40)
+    fused = se.add_lags_and_means(df, ["station", "direction"], "pos", {"y": ([1, 24], [3, 12])}, block_rows=40)
     sep = se.add_rolling_means(se.add_lags(df, ["station", "direction"], "pos", ["y"], [1, 24], block_rows=40),
                                ["station", "direction"], "pos", ["y"], [3, 12], block_rows=40)
     cols = ["station", "direction", "ts", "y_lag_1", "y_lag_24", "y_ma_3", "y_ma_12"]
