@@ -14,7 +14,12 @@ gets one surrogate in the whole corpus (coreference) without a lookup:
 Collision checks keep distinct entities apart: the distinct entities of the
 corpus are counted by surrogate; where two meet, or a surrogate is itself an
 entity of the corpus, all but the smallest get the next attempt, until no two
-meet.  Only these exceptions are joined back to the documents.
+meet.  Only these exceptions are joined back to the documents.  The space grows
+with the attempt, so that this ends however many entities there are: a surname
+gets a syllable more for each attempt, an email a letter, a phone number a
+digit from the fourth attempt on (up to 15 digits).  The other kinds keep the
+space of their format (10^9 social security numbers, 3.6 10^9 addresses, 10^11
+cards and more): it ends if that has room for the corpus's entities twice.
 
 Defined cases: a null text stays null and has no entity; ids may be null or
 repeat; a row that repeats is rewritten alike; an empty table gives an empty
@@ -40,6 +45,8 @@ PATTERNS = {
     "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra|г-н|г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 KINDS = tuple(PATTERNS)
+SAME_LENGTH_TRIES = 4  # of a phone number, before it gets longer
+MAX_PHONE_DIGITS = 15
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Titles of women, and given names and name parts for surrogates by script and gender.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Sra", "г-жа")
@@ -117,7 +124,15 @@ def _card(entity: Column, h: Column) -> Column:
         F.concat(F.substring(entity, 1, 1), shape.substr(F.lit(2), F.length(entity))))
 
 
-def _person(entity: Column, h: Column) -> Column:
+def _extra(h: Column, at: int, n: Column, values: tuple[str, ...]) -> Column:
+    """``n`` values one after the other, each by one hexadecimal digit of ``h`` from ``at`` on, as far as ``h`` goes."""
+    digits = F.split(F.substring(h, at, 128), "", -1)
+    picked = F.transform(F.slice(F.filter(digits, lambda d: d != ""), F.lit(1), F.greatest(n, F.lit(0))), lambda d: F.get(
+        F.split(F.lit(" ".join(values)), " "), (F.conv(d, 16, 10).cast("int") % len(values)).cast("int")))
+    return F.when(n > 0, F.array_join(picked, "")).otherwise("")
+
+
+def _person(entity: Column, h: Column, attempt: Column) -> Column:
     title = F.regexp_extract(entity, r"^([^ ]+) ", 1)
     female = F.regexp_replace(title, r"\.$", "").isin(*FEMALE_TITLES)
     cyrillic = F.regexp_extract(entity, r" (.)", 1).rlike(r"\p{IsCyrillic}")
@@ -126,7 +141,7 @@ def _person(entity: Column, h: Column) -> Column:
         return F.get(F.split(F.lit(" ".join(values)), " "), _number(h, at, len(values)))
 
     def surname(script):
-        return F.initcap(F.concat(*[pick(SYLLABLES[script], at) for at in (9, 17, 25, 33)]))
+        return F.initcap(F.concat(*[pick(SYLLABLES[script], at) for at in (9, 17, 25, 33)], _extra(h, 41, attempt, SYLLABLES[script])))
 
     def full(script, gender):
         last = surname(script)
@@ -148,9 +163,12 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
                 .when(kind == "iban", F.substring(entity, 1, 2)).otherwise(""))
         tail = F.when(kind == "email", F.regexp_extract(entity, r"(\.[^.]+)$", 1)).otherwise("")
         body = entity.substr(F.length(head) + 1, F.length(entity) - F.length(head) - F.length(tail))
+        more = F.least(attempt - SAME_LENGTH_TRIES + 1, MAX_PHONE_DIGITS - F.length(F.regexp_replace(entity, "[^0-9]", "")))
+        longer = F.when(kind == "phone", _extra(h, 65, more, tuple("0123456789"))).otherwise("")
+        first = F.when(kind == "email", _extra(h, 65, attempt, tuple("abcdefghijklmnop"))).otherwise("")
         ip = F.concat_ws(".", *[(_number(h, 1 + 8 * k, 223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
-        return (F.when(kind == "ip", ip).when(kind == "card", _card(entity, h)).when(kind == "person", _person(entity, h))
-                .otherwise(F.concat(head, _disguise(body, h), tail)))
+        return (F.when(kind == "ip", ip).when(kind == "card", _card(entity, h)).when(kind == "person", _person(entity, h, attempt))
+                .otherwise(F.concat(first, head, _disguise(body, h), longer, tail)))
 
     return let(F.struct(kind_of(entity).alias("kind"), _hash(canonical(entity), key, attempt).alias("h")), make)
 

@@ -170,3 +170,28 @@ def test_surrogates_stay_distinct(spark):
                                                       F.regexp_extract("text", r" 7 (.*)$", 1).alias("z")).collect()
     assert raw < len(set(names)) == len({r.s for r in got})
     assert len({r.z for r in got}) == 1 and not {r.s for r in got} & set(names)
+
+
+def test_surrogates_beyond_the_first_space(spark, monkeypatch):
+    """More names and one-letter emails than surrogates of the first attempt: still distinct, and it ends."""
+    rounds, store = [], pii_surrogates.store
+
+    def counted(df, label):
+        rounds.append(label)
+        assert rounds.count("pii-round") < 30, "the collision rounds don't end"
+        return store(df, label)
+
+    monkeypatch.setattr(pii_surrogates, "store", counted)
+    monkeypatch.setitem(pii_surrogates.SYLLABLES, "latin", ("bar", "den"))  # 16 surnames at first
+    names = [f"Mr. {''.join(chr(97 + i // 26 ** k % 26) for k in range(4)).capitalize()}" for i in range(200)]
+    mails = [f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    said = names + mails
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(4)
+    got = pii_surrogates.pseudonymise(df, "k").select("doc_id", "text").collect()
+    plain = {re.sub("[^0-9a-z@.+]", "", x.lower()) for x in said}
+    new = {re.sub("[^0-9a-z@.+]", "", r.text.lower()) for r in got}
+    assert len(got) == len(said) == len(new) and not new & plain
+    assert all(r.text[:4] == said[r.doc_id][:4] for r in got if r.doc_id < len(names))
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.org", r.text) for r in got if "@" in r.text)
+    phone = spark.range(12).select(pii_surrogates.surrogate(F.lit("+1 23 45"), "k", F.col("id").cast("int")).alias("s")).collect()
+    assert [len(re.sub("[^0-9]", "", r.s)) for r in phone] == [5, 5, 5, 5, 6, 7, 8, 9, 10, 11, 12, 13]
