@@ -1,7 +1,8 @@
 """Language identification with spans of mixed-language text.
 
 A word is a run of letters.  Its script, by Unicode range, narrows the
-languages to those that the training sample writes in that script.  Each
+languages to those that write at least ``MIN_SCRIPT_SHARE`` of their own words
+in the training sample in that script, however few rows they have.  Each
 candidate scores the word by the log likelihood of its letter n-grams (one to
 three letters, word ends marked, hashed to ``2 ** HASH_BITS`` cells).  Viterbi
 over a text's words, with a penalty for every switch of language, labels the
@@ -211,7 +212,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         counts[got["cell"].to_numpy(), [column[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
     grams, words = counts[:1 << HASH_BITS], counts[1 << HASH_BITS:]
     logp = np.log((grams + SMOOTHING) / (grams.sum(0) + SMOOTHING * len(grams)))
-    allowed = (words > 0) & (words >= MIN_SCRIPT_SHARE * words.sum(1, keepdims=True))
+    allowed = (words > 0) & (words >= MIN_SCRIPT_SHARE * words.sum(0))
     allowed[~allowed.any(1)] = True
     return Model(langs, logp.astype(np.float32), allowed)
 

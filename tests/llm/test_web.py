@@ -72,6 +72,19 @@ def test_scripts_narrow_candidates(spark):
     assert [r.lang_pred for r in sorted(out)][:2] == ["ru", "en"] and sorted(out)[2].lang_pred in ("en", "ru")
 
 
+def test_rare_language_is_predicted(spark):
+    """A language of ten rows beside four of thousands, all in one script; a stray foreign word opens no script."""
+    words = {"en": "word other time house", "fr": "mot autre temps maison", "de": "wort andere zeit haus", "es": "palabra otra tiempo casa"}
+    rows = [(k * 10_000 + i, f"{w} " * 4, x) for k, (x, w) in enumerate(words.items()) for i in range(3000)]
+    rows += [(90_000 + i, "kelma żmien oħra dar " * 4, "mt") for i in range(10)] + [(95_000, "слово", "en")]
+    m = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.langs == ("de", "en", "es", "fr", "mt")
+    assert m.allowed[list(language_id.SCRIPTS).index("latin")].all()
+    said = [(1, "żmien oħra dar kelma"), (2, "other house time"), (3, "autre maison")]
+    out = language_id.identify(spark.createDataFrame(said, "doc_id long, text string"), m).collect()
+    assert {r.doc_id: r.lang_pred for r in out} == {1: "mt", 2: "en", 3: "fr"}
+
+
 @pytest.mark.parametrize("slice_keys", [url_filter.SLICE_KEYS, 60])
 def test_cascade_is_exact(spark, slice_keys):
     universe = spark.createDataFrame([(f"key{i}",) for i in range(4000)] + [(None,)], "key string").repartition(3)
