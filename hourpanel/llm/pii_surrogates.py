@@ -6,11 +6,20 @@ surrogate is a keyed hash of the entity in its canonical form, so one entity
 gets one surrogate in the whole corpus (coreference) without a lookup:
 
 * digits become digits and letters letters of their case, separators stay;
-* an international number keeps its first digit; a card keeps its first digit and, if it was valid, a valid check digit; an
+* an international number keeps its first digit, a national one its trunk
+  prefix (0 with the digit after it, or 1); a card keeps its first digit (four
+  if that is 2) and, if it was valid, a valid check digit; an
   address stays a valid address; an email keeps the form of its parts and its
   top-level domain;
 * a titled name keeps title, gender, script and number of words.
 
+Formats: international numbers with +, numbers with an area in brackets,
+3-3-4, trunk prefix 0 in groups, and Spanish ones of nine digits in groups;
+cards in groups of four, 4-6-5, 4-6-4 or unbroken; accounts unbroken or in
+groups of four.  National numbers without a separator, with dots between three
+groups of nine digits, or of other forms aren't found, nor are names without
+one of the titles; a number with and without its country code is two entities.
+
 Collision checks keep distinct entities apart: the distinct entities of the
 corpus are counted by surrogate; where two meet, or a surrogate is itself an
 entity of the corpus, all but the smallest get the next attempt, until no two
@@ -35,13 +44,32 @@ from .common import fresh, let, store
 
 # Formats of the entities, in the order in which they are tried at a place.  Each starts where a run of its
 # own characters starts, so that a long run is read once.
+SERIES_2 = r"2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "phone": "|".join((
+        r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])",
+        # international: a one-digit group may follow the country code
+        r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(0\))?(?:[ .-]?[0-9])?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+        r"(?<![0-9+.-])(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+        # trunk prefix 0: five pairs; area and two groups; area, a group and pairs; area and a long group
+        r"(?<![0-9+.-])(?<!\b[0-9]{2} )0[1-9](?:[ .-][0-9]{2}){4}(?![0-9-]|[ .][0-9]{2}(?![0-9]))",
+        r"(?<![0-9+.-])0[1-9][0-9]{1,4}[ /-][0-9]{3,4}[ -][0-9]{3,4}(?![0-9-])",
+        r"(?<![0-9+.-])0[1-9][0-9]{1,3}[ /][0-9]{2,3}(?: [0-9]{2}){2,3}(?![0-9-])",
+        r"(?<![0-9+.-])0[1-9][0-9]{1,4}[ /-][0-9]{6,8}(?:-[0-9]{1,4})?(?![0-9-])",
+        # nine digits without a prefix, unless they go on as a number with blanks between its thousands
+        r"(?<![0-9+.-])(?<![0-9][ ,])[6-9][0-9]{2}(?:[ -][0-9]{3}[ -][0-9]{3}|(?: [0-9]{2}){3})(?![0-9-]|[ .,][0-9])",
+        r"(?<![0-9+.-])(?<![0-9][ ,])9[1-8] [0-9]{3} [0-9]{2} [0-9]{2}(?![0-9-]|[ .,][0-9])")),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z-])[3-6][0-9]{3}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z])[3-6][0-9]{12,18}(?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    # groups of four, 4-6-5 and 4-6-4, the 2-series, and without separators
+    "card": "|".join((
+        r"(?<![0-9A-Za-z-])[3-6][0-9]{3}(?:[ -][0-9]{4}){2}[ -][0-9]{1,4}(?![0-9A-Za-z-])",
+        r"(?<![0-9A-Za-z-])3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9A-Za-z-])",
+        rf"(?<![0-9A-Za-z-]){SERIES_2}(?:[ -][0-9]{{4}}){{3}}(?![0-9A-Za-z-])",
+        rf"(?<![0-9A-Za-z])(?:[3-6][0-9]{{12,18}}|{SERIES_2}[0-9]{{12}})(?![0-9A-Za-z])")),
+    # printed in groups of four: the second group starts with a digit, and letters alone don't end it
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4} [0-9][A-Z0-9]{3}(?: (?=(?:[A-Z]{4} )?[A-Z]{0,3}[0-9])[A-Z0-9]{4}(?![A-Za-z0-9])){0,5}(?: (?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra|г-н|г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 KINDS = tuple(PATTERNS)
@@ -65,14 +93,16 @@ def kind_of(entity: Column) -> Column:
             .when(entity.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
             .when(entity.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
             .when(entity.rlike(r"^\p{L}"), "person")
-            .when(bare.rlike("^[3-6][0-9]{12,18}$"), "card").otherwise("phone"))
+            .when(bare.rlike(f"^(?:[3-6][0-9]{{12,18}}|{SERIES_2}[0-9]{{12}})$"), "card").otherwise("phone"))
 
 
 def canonical(entity: Column) -> Column:
-    """What makes two mentions one entity: letter case and the separators of a number don't."""
+    """What makes two mentions one entity: letter case, the separators of a number and the dot of a title don't."""
     return let(kind_of(entity), lambda kind: F.concat(
         kind, F.lit(":"), F.when(kind == "email", F.lower(entity))
-        .when(kind.isin("card", "phone"), F.regexp_replace(entity, r"[^0-9+]", "")).otherwise(entity)))
+        .when(kind.isin("card", "phone"), F.regexp_replace(entity, r"[^0-9+]", ""))
+        .when(kind == "iban", F.translate(entity, " ", ""))
+        .when(kind == "person", F.regexp_replace(entity, r"^([^ .]+)\. ", "$1 ")).otherwise(entity)))
 
 
 def _hash(canon: Column, key: str, attempt: Column) -> Column:
@@ -114,14 +144,17 @@ def _luhn_sum(number: Column) -> Column:
 
 
 def _card(entity: Column, h: Column) -> Column:
-    def finish(c):  # first digit as before, a check digit that is right
-        c = F.concat(F.substring(entity, 1, 1), c.substr(F.lit(2), F.length(entity) - 2), F.lit("0"))
+    kept = F.when(entity.startswith("2"), 4).otherwise(1)  # first digits: the 2-series is known by four
+    start = entity.substr(F.lit(1), kept)
+
+    def finish(c):  # first digits as before, a check digit that is right
+        c = F.concat(start, c.substr(kept + 1, F.length(entity) - kept - 1), F.lit("0"))
         return let(c, lambda x: F.concat(x.substr(F.lit(1), F.length(x) - 1),
                                          ((10 - _luhn_sum(x) % 10) % 10).cast("string")))
 
     shape = _disguise(entity, h)
     return F.when(_luhn_sum(entity) % 10 == 0, let(shape, finish)).otherwise(
-        F.concat(F.substring(entity, 1, 1), shape.substr(F.lit(2), F.length(entity))))
+        F.concat(start, shape.substr(kept + 1, F.length(entity))))
 
 
 def _extra(h: Column, at: int, n: Column, values: tuple[str, ...]) -> Column:
@@ -159,7 +192,7 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
     def make(x):
         kind, h = x["kind"], x["h"]
         # what stays before and after the part that is disguised
-        head = (F.when(kind == "phone", F.regexp_extract(entity, r"^(\+[0-9]|)", 1))
+        head = (F.when(kind == "phone", F.regexp_extract(entity, r"^(\+[0-9]|0[1-9]|1[ .-]|)", 1))
                 .when(kind == "iban", F.substring(entity, 1, 2)).otherwise(""))
         tail = F.when(kind == "email", F.regexp_extract(entity, r"(\.[^.]+)$", 1)).otherwise("")
         body = entity.substr(F.length(head) + 1, F.length(entity) - F.length(head) - F.length(tail))

@@ -195,3 +195,38 @@ def test_surrogates_beyond_the_first_space(spark, monkeypatch):
     assert all(re.fullmatch(r"[a-z]+@[a-z]\.org", r.text) for r in got if "@" in r.text)
     phone = spark.range(12).select(pii_surrogates.surrogate(F.lit("+1 23 45"), "k", F.col("id").cast("int")).alias("s")).collect()
     assert [len(re.sub("[^0-9]", "", r.s)) for r in phone] == [5, 5, 5, 5, 6, 7, 8, 9, 10, 11, 12, 13]
+
+
+FORMATS = [("phone", x) for x in ("+33 1 23 45 67 89", "+33123456789", "+44 (0)20 7946 0958", "01 23 45 67 89", "01.23.45.67.89", "020 7946 0958",
+                                  "030 12345678", "030/12345678", "0171-1234567", "030 12 34 56 78", "01632 960001", "912 345 678", "91 234 56 78",
+                                  "612 34 56 78", "1-800-555-1234", "+1 (988) 555-2485", "988-555-2485", "+49 30 12345678")]
+FORMATS += [("card", x) for x in ("3782 822463 10005", "378282246310005", "2223003122003222", "2223 0031 2200 3222", "4041-8949-7460-8795")]
+FORMATS += [("iban", x) for x in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606",
+                                  "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "BE68 5390 0754 7034", "NO93 8601 1117 947")]
+PLAIN = ["2024-01-02 12:30", "01-02-2024 12:30", "01.02.2024 15 00", "1 912 345 678 000", "912.345.678", "12 345 678", "pages 03 04 05", "0.12 345",
+         "01 02 03 04 05 06 07 08", "2 000 000 and 1 500", "CO19 WITH THESE WORDS"]
+
+
+def test_formats_are_found_whole(spark):
+    """Each form of an entity is replaced whole and by its like; numbers that are none stay."""
+    said = [(i, f"see {x}, {x} or x", x) for i, (_, x) in enumerate(FORMATS)] + [(1000 + i, f"see {x}, {x} or x", x) for i, x in enumerate(PLAIN)]
+    df = spark.createDataFrame(said, "doc_id long, text string, x string")
+    for r in pii_surrogates.pseudonymise(df, "k", counts="kinds").collect():
+        got = {k: n for k, n in r.kinds.items() if n}
+        if r.doc_id >= 1000:
+            assert not got and r.text == f"see {r.x}, {r.x} or x", r.x
+            continue
+        new = r.text[4:4 + len(r.x)]
+        assert got == {FORMATS[r.doc_id][0]: 2} and r.text == f"see {new}, {new} or x" and new != r.x, r.x
+        assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", r.x)), r.x
+        assert "card" not in got or luhn(new) == luhn(r.x) and new[:1 + 3 * (r.x[0] == "2")] == r.x[:1 + 3 * (r.x[0] == "2")]
+
+
+def test_one_entity_in_several_forms(spark):
+    df = spark.createDataFrame([(1, "Mr Smith, Mr. Smith; DE89 3704 0044 0532 0130 00, DE89370400440532013000; 1-800-555-1234, 1 800 555 1234")],
+                               "doc_id long, text string")
+    people, accounts, phones = pii_surrogates.pseudonymise(df, "k").first().text.split("; ")
+    a, b = people.split(", ")
+    assert (a[:3], b[:4]) == ("Mr ", "Mr. ") and a[3:] == b[4:] != "Smith"
+    for pair in (accounts, phones):
+        assert len({re.sub("[ -]", "", x) for x in pair.split(", ")}) == 1
