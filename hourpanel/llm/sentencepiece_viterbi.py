@@ -10,7 +10,10 @@ A character that no piece covers costs the unknown score and comes out as its
 UTF-8 bytes.
 
 The ids are those of the highest sum of piece scores, which is what the
-library computes for a unigram model with the same pieces and scores.  A word
+library computes for a unigram model with the same pieces and scores.  For a
+model trained as BPE (``SentencePieces.merges`` tells) the scores are ranks of
+merges, and the library applies the merges instead: its ids are others, as a
+rule fewer, and decode to the same text.  A word
 is encoded once for each worker and looked up after that, in a cache of
 ``CACHE_WORDS`` words.
 
@@ -51,6 +54,7 @@ class SentencePieces:
             model.ParseFromString(f.read())
         if not model.trainer_spec.byte_fallback or model.normalizer_spec.name != "identity" or not model.normalizer_spec.add_dummy_prefix:
             raise ValueError("the model must have byte fallback, no normalisation and a dummy prefix")
+        self.merges = model.trainer_spec.model_type == pb.TrainerSpec.BPE  # the library's ids then aren't those of the best sum
         kind = pb.ModelProto.SentencePiece
         normal = [(i, p.piece, p.score) for i, p in enumerate(model.pieces) if p.type == kind.NORMAL]
         if any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces) or any(MARK in p.lstrip(MARK) for _, p, _ in normal):

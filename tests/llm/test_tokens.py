@@ -75,6 +75,15 @@ def test_viterbi_equals_library(pieces, small):
         assert lib.decode(ids.tolist()) == w
 
 
+def test_merge_model_is_told_apart(pieces):
+    """The given model is BPE: the best sum of its scores isn't the library's encoding, and loading says so."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ids = sv.Encoder(pieces).encode_batch(["government"])[0].tolist()
+    assert pieces.merges and ids != lib.encode("government") and lib.decode(ids) == "government"
+
+
 def test_encode_decode_round_trip(spark, edge):
     coded = sv.encode(edge.withColumn("original", F.col("text")), PIECES)
     assert set(coded.columns) == {*edge.columns, "original", "ids"} - {"text"}
