@@ -132,16 +132,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def _classes(docs, id_col, text_col, shingle, max_bits):
-    """Stored (id, fp) of each row, and fp -> component_id."""
+    """Stored (id, text_key, fp) of each row, and fp -> component_id and the text_key of the row that stays."""
     named = store(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = store(named.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    nodes = store(named.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_key"))).alias("least")), "simhash-nodes")
     roots = store(components(links(nodes.select("fp"), max_bits)), "simhash-roots")
     linked = nodes.join(roots, nodes["fp"] == roots["node"], "left") \
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = store(linked, "simhash-linked")
-    names = store(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names") \
+    names = store(linked.groupBy("root").agg(F.min("least").alias("keep")), "simhash-names") \
         .withColumnRenamed("root", "r")
-    return named, store(linked.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "simhash-classes")
+    return named, store(linked.join(names, F.col("root") == F.col("r")).select(
+        F.col("fp").alias("f"), F.col("keep.id").alias("component_id"), F.col("keep.text_key").alias("keep_key")), "simhash-classes")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -154,12 +155,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                          max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with the row of the smallest id of each component.
+    """``docs`` with the row of the smallest id of each component; of several texts under that id, one.
 
-    Rows without an id can't stand for a group or be named for removal; they stay.
+    Equal texts under one id all stay (exact dedup removes them).  Rows without an id can't stand for a group or be named for removal; they stay.
     """
     named, classes = _classes(docs, id_col, text_col, shingle, max_bits)
     g, k = fresh(docs, "gone", "gone_key")
-    gone = store(named.join(classes, F.col("fp") == F.col("f")).where("id != component_id")
+    gone = store(named.join(classes, F.col("fp") == F.col("f")).where("id != component_id or text_key != keep_key")
                  .select(F.col("id").alias(g), F.col("text_key").alias(k)).distinct(), "simhash-gone")
     return docs.join(gone, (docs[id_col] == gone[g]) & (F.xxhash64(docs[text_col].cast("string")) == gone[k]), "left_anti")

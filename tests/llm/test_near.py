@@ -52,6 +52,16 @@ def test_classes_equal_brute_force(edge, small):
     assert simhash_dedup.near_duplicate_classes(edge.limit(0)).count() == 0
 
 
+def test_one_text_stays_under_a_repeated_id(spark):
+    """Near-equal texts under one smallest id leave one; a far text under the same id is another group."""
+    near = ["some plain words stand here", "Some plain words stand here", "some  plain words stand here"]
+    rows = [(7, near[0]), (7, near[1]), (9, near[2]), (7, "quite other things were said of it at length"), (None, near[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = rows_of(simhash_dedup.drop_near_duplicates(df))
+    assert sum(r[0] == 7 and r[1] in near for r in left) == 1
+    assert Counter(r for r in left if r[1] not in near or r[0] != 7) == Counter(rows[3:])
+
+
 def test_links_of_planted_fingerprints(spark):
     """A crowd around one centre, chains of near fingerprints, and far ones: components as by brute force, for several distances."""
     rng = np.random.default_rng(5)
