@@ -5,7 +5,9 @@ as Parquet and read again as the next one's docs.  All but the last return the
 columns of ``documents``.
 
 Defined cases are those of the operators: language ID rejects texts that are
-null or have no letter, and those of whose letters no language has a quarter; of
+null or have no letter, and those of whose letters no language has a quarter
+(which can be so only with five learned languages or more: with up to four,
+texts in a language that wasn't learned are labelled and kept); of
 equal and of near-equal texts one document stays; secrets are replaced by a
 mark and the document stays (``n_chars`` is counted anew); empty tables pass.
 """
