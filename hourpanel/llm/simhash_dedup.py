@@ -5,9 +5,9 @@ their 8 positional bytes.  A posting list of one positional byte holds 1/256
 of the corpus, so the index lists each distinct fingerprint under every
 combination of 8 - d positions with their bytes (70 lists for d = 4):
 fingerprints meet in a list exactly if they share that many positional bytes.
-In a list, the shared positional bytes of a pair are tallied, pairs with
-fewer than 8 - d are out, a pair counts in the first combination it shares,
-and the bit distance is verified.
+The count is so met by construction: the tally of shared positional bytes
+filters no pair of a list, and the bit distance is verified.  A pair may meet in
+several lists; equal edges are made one.  Each list is searched by one task.
 
 A list is searched from one fingerprint at a time and only among those that
 the search hasn't reached yet, which leaves a spanning forest of its links:
