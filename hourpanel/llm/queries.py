@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, pii_surrogates, quality_hosts, secret_ledger, sentencepiece_viterbi
+from . import bpe_tree, exact_dedup, language_id, packing, pii_surrogates, quality_hosts, secret_ledger, sentencepiece_viterbi
 from . import simhash_dedup, url_filter, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +226,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"))
 
 
+@_query("op13_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number and hash of its ids, and the hash of the text they decode to."""
+    path = _tokenizer_file("byte_bpe_50k.json")
+    docs = _read(spark, sf_dir, "documents")
+    coded = bpe_tree.encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
+    sized = coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    return bpe_tree.decode(sized, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
