@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, exact_dedup, language_id, packing, pii_surrogates, quality_hosts, secret_ledger, sentencepiece_viterbi
+from . import bpe_tree, conversation_repair, exact_dedup, language_id, packing, pii_surrogates, quality_hosts, secret_ledger, sentencepiece_viterbi
 from . import simhash_dedup, url_filter, warc_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +226,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"))
 
 
+@_query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversation_repair.damage(turns)
+    plans = conversation_repair.with_empty(conversation_repair.plan(rows), turns)
+    return conversation_repair.digests(rows, plans).select(
+        "conv_id", *conversation_repair.COUNTS, "cost", "audit", "repaired_sha256")
+
+
 @_query("op13_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and hash of its ids, and the hash of the text they decode to."""
