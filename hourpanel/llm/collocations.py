@@ -42,8 +42,8 @@ SHARD_WORDS = 1 << 22
 BATCH_CHARS = 1 << 20
 #: Phrases (with repeats) for each range; the tasks that unite them hold a few times as many numbers.
 RANGE_PHRASES = 6_000_000
-#: Documents in the sample that cuts the ranges, and the most pairs taken from each: at most 128,000 keys reach the driver.
-SAMPLE_DOCS, SAMPLE_PAIRS = 2000, 64
+#: Documents (about) in the sample that cuts the ranges, and the most pairs taken from each: some 500,000 keys at most reach the driver.
+SAMPLE_DOCS, SAMPLE_PAIRS, SAMPLE_STRIDE = 2000, 256, 16
 #: Requests for one copy of a range's automaton.
 REQUESTS = 200_000
 #: Phrases waiting to be united, at most.
@@ -138,7 +138,7 @@ def range_bounds(texts: DataFrame, range_phrases: int) -> list[Bound]:
                 if not shard.size:
                     continue
                 words, ids, linked = list(shard.number), shard.ids[0], np.flatnonzero(shard.linked[0])
-                keys = {(words[ids[i]], words[ids[i + 1]]) for i in linked[::max(1, len(linked) // SAMPLE_PAIRS + 1)].tolist()}
+                keys = {(words[ids[i]], words[ids[i + 1]]) for i in linked[::max(SAMPLE_STRIDE, len(linked) // SAMPLE_PAIRS + 1)].tolist()}
                 for k, (first, second) in enumerate(sorted(keys) or [(words[0], b"")]):
                     for c, v in zip(cols, (lang, first, second, 0 if k else shard.size)):
                         c.append(v)
@@ -270,7 +270,7 @@ def _requests(counted: DataFrame, ranges: Ranges) -> DataFrame:
 
 def _answers(requests: DataFrame, counted: DataFrame, per_copy: int) -> DataFrame:
     """Requests with the count ``f`` of their part."""
-    # one row for each range that is asked: at most SAMPLE_DOCS * SAMPLE_PAIRS + 1
+    # one row for each range that is asked: about SAMPLE_DOCS * SAMPLE_PAIRS at most
     copies = F.broadcast(requests.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / per_copy).cast("int").alias("copies")))
     salted = requests.join(copies, "range").withColumn("copy", F.pmod(F.xxhash64("phrase"), F.col("copies")).cast("int")).drop("copies")
     automata = counted.join(copies, "range").select("range", "lang", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "automaton")

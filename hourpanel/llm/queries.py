@@ -237,16 +237,16 @@ g as (
   union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w),
 f as (select lang, k, phrase, count(*)::hugeint as f from g group by lang, k, phrase),
 cut as (
-  select lang, k, phrase, f as a, 1 as at, split_part(phrase, ' ', 1) as head, substr(phrase, strpos(phrase, ' ') + 1) as tail from f where k > 1 and f >= 10
+  select lang, k, phrase, f as a, 1 as k1, split_part(phrase, ' ', 1) as head, substr(phrase, strpos(phrase, ' ') + 1) as tail from f where k > 1 and f >= 10
   union all
   select lang, k, phrase, f, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3) from f where k = 3 and f >= 10),
 scored as (
-  select cut.lang, cut.k, cut.phrase, a, at, l.f as l, r.f as r, head, tail, 1000000::hugeint * a * a // (l.f * r.f) as score
+  select cut.lang, cut.k, cut.phrase, a, k1, l.f as l, r.f as r, head, tail, 1000000::hugeint * a * a // (l.f * r.f) as score
   from cut join f l on l.lang = cut.lang and l.phrase = head join f r on r.lang = cut.lang and r.phrase = tail),
-low as (select * from scored qualify row_number() over (partition by lang, phrase order by score, at) = 1),
+low as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k1) = 1),
 inner_pairs as (
-  select lang, tail as phrase from scored where k = 3 and at = 1 and 100 * a >= 50 * r
-  union select lang, head from scored where k = 3 and at = 2 and 100 * a >= 50 * l),
+  select lang, tail as phrase from scored where k = 3 and k1 = 1 and 100 * a >= 50 * r
+  union select lang, head from scored where k = 3 and k1 = 2 and 100 * a >= 50 * l),
 kept as (select * from low where not exists (select 1 from inner_pairs i where i.lang = low.lang and i.phrase = low.phrase)),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
 select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
