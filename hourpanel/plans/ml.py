@@ -1,5 +1,5 @@
 """Prediction plans on Spark ML: encoding, scaling, weights, model fits,
-time-ordered cross-validation, seeded search, feature selection, importances.
+time-ordered cross-validation, feature selection, importances.
 
 Every fit is a Spark ML estimator over a DataFrame (distributed); the driver
 only holds parameter maps, metrics rows and importance vectors.
@@ -7,7 +7,6 @@ only holds parameter maps, metrics rows and importance vectors.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -28,8 +27,6 @@ from .feature_chain import FeatureChainModel
 # Model settings of the study.
 FOREST_TREES, SEED = 100, 42
 BOOST_DEFAULT = {"maxIter": 200, "maxDepth": 6}
-SEARCH_SPACE = {"maxIter": (100, 1000), "maxDepth": (3, 12), "stepSize": (0.01, 0.3), "subsamplingRate": (0.6, 1.0),
-                "featureSubsetStrategy": (0.6, 1.0)}
 VARIANCE_MIN = 0.01
 IMPORTANCE_MIN, IMPORTANCE_TREES = 0.005, 20
 # Weights: weekend 3.0, morning/evening peak 2.0 (overrides weekend), x1.8 above the 80th
@@ -227,51 +224,6 @@ def ts_cv(df: DataFrame, features: Sequence[str], label: str, time_col: str, kin
     return out
 
 
-def sample_params(n_trials: int, seed: int = SEED, space: Mapping = SEARCH_SPACE) -> list[dict]:
-    """Seeded random search over the study's ranges (integers for counts/depths)."""
-    rng = random.Random(seed)
-    trials = []
-    for _ in range(n_trials):
-        p = {}
-        for k, (lo, hi) in space.items():
-            if isinstance(lo, int) and isinstance(hi, int):
-                p[k] = rng.randint(lo, hi)
-            else:
-                p[k] = rng.uniform(lo, hi)
-        p["featureSubsetStrategy"] = f"{p['featureSubsetStrategy']:.3f}"
-        trials.append(p)
-    return trials
-
-
-def random_search(df: DataFrame, features: Sequence[str], label: str, time_col: str, n_trials: int,
-                  seed: int = SEED, scale: Mapping[str, float] | None = None) -> list[dict]:
-    """Each trial is scored by expanding-window CV mean MAE (lower is better)."""
-    results = []
-    for i, p in enumerate(sample_params(n_trials, seed)):
-        q = dict(p)
-        for k, f in (scale or {}).items():
-            q[k] = max(1, int(q[k] * f)) if isinstance(q[k], int) else q[k]
-        folds = ts_cv(df, features, label, time_col, "boost", q)
-        results.append({"trial": i, **{k: str(v) for k, v in q.items()},
-                        "cv_mae": sum(x["mae"] for x in folds) / len(folds)})
-    return sorted(results, key=lambda r: r["cv_mae"])
-
-
-def grid_search(train: DataFrame, features: Sequence[str], label: str, grid: Mapping[str, Sequence],
-                folds: int = 5, parallelism: int = 2):
-    """ParamGridBuilder + CrossValidator on a boosting pipeline (RMSE)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    gbt = regressor("boost", label)
-    pipe = Pipeline(stages=[assemble(features), gbt])
-    b = ParamGridBuilder()
-    for k, vals in grid.items():
-        b = b.addGrid(getattr(gbt, k), list(vals))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=b.build(), numFolds=folds, parallelism=parallelism,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), seed=SEED)
-    return cv.fit(train)
-
-
 def time_residual(train: DataFrame, test: DataFrame, label: str, features: Sequence[str] = TIME_FEATURES,
                   trees: int = FOREST_TREES, out: str = "residual"):
     """Forest on time features only; residual = y - prediction becomes the new target."""

@@ -16,8 +16,11 @@ from ..operators import joins as jn
 from ..operators import plotdata as pdat
 from ..operators import select as sel
 from ..operators import series as se
+from ..session import store
 from ..sources import fixtures as fx
-from . import ml
+from ..sources import panel_io as pio
+from . import boosting as bo
+from . import ml, tuning
 from .common import clean, final, r, with_clean
 from .registry import register
 
@@ -48,11 +51,16 @@ def parts(spark, sf):
 
 #: What the fits use beside: the day of the month and the code of the station.
 FIT_FEATURES = [*BASE_FEATURES, "day", "station_encoded"]
+FIT_COLUMNS = [*KEY, "station_name", "direction", "time_period", "congestion", "day", *BASE_FEATURES, "is_morning_peak", "is_evening_peak"]
 
 
 def fit_parts(spark, sf):
-    """Train and test rows of the stations that both have, with the code of the station."""
-    tr, te = jn.keep_common(*parts(spark, sf), "station_name")
+    """Train and test rows of the stations that both have, with the code of the station.
+
+    The columns that fits read are stored once; the stations' set, their codes, the fit and its scoring read that.
+    """
+    narrow = store(model_frame(spark, sf).select(*FIT_COLUMNS), "fit-rows")
+    tr, te = jn.keep_common(narrow.filter(F.col("tm") < SPLIT_TM), narrow.filter(F.col("tm") >= SPLIT_TM), "station_name")
     tr, te, _ = ml.label_encode(tr.withColumn("station", F.col("station_name")), ["station"], te.withColumn("station", F.col("station_name")))
     return tr, te
 
@@ -200,23 +208,46 @@ def ml_boost(spark, sf):
     return _metrics_frame(spark, [("boost_weighted", m)])
 
 
+def boost_table(df, fold, weight=None):
+    return bo.table(df, FIT_FEATURES, "congestion", KEY, fold, weight)
+
+
+@register("ml_boost_large")
+def ml_boost_large(spark, sf):
+    """The study's large weighted model: 2,000 trees of depth 15 for one station's three summer months, fitted in stages.
+
+    The station is the one with the most rows in the train summers (ties: the first by name).
+    """
+    tr, te = fit_parts(spark, sf)
+    summer = F.col("month").isin(6, 7, 8)
+    station = tr.where(summer).groupBy("station_name").count().orderBy(F.desc("count"), "station_name").limit(1).select("station_name")
+    tr, te = (jn.keep_in(d.where(summer), station, "station_name") for d in (tr, te))
+    tr = ml.sample_weights(tr, "congestion", ml.high_threshold(tr, "congestion")).withColumn("fold", F.lit(0))
+    both = tr.unionByName(te.withColumns({"weight": F.lit(1.0), "fold": F.lit(1)}))
+    t = boost_table(both, "fold", "weight")
+    run = bo.Run("large", tuning.LARGE, (0,), (1,), (500, 1000, 2000))
+    fitted = bo.fit_staged(t, run, pio.io_dir(spark, "boost-large"))
+    rows = [(s["stage"], sum(len(x.feature) for x in fitted.trees[:s["stage"]]), s["mae"], s["mse"] ** 0.5 if s["n"] else None, s["r2"], s["n"]) for s in fitted.scores]
+    return spark.createDataFrame(rows, "trees int, nodes long, mae double, rmse double, r2 double, n long")
+
+
 @register("ml_grid")
 def ml_grid(spark, sf):
-    """Grid search with k-fold CrossValidator (a 2 x 2 grid, 3 folds for the registered run)."""
+    """The study's whole grid, 108 settings x 5 folds: 180 runs in step, scored after 50, 100 and 200 trees."""
     tr, _ = fit_parts(spark, sf)
-    cvm = ml.grid_search(tr, FIT_FEATURES, "congestion", {"maxIter": [20], "maxDepth": [3, 5], "stepSize": [0.1, 0.3]},
-                         folds=3)
-    rows = [(str({p.name: v for p, v in pm.items()}), float(s)) for pm, s in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
-    return spark.createDataFrame(rows, "params string, cv_rmse double")
+    res = tuning.grid_search(boost_table(tuning.hash_folds(tr, KEY, tuning.GRID_FOLDS), "fold"))
+    return spark.createDataFrame([(*[x[k] for k in tuning.GRID], x["folds"], x["cv_mse"], x["cv_mse"] ** 0.5) for x in res],
+                                 "trees int, depth int, rate double, rows double, columns double, folds int, cv_mse double, cv_rmse double")
 
 
 @register("ml_search")
 def ml_search(spark, sf):
-    """Seeded random search (3 trials, iterations scaled 1/50) scored by expanding-window CV."""
+    """Seeded random search over the study's ranges, 10 trials x 3 expanding windows, each fit entered in a ledger."""
     tr, _ = fit_parts(spark, sf)
-    res = ml.random_search(tr, FIT_FEATURES, "congestion", "tm", 3, scale={"maxIter": 0.02})
-    return spark.createDataFrame([(x["trial"], x["maxIter"], x["maxDepth"], float(x["cv_mae"])) for x in res],
-                                 "trial int, maxIter string, maxDepth string, cv_mae double")
+    t = boost_table(ml.time_folds(tr, "tm", tuning.SEARCH_FOLDS), "fold")
+    res = tuning.search(t, tuning.TrialLedger(spark, pio.io_dir(spark, "trials")))
+    return spark.createDataFrame([tuple(x.values()) for x in res], "trial int, trees int, depth int, rate double, rows double, columns double, "
+                                 "l1 double, l2 double, folds int, cv_mae double")
 
 
 @register("ml_ts_cv")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -100,3 +101,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result as Parquet below ``spark.checkpoint.dir`` and read it back.
+
+    Like ``materialize``, but the columns can be read alone, the file size is
+    known to the planner, and the plan starts anew: a checkpoint still carries
+    the constraints of the plan it was made of, which the optimizer spends
+    minutes on when dozens of derived columns follow.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
