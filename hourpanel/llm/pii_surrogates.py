@@ -75,7 +75,9 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 SAME_LENGTH_TRIES = 4  # of a phone number, before it gets longer
 MAX_PHONE_DIGITS = 15
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: An email needs an @; all others start with one of these characters, so that most places are left after one look.
+OTHERS = f"(?=[0-9+(A-Zг])(?:{'|'.join(f'(?:{p})' for k, p in PATTERNS.items() if k != 'email')})"
+ANY = f"(?:{PATTERNS['email']})|{OTHERS}"
 # Titles of women, and given names and name parts for surrogates by script and gender.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Madame", "Señora", "Sra", "г-жа")
 GIVEN = {("latin", "f"): ("Anna", "Clara", "Elena", "Helen", "Julia", "Laura", "Maria", "Nora", "Sofia", "Vera"),
@@ -86,6 +88,17 @@ SYLLABLES = {"latin": ("bar", "den", "fel", "gor", "hal", "kin", "lam", "mor", "
              "cyrillic": ("бар", "вол", "гор", "дан", "зим", "кор", "лав", "мир", "нов", "пет", "рад", "сев", "тар", "фед", "хар", "яр")}
 
 
+def mentions_of(text: Column) -> Column:
+    """The entities of a text, in order; the email pattern is tried only in texts that have an @."""
+    return F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit(OTHERS), F.lit(0)))
+
+
+def between(text: Column) -> Column:
+    """What stands before, between and after them."""
+    return F.when(text.contains("@"), F.split(text, ANY, -1)).otherwise(F.split(text, OTHERS, -1))
+
+
 def kind_of(entity: Column) -> Column:
     bare = F.translate(entity, " -", "")
     return (F.when(entity.contains("@"), "email")
@@ -132,6 +145,26 @@ def _disguise(entity: Column, h: Column) -> Column:
     return F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), one)["out"]
 
 
+def _weave(entity: Column, digits: Column) -> Column:
+    """``entity`` with its digits replaced by ``digits``, in order."""
+    def one(acc, c):
+        digit = c.rlike("^[0-9]$")
+        return F.struct(F.concat(acc["out"], F.when(digit, F.substr(digits, acc["i"], F.lit(1))).otherwise(c)).alias("out"),
+                        (acc["i"] + digit.cast("int")).alias("i"))
+
+    return F.aggregate(F.split(entity, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), one)["out"]
+
+
+def _phone(entity: Column, h: Column) -> Column:
+    """Head and new digits follow from the canonical digits, so that all formats of a number get the same ones."""
+    def new(number):
+        kept = (F.when(number.startswith("+"), 1).when(number.rlike("^0[1-9]"), 2).when(number.rlike("^1[0-9]{10}$"), 1).otherwise(0))
+        digits = F.translate(number, "+", "")
+        return F.concat(digits.substr(F.lit(1), kept), _disguise(digits.substr(kept + 1, F.length(digits)), h))
+
+    return _weave(entity, let(F.regexp_replace(entity, "[^0-9+]", ""), new))
+
+
 def _luhn_sum(number: Column) -> Column:
     """Luhn sum of the digits of ``number``; 0 modulo 10 if its check digit is right."""
     digits = F.reverse(F.split(F.regexp_replace(number, "[^0-9]", ""), ""))
@@ -192,24 +225,30 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
     def make(x):
         kind, h = x["kind"], x["h"]
         # what stays before and after the part that is disguised
-        head = (F.when(kind == "phone", F.regexp_extract(entity, r"^(\+[0-9]|0[1-9]|1[ .-]|)", 1))
-                .when(kind == "iban", F.substring(entity, 1, 2)).otherwise(""))
+        head = F.when(kind == "iban", F.substring(entity, 1, 2)).otherwise("")
         tail = F.when(kind == "email", F.regexp_extract(entity, r"(\.[^.]+)$", 1)).otherwise("")
         body = entity.substr(F.length(head) + 1, F.length(entity) - F.length(head) - F.length(tail))
         more = F.least(attempt - SAME_LENGTH_TRIES + 1, MAX_PHONE_DIGITS - F.length(F.regexp_replace(entity, "[^0-9]", "")))
-        longer = F.when(kind == "phone", _extra(h, 65, more, tuple("0123456789"))).otherwise("")
+        phone = F.concat(_phone(entity, h), _extra(h, 65, more, tuple("0123456789")))
         first = F.when(kind == "email", _extra(h, 65, attempt, tuple("abcdefghijklmnop"))).otherwise("")
         ip = F.concat_ws(".", *[(_number(h, 1 + 8 * k, 223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
         return (F.when(kind == "ip", ip).when(kind == "card", _card(entity, h)).when(kind == "person", _person(entity, h, attempt))
-                .otherwise(F.concat(first, head, _disguise(body, h), longer, tail)))
+                .when(kind == "phone", phone).otherwise(F.concat(first, head, _disguise(body, h), tail)))
 
     return let(F.struct(kind_of(entity).alias("kind"), _hash(canonical(entity), key, attempt).alias("h")), make)
 
 
-def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The distinct entities (canon, mention) of the corpus; mention is the smallest form."""
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(docs[text_col], F.lit(ANY), F.lit(0)))).alias("m"))
-    return found.groupBy(canonical(F.col("m")).alias("canon")).agg(F.min("m").alias("mention"))
+def matched(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_key, mentions) of the texts that have any; the key is a 64-bit hash of the text."""
+    text = docs[text_col]
+    found = docs.select(F.xxhash64(text).alias("text_key"), F.array_distinct(mentions_of(text)).alias("mentions"))
+    return found.where(F.size("mentions") > 0)
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """The distinct entities (canon, mention) of ``matched`` texts; mention is the smallest form."""
+    each = found.select(F.explode("mentions").alias("m"))
+    return each.groupBy(canonical(F.col("m")).alias("canon")).agg(F.min("m").alias("mention"))
 
 
 def exceptions(known: DataFrame, key: str) -> DataFrame:
@@ -218,10 +257,13 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
     ``known`` is stored.  Each round raises the attempt of those that still meet another, all but the smallest of
     the ones that have come furthest; it ends when none meets another.  Nothing but a count reaches the driver.
     """
+    spark = known.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     state = known.withColumn("attempt", F.lit(0))
     moved = known.select("canon").limit(0).withColumn("attempt", F.lit(0))
     while True:
-        named = store(state.withColumn("new", canonical(surrogate(F.col("mention"), key, F.col("attempt")))), "pii-round")
+        # few bytes but dear rows: dealt to as many tasks as there are
+        named = store(state.repartition(parts, "canon").withColumn("new", canonical(surrogate(F.col("mention"), key, F.col("attempt")))), "pii-round")
         crowd = named.groupBy("new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")) \
             .where("n > 1").select(F.col("new").alias("name"), F.col("first.canon").alias("first"))
         real = known.select(F.col("canon").alias("name"), F.lit(None).cast("string").alias("first"))
@@ -241,23 +283,22 @@ def _count_of(kinds: Column, kind: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: str | None = None) -> DataFrame:
     """``docs`` with the entities in ``text_col`` replaced; ``counts`` names a column (kind -> mentions) to add."""
-    moved = store(exceptions(store(entities(docs, text_col), "pii-entities"), key), "pii-exceptions")
+    matches = store(matched(docs, text_col), "pii-matches")
+    moved = store(exceptions(store(entities(matches), "pii-entities"), key), "pii-exceptions")
     m, tries, k, k2 = fresh(docs, "mentions", "tries", "text_key", "text_key_of")
     text = docs[text_col]
-    found = docs.withColumns({m: F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>")),
-                              k: F.xxhash64(text)})
+    found = docs.withColumns({m: F.coalesce(mentions_of(text), F.array().cast("array<string>")), k: F.xxhash64(text)})
     # attempts that differ from 0, by text; a key shared by two texts only adds entries that hold for both
-    per_text = (found.where(F.size(m) > 0).select(k, F.explode(F.array_distinct(F.transform(m, canonical))).alias("canon"))
-                .join(moved, "canon").select(k, F.struct("canon", "attempt").alias("e")).groupBy(k)
-                .agg(F.map_from_entries(F.collect_set("e")).alias(tries)))
-    per_text = store(per_text.withColumnRenamed(k, k2), "pii-attempts")
+    per_text = (matches.select("text_key", F.explode(F.array_distinct(F.transform("mentions", canonical))).alias("canon"))
+                .join(moved, "canon").groupBy("text_key").agg(F.map_from_entries(F.collect_set(F.struct("canon", "attempt"))).alias(tries)))
+    per_text = store(per_text.withColumnRenamed("text_key", k2), "pii-attempts")
     met = found.join(per_text, found[k] == per_text[k2], "left")
 
     def replaced(x):
         attempt = F.coalesce(F.get(F.map_values(F.map_filter(F.col(tries), lambda c, _: c == canonical(x))), F.lit(0)), F.lit(0))
         return surrogate(x, key, attempt)
 
-    pieces = F.split(text, ANY, -1)
+    pieces = between(text)
     woven = F.flatten(F.zip_with(pieces, F.transform(m, replaced), lambda p, r: F.array(p, F.coalesce(r, F.lit("")))))
     new = F.when(F.size(m) > 0, F.array_join(woven, "")).otherwise(text)
     extra = []
