@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._util import col_of
-from .quantiles import exact_quantiles
+from .quantiles import quantiles_with
 
 STAT_FUNCS = {
     "count": lambda c: F.count(c).cast("long"),
@@ -31,25 +31,21 @@ STAT_FUNCS = {
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """count, mean, std, min, 25%, 50%, 75%, max per column, long format.
 
-    One aggregate over all columns (the quartiles by ``exact_quantiles``, or
-    by a sketch with ``exact=False``), then a stack to (variable, stat...) rows.
+    One aggregate over all columns, which also starts the search of the exact
+    quartiles (``exact=False`` takes those of a sketch).
     """
     probs = [0.25, 0.5, 0.75]
-    exact_q = exact_quantiles(df, {c: probs for c in cols}) if exact else {}
-    aggs = []
-    for c in cols:
-        q = (F.array(*[F.lit(v).cast("double") for v in exact_q[c]]) if exact
-             else F.percentile_approx(c, probs, 100000).cast("array<double>"))
-        aggs += [F.count(c).cast("long").alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).cast("double").alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(c).cast("double").alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    parts = [F.struct(F.lit(c).alias("variable"), F.col(f"{c}__count").alias("count"),
-                      F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                      F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("q25"),
-                      F.col(f"{c}__q")[1].alias("q50"), F.col(f"{c}__q")[2].alias("q75"),
-                      F.col(f"{c}__max").alias("max")) for c in cols]
-    return wide.select(F.inline(F.array(*parts)))
+    stats = [e for c in cols for e in (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"), F.max(c).cast("double"))]
+    if exact:
+        quartiles, got = quantiles_with(df, {c: probs for c in cols}, stats)
+    else:
+        got = list(df.agg(*[e.alias(f"a{i}") for i, e in enumerate(stats + [F.percentile_approx(c, probs, 100000).cast("array<double>") for c in cols])]).first())
+        quartiles = {c: q or [None] * 3 for c, q in zip(cols, got[len(stats):])}
+    rows = []
+    for i, c in enumerate(cols):
+        n, mean, std, low, high = got[5 * i:5 * i + 5]
+        rows.append((c, n, *[None if v is None else float(v) for v in (mean, std, low, *quartiles[c], high)]))
+    return df.sparkSession.createDataFrame(rows, "variable string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")
 
 
 def group_stats(df: DataFrame, keys: Sequence[str | Column], value: str,
@@ -86,12 +82,10 @@ def pivot_mean(df: DataFrame, index: Sequence[str], column: str, value: str,
 def value_counts(df: DataFrame, col: str | Column, name: str = "value") -> DataFrame:
     """Frequency per value including missing, with share of all rows.
 
-    The share divides by the total from a window over the (small) result,
-    not by a second scan.
+    The total is a scalar subquery over the counts, so no task holds all values.
     """
-    from pyspark.sql import Window
     counts = df.groupBy(col_of(col).alias(name)).agg(F.count(F.lit(1)).cast("long").alias("count"))
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    return counts.withColumn("share", F.col("count") / counts.select(F.sum("count")).scalar())
 
 
 def rate(df: DataFrame, conds: Mapping[str, Column]) -> DataFrame:

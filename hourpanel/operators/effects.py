@@ -7,7 +7,7 @@ the demeaned regression equal the dummy model's, and the hour intercepts are
 ``a_hour - a_base`` and the adjusted target is ``y - time effect``.
 
 Data-sized work: one grouped aggregate (hour means, bounded by the number of
-hours), one join of that table, one Gram aggregate of the
+hours, which is checked), one broadcast join of that table, one Gram aggregate of the
 demeaned columns.  No dummy columns are materialised.
 """
 
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from . import stats as st
 
 
+#: Levels of the fixed effect, at most: their table is broadcast and solved on the driver.
+MAX_LEVELS = 10_000
+
+
 class HourEffects:
     """Result of :func:`fit_hour_effects` (small: coefficients and a per-hour table)."""
 
@@ -51,7 +55,10 @@ def fit_hour_effects(df: DataFrame, y: str, xs: Sequence[str], fe: str = "hour")
     means = d.groupBy(fe).agg(F.count(F.lit(1)).alias("__n"), F.avg(y).alias("__my"),
                               *[F.avg(x).alias(f"__mx_{x}") for x in xs])
     means = means.cache()
-    dm = d.join(means, fe).select(
+    if means.count() > MAX_LEVELS:
+        means.unpersist()
+        raise ValueError(f"{fe} has more than {MAX_LEVELS} levels")
+    dm = d.join(F.broadcast(means), fe).select(
         (F.col(y) - F.col("__my")).alias(y), *[(F.col(x) - F.col(f"__mx_{x}")).alias(x) for x in xs])
     cols, xtx, xty, yy, _, n = st.gram(dm, y, xs, intercept=False)
     try:

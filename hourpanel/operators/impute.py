@@ -1,9 +1,9 @@
 """Imputation operators that need no ordering (series fills live in ``series``).
 
 Fill values come from one aggregate over the frame (or a grouped aggregate
-joined back), then a ``coalesce`` projection.  Exact medians buffer the
-values of a column; ``exact=False`` switches to a bounded-memory sketch for
-very large inputs.
+joined back), then a ``coalesce`` projection.  Exact medians come from ranks
+of counted values (``quantiles``), with bounded memory; ``exact=False`` takes
+a sketch alone.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .joins import bounded
+from .quantiles import grouped_quantiles
 
 FLAG_PREFIXES = ("extreme_", "is_", "no_", "light_", "heavy_", "strong_", "calm_")
 INTERACTION_MARKERS = ("interaction", "apparent_temp", "wind_chill")
@@ -24,8 +25,8 @@ def column_stats(df: DataFrame, cols: Sequence[str], how: str = "median", exact:
     if not cols:
         return {}
     if how == "median" and exact:
-        vals = exact_quantiles(df, {c: [0.5] for c in cols})
-        return {k: v for k, (v,) in vals.items() if v is not None}
+        # all columns in one shuffle of their distinct values
+        return {row["variable"]: row["quantiles"][0] for row in grouped_quantiles(df, [], cols, [0.5]).collect()}
     if how == "mean":
         aggs = [F.avg(c).alias(c) for c in cols]
     elif how == "median":
@@ -41,15 +42,16 @@ def impute(df: DataFrame, cols: Sequence[str], how: str = "mean", exact: bool =
     return df.fillna(column_stats(df, cols, how, exact))
 
 
-def impute_group_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str], suffix: str = "") -> DataFrame:
+def impute_group_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str], suffix: str = "", domain: int | None = None) -> DataFrame:
     """Fill NULLs with the mean of the row's group.
 
     A grouped aggregate (map-side combined) joined back on the group key:
-    no window, so a hot group never lands in one task.  Adaptive execution
-    chooses the join from the measured size of the group table.
+    no window, so a hot group never lands in one task.  ``domain``: how many
+    groups there can be (a literal domain's table is broadcast); else adaptive
+    execution chooses the join from the measured size of the group table.
     """
     stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
-    out = df.join(stats, list(by), "left")
+    out = df.join(bounded(stats, domain), list(by), "left")
     out = out.withColumns({f"{c}{suffix}": F.coalesce(F.col(c), F.col(f"__m_{c}")) for c in cols})
     return out.drop(*[f"__m_{c}" for c in cols])
 

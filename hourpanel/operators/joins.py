@@ -1,6 +1,7 @@
 """Join and set operators (all hash equi-joins).
 
-No side is hinted: adaptive execution picks broadcast or sort-merge from the
+A side is hinted only if its keys have a literal domain (``domain``: hours,
+weekdays); else adaptive execution picks broadcast or sort-merge from the
 measured shuffle size and splits skewed partitions.
 """
 
@@ -12,10 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def join_group_mean(df: DataFrame, keys: Sequence[str], value: str, suffix: str = "_hour_day_avg") -> DataFrame:
-    """Inner-merge the mean of ``value`` per key combination back onto the rows."""
+#: Key combinations up to which a literal domain's table is broadcast.
+BROADCAST_DOMAIN = 10_000
+
+
+def bounded(side: DataFrame, domain: int | None) -> DataFrame:
+    """``side`` with a broadcast hint if its keys can have only ``domain`` combinations: without it, the other side of a
+    join on 24 hours would be shuffled onto 24 keys."""
+    return F.broadcast(side) if domain is not None and domain <= BROADCAST_DOMAIN else side
+
+
+def join_group_mean(df: DataFrame, keys: Sequence[str], value: str, suffix: str = "_hour_day_avg", domain: int | None = None) -> DataFrame:
+    """Inner-merge the mean of ``value`` per key combination back onto the rows; ``domain``: how many combinations there can be."""
     means = df.groupBy(*keys).agg(F.avg(value).alias(f"{value}{suffix}"))
-    return df.join(means, list(keys), "inner")
+    return df.join(bounded(means, domain), list(keys), "inner")
 
 
 def outer_align(left: DataFrame, right: DataFrame, key: str, lcol: str, rcol: str, diff: str = "diff") -> DataFrame:

@@ -4,33 +4,40 @@
 ``exact_quantiles`` returns the same values from sketches and counts alone,
 for any number of columns and probabilities at once:
 
-1. one aggregate counts the values of every column;
-2. a quantile of n values lies between two order statistics; each of them is
+1. a quantile of n values lies between two order statistics; each of them is
    searched by rank.  One aggregate of sketches (``percentile_approx``, rank
    error at most n / accuracy) proposes a value at the rank and one on either
-   side of it;
-3. one aggregate counts, per proposed value, the rows below it and up to it.
+   side of it, and the first one also counts the values;
+2. one aggregate counts, per proposed value, the rows below it and up to it.
    If the rank lies in a value's run of ties, that value is the answer; else
    the open interval between two proposals that holds the rank takes the
-   place of the whole column, and steps 2 and 3 are repeated inside it.
+   place of the whole column, and both steps are repeated inside it (a sketch
+   of at most accuracy / 2 values is exact and needs no count).
 
 Every round shrinks the interval by about accuracy / 4 and always excludes at
 least the proposed values, and a sketch over fewer than ``accuracy`` rows is
 exact, so two rounds settle 10^8 rows and three 10^12.  The same path runs
 at every size.  NULL and NaN are ignored; an empty column gives None.
+
+``grouped_quantiles`` finds them for every group and column at once: equal
+values are counted (combined before the shuffle), the distinct (group, column,
+value) rows are cut into sorted ranges, and running counts give each value the
+ranks it holds.  No group lies in one task, and nothing reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._util import nan_to_null
+from ..session import store
 
 #: Aggregates in one job: a sketch holds a few thousand values, and generated code should stay small.
 SKETCHES_PER_JOB, COUNTS_PER_JOB = 32, 200
+ACCURACY = 20_000
 
 
 def _values(col: str) -> Column:
@@ -46,14 +53,18 @@ def _aggregate(df: DataFrame, exprs: Sequence[Column], per_job: int) -> list:
 
 
 def order_statistics(df: DataFrame, ranks: Mapping[str, Iterable[int]], sizes: Mapping[str, int],
-                     accuracy: int = 20_000) -> dict[tuple[str, int], float]:
-    """The value at each 0-based rank of each column; ``sizes`` are the columns' non-null counts."""
+                     accuracy: int = ACCURACY, proposed: Mapping[str, Iterable[float]] | None = None) -> dict[tuple[str, int], float]:
+    """The value at each 0-based rank of each column; ``sizes`` are the columns' non-null counts.
+
+    ``proposed``: values to count first, instead of those of a sketch.
+    """
     found: dict[tuple[str, int], float] = {}
     # open search interval (low, high) per target, rows up to low, rows below high
     spans = {(c, k): (None, None, 0, sizes[c]) for c, ks in ranks.items() for k in ks if 0 <= k < sizes[c]}
+    given = {c: set(v) for c, v in (proposed or {}).items()}
     while spans:
         wanted: dict[tuple, set[float]] = {}
-        for (c, k), (low, high, below, upto) in spans.items():
+        for (c, k), (low, high, below, upto) in spans.items() if not given else ():
             n, at = upto - below, k - below
             step = 2 * (n // accuracy + 1)
             wanted.setdefault((c, low, high), set()).update(
@@ -64,17 +75,28 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Iterable[int]], sizes: M
             inside = x if low is None else F.when(x > low, x)
             inside = inside if high is None else F.when(x < high, inside)
             sketches.append(F.percentile_approx(inside, F.array(*[F.lit(p) for p in sorted(probs)]), accuracy))
-        proposed: dict[str, set[float]] = {}
-        for (c, _, _), got in zip(wanted, _aggregate(df, sketches, SKETCHES_PER_JOB)):
-            proposed.setdefault(c, set()).update(got)
-        points = [(c, v) for c, vs in proposed.items() for v in sorted(vs)]
+        near = given
+        given = {}
+        sketched = dict(zip(wanted, _aggregate(df, sketches, SKETCHES_PER_JOB)))
+        for (c, k), (low, high, below, upto) in list(spans.items()) if sketched else ():
+            if 2 * (upto - below) <= accuracy:  # the rank error is less than one: this is the value
+                probs = sorted(wanted[c, low, high])
+                found[c, k] = sketched[c, low, high][probs.index((k - below + 0.5) / (upto - below))]
+                del spans[c, k]
+        still = {(c, low, high) for (c, _), (low, high, _, _) in spans.items()}
+        for (c, low, high), got in sketched.items():
+            if (c, low, high) in still:
+                near.setdefault(c, set()).update(got)
+        if not near:
+            continue
+        points = [(c, v) for c, vs in near.items() for v in sorted(vs)]
         counts = _aggregate(df, [e for c, v in points for e in (F.count_if(_values(c) < v), F.count_if(_values(c) <= v))],
                             COUNTS_PER_JOB)
         ties: dict[str, list[tuple[float, int, int]]] = {}
         for (c, v), less, most in zip(points, counts[::2], counts[1::2]):
             ties.setdefault(c, []).append((v, less, most))
         for (c, k), (low, high, below, upto) in list(spans.items()):
-            for v, less, most in ties[c]:
+            for v, less, most in ties.get(c, ()):
                 if less <= k < most:
                     found[c, k] = v
                     del spans[c, k]
@@ -89,15 +111,69 @@ def order_statistics(df: DataFrame, ranks: Mapping[str, Iterable[int]], sizes: M
 
 
 def exact_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]],
-                    accuracy: int = 20_000) -> dict[str, list[float | None]]:
+                    accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation, ``{column: [value per probability]}``."""
+    return quantiles_with(df, probs, [], accuracy)[0]
+
+
+def quantiles_with(df: DataFrame, probs: Mapping[str, Sequence[float]], extra: Sequence[Column],
+                   accuracy: int = ACCURACY) -> tuple[dict[str, list[float | None]], list]:
+    """``exact_quantiles``, and the values of other aggregates that the first pass answers too."""
     cols = list(probs)
-    sizes = dict(zip(cols, _aggregate(df, [F.count(_values(c)) for c in cols], COUNTS_PER_JOB)))
+    step = 2 / accuracy
+    near = {c: sorted({min(1.0, max(0.0, p + d)) for p in probs[c] for d in (-step, 0.0, step)}) for c in cols}
+    first = _aggregate(df, [e for c in cols for e in (F.count(_values(c)), F.percentile_approx(_values(c), F.array(*map(F.lit, near[c])), accuracy))]
+                       + list(extra), 2 * SKETCHES_PER_JOB)
+    first, others = first[:2 * len(cols)], first[2 * len(cols):]
+    sizes, proposed = dict(zip(cols, first[::2])), {c: v for c, v in zip(cols, first[1::2]) if v}
     at = {c: [p * (sizes[c] - 1) for p in probs[c]] for c in cols if sizes[c]}
     ranks = {c: {k for r in rs for k in (int(r), min(int(r) + 1, sizes[c] - 1))} for c, rs in at.items()}
-    x = order_statistics(df, ranks, sizes, accuracy)
+    x = order_statistics(df, ranks, sizes, accuracy, proposed)
 
     def value(c, r):
         a, b = x[c, int(r)], x[c, min(int(r) + 1, sizes[c] - 1)]
         return a + (b - a) * (r - int(r)) if a != b else a
-    return {c: [value(c, r) for r in at[c]] if c in at else [None] * len(probs[c]) for c in cols}
+    return {c: [value(c, r) for r in at[c]] if c in at else [None] * len(probs[c]) for c in cols}, others
+
+
+def ranked_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """(by..., variable, value, below, upto, total): each distinct value's ranks are below..upto - 1 among its group's total.
+
+    NULL is a group of its own; NULL and NaN values are left out.
+    """
+    parts = F.array(*[F.struct(F.lit(c).alias("variable"), _values(c).alias("value")) for c in cols])
+    keys = [*by, "variable"]
+    counts = (df.select(*by, F.inline(parts)).where(F.col("value").isNotNull())
+              .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n")))
+    order = [*keys, "value"]
+    ranged = store(counts.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranked-values")
+    # running counts inside each (group, range), then the ranges' offsets from a table of one row for each
+    inside = Window.partitionBy(*keys, "__range").orderBy("value")
+    runs = ranged.withColumn("__upto", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    each = ranged.groupBy(*keys, "__range").agg(F.sum("__n").alias("__size"))
+    group = Window.partitionBy(*keys)
+    offsets = each.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"),
+                          F.coalesce(F.sum("__size").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+                          F.sum("__size").over(group).alias("total"))
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return runs.join(offsets, same).select(*keys, "value", (F.col("__before") + F.col("__upto") - F.col("__n")).alias("below"),
+                                           (F.col("__before") + F.col("__upto")).alias("upto"), "total")
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(by..., variable, n, quantiles): an array with the linear-interpolation quantile of each probability."""
+    ranked = ranked_values(df, by, cols)
+    aggs = [F.max("total").alias("n")]
+    for i, p in enumerate(probs):
+        rank = F.lit(float(p)) * (F.col("total") - 1)
+        low, high = F.floor(rank), F.least(F.floor(rank) + 1, F.col("total") - 1)
+        holds = [(F.col("below") <= k) & (k < F.col("upto")) for k in (low, high)]
+        aggs += [F.max(F.when(holds[0], F.col("value"))).alias(f"__a{i}"), F.max(F.when(holds[1], F.col("value"))).alias(f"__b{i}")]
+    got = ranked.groupBy(*by, "variable").agg(*aggs)
+
+    def value(i, p):
+        rank = F.lit(float(p)) * (F.col("n") - 1)
+        return F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * (rank - F.floor(rank))
+    return got.select(*by, "variable", "n", F.array(*[value(i, p) for i, p in enumerate(probs)]).alias("quantiles"))

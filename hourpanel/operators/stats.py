@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .._util import col_of
+from .._util import col_of, nan_to_null
+from .series import sequence_index
 
 # ---------------------------------------------------------------------------
 # Correlation strength cut-points and labels (three presets).
@@ -175,6 +176,61 @@ def corr_test_columns(df: DataFrame, with_p: bool = False) -> DataFrame:
     return out
 
 
+# --------------------------------------------------------------------------- normal scores
+# ---------------------------------------------------------------------------
+# Coefficients of the inverse normal (algorithm AS 241, PPND16) and of the Shapiro-Francia test's z.
+PPND_CENTRE = ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+                4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+               (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4,
+                3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3))
+PPND_NEAR = ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+              1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+             (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1,
+              1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+PPND_FAR = ((6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+             2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+            (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4,
+             1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15))
+SF_MEAN, SF_SD = (-1.2725, 1.0521), (1.0308, -0.26758)
+# ---------------------------------------------------------------------------
+
+
+def normal_quantile(p: str | Column) -> Column:
+    """The inverse of the normal distribution function, to some 16 digits, as a column expression."""
+    p = col_of(p)
+
+    def ratio(x, top, bottom):
+        def horner(cs):
+            out = F.lit(cs[-1])
+            for c in cs[-2::-1]:
+                out = out * x + F.lit(c)
+            return out
+        return horner(top) / horner(bottom)
+
+    q = p - 0.5
+    tail = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    outer = F.when(tail <= 5.0, ratio(tail - 1.6, *PPND_NEAR)).otherwise(ratio(tail - 5.0, *PPND_FAR))
+    return F.when(F.abs(q) <= 0.425, q * ratio(0.180625 - q * q, *PPND_CENTRE)).otherwise(F.signum(q) * outer)
+
+
+def normality_sf(df: DataFrame, col: str) -> DataFrame:
+    """Shapiro-Francia test on all rows: n, W' (squared correlation of the order statistics with normal scores), z.
+
+    Ranks come from sorted ranges, so no task sorts the column; ties may take their ranks in any order, since equal
+    values add the same to W' whichever score each has.  Under normality z is about standard normal; the
+    approximation was made for 5 to 5,000 rows and is carried on beyond.  NULL and NaN are left out; below
+    five rows or for a constant column W' or z is NULL.
+    """
+    values = df.select(nan_to_null(F.col(col).cast("double")).alias("x")).where(F.col("x").isNotNull()).withColumn("all", F.lit(0))
+    ranked = sequence_index(values, ["all"], ["x"], pos="place", length="n")
+    score = normal_quantile((F.col("place") + 1 - 0.375) / (F.col("n") + 0.25))
+    w = ranked.select("x", score.alias("m")).agg(F.count("x").alias("n"), F.pow(F.corr("x", "m"), F.lit(2.0)).alias("w"))
+    u = F.ln(F.ln("n"))
+    mean = SF_MEAN[0] + SF_MEAN[1] * (u - F.ln("n"))
+    sd = SF_SD[0] + SF_SD[1] * (u + 2 / F.ln("n"))
+    return w.withColumn("z", F.when((F.col("n") >= 5) & (F.col("w") < 1), (F.ln(1 - F.col("w")) - mean) / sd))
+
+
 # --------------------------------------------------------------------------- ANOVA / t
 def anova_oneway(df: DataFrame, by: Sequence[str], label: str, y: str, with_p: bool = False) -> DataFrame:
     """One-way F of ``y`` across ``label`` values, per ``by`` group (>= 2 labels).

@@ -104,7 +104,8 @@ class FeatureChain:
         thresholds = ft.extreme_thresholds(cl.clean_weather(train), self.exact)
         feats = self.features(train, thresholds).cache()
         modes = im.mode_values(feats, CATEGORICAL)
-        num = [c for c in numeric_columns(feats, exclude=self.exclude | {"pos"})]
+        flags = set(im.flag_columns(feats))  # filled with 0
+        num = [c for c in numeric_columns(feats, exclude=self.exclude | {"pos"}) if c not in flags]
         medians = im.column_stats(feats, num, "median", self.exact)
         feats.unpersist()
         return FeatureChainModel(self, thresholds, modes, medians)

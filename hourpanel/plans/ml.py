@@ -7,8 +7,12 @@ only holds parameter maps, metrics rows and importance vectors.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from uuid import uuid4
+
+import numpy as np
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as ev
 from ..operators import series as se
 from ..operators.quantiles import exact_quantiles
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, store
+from .boosting import path_exists
 from .feature_chain import FeatureChainModel
 
 # ---------------------------------------------------------------------------
@@ -94,6 +99,28 @@ def one_hot(df: DataFrame, index_col: str, out: str | None = None) -> DataFrame:
     return enc.fit(df).transform(df)
 
 
+def sparse_dummies(train: DataFrame, col: str, test: DataFrame | None = None, min_count: int = 100, suffix: str = "_dummies"):
+    """Sparse 0/1 vectors of a label after the rare collapse, with the codes of ``train`` in both frames.
+
+    Labels with more than ``min_count`` train rows get alphabetical codes (numbered in sorted ranges); all others, new
+    and missing ones get the code after the last.  Returns (train, test, codes) with ``<col>_code`` and the
+    vector column; the driver learns the number of codes alone, and a row holds one entry of its vector.
+    """
+    kept = train.groupBy(col).count().filter((F.col("count") > min_count) & F.col(col).isNotNull()).select(col)
+    codes = store(label_codes(kept, col), "codes")
+    n = codes.count()
+    # the encoder is told the number of codes by a frame that has the last one
+    encoder = OneHotEncoder(inputCols=[f"{col}_code"], outputCols=[f"{col}{suffix}"], dropLast=False).fit(
+        train.sparkSession.createDataFrame([(float(n),)], f"`{col}_code` double"))
+
+    def apply(d):
+        t = codes.select(F.col("label").alias("__label"), F.col("code").alias("__code"))
+        coded = d.join(t, F.col(col) == F.col("__label"), "left").withColumn(f"{col}_code", F.coalesce("__code", F.lit(float(n))))
+        return encoder.transform(coded.drop("__label", "__code"))
+
+    return apply(train), (apply(test) if test is not None else None), codes
+
+
 def standardize(train: DataFrame, cols: Sequence[str], test: DataFrame | None = None, suffix: str = "_scaled"):
     """(x - mean) / std with train statistics (one aggregate, population std), as plain columns."""
     row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
@@ -210,7 +237,60 @@ def importance_select(train: DataFrame, features: Sequence[str], label: str,
     return [f for f, v in importances(model, features) if v >= minimum]
 
 
-# --------------------------------------------------------------------------- validation / search
+# --------------------------------------------------------------------------- validation
+def fold_moments(df: DataFrame, cols: Sequence[str], fold: str = "fold") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """(n, means, centred products) of the columns in each fold, from one grouped aggregate."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    whole = [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in cols]
+    aggs = [F.count(F.lit(1)).alias("n"), sum(whole[1:], whole[0]).alias("gaps"), F.array(*[F.avg(c) for c in cols]).alias("means"),
+            F.array(*[F.covar_pop(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")) for i, j in pairs]).alias("products")]
+    out = {}
+    for row in df.groupBy(fold).agg(*aggs).collect():  # a row for each fold
+        if row["gaps"]:
+            raise ValueError("a column has missing values")
+        c = np.zeros((len(cols), len(cols)))
+        for (i, j), v in zip(pairs, row["products"]):
+            c[i, j] = c[j, i] = v * row["n"]
+        out[row[fold]] = (row["n"], np.array(row["means"], float), c)
+    return out
+
+
+def merge_moments(a, b):
+    """Moments of two disjoint sets of rows together."""
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    return n, a[1] + d * b[0] / n, a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def ts_cv_linear(df: DataFrame, features: Sequence[str], label: str, time_col: str, n_splits: int = 3) -> list[dict]:
+    """``ts_cv`` of the linear model: one pass gives each block's moments, windows are their running sums, every fold is
+    solved from them; squared errors follow from the moments too, and one more pass has all folds' absolute errors."""
+    cols = [*features, label]
+    folds = store(time_folds(df.select(time_col, *cols), time_col, n_splits), "folds")
+    blocks = fold_moments(folds, cols)
+    if 0 not in blocks:
+        return []
+    seen, out, fitted = blocks[0], [], {}
+    for k in range(1, n_splits + 1):
+        if k not in blocks:
+            continue
+        means, c = seen[1], seen[2]
+        b = np.linalg.pinv(c[:-1, :-1], rcond=1e-12, hermitian=True) @ c[:-1, -1]
+        a = means[-1] - b @ means[:-1]
+        n, m, held = blocks[k]
+        g = np.append(-b, 1.0)  # error = label - a - b x = g z - a
+        sse = g @ held @ g + n * (g @ m - a) ** 2
+        fitted[k] = (a, b)
+        out.append({"fold": k, "rmse": float(np.sqrt(sse / n)), "r2": float(1 - sse / held[-1, -1]) if held[-1, -1] > 0 else None, "n": n})
+        seen = merge_moments(seen, blocks[k])
+    error = None
+    for k, (a, b) in fitted.items():
+        linear = sum((F.col(f) * F.lit(float(v)) for f, v in zip(features, b)), F.lit(float(a)))
+        error = (F.when if error is None else error.when)(F.col("fold") == k, F.abs(F.col(label) - linear))
+    mae = {r["fold"]: r["mae"] for r in folds.groupBy("fold").agg(F.avg(error).alias("mae")).collect()} if fitted else {}
+    return [{"fold": x["fold"], "mae": mae[x["fold"]], **{k: v for k, v in x.items() if k != "fold"}} for x in out]
+
+
 def ts_cv(df: DataFrame, features: Sequence[str], label: str, time_col: str, kind: str, params: Mapping | None = None,
           n_splits: int = 3) -> list[dict]:
     """Expanding-window CV: fold k validates on block k after training on blocks < k."""
@@ -245,15 +325,37 @@ class Bundle:
     chain: FeatureChainModel | None = None
 
 
-def save_bundle(bundle: Bundle, path: str) -> None:
+def save_bundle(bundle: Bundle, path: str) -> str:
+    """Write a new version below ``path`` and publish it; returns the version's name.
+
+    A version's folder is written whole before its manifest, a folder of one row that counts once it has its
+    ``_SUCCESS`` mark.  A reader takes the newest manifest, so it meets the earlier version or the new one, never half.
+    """
     spark = bundle.metrics.sparkSession
-    bundle.model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame(list(enumerate(bundle.features)), "place int, feature string").write.mode("overwrite").parquet(f"{path}/features")
+    version = f"{time.time_ns():020d}-{uuid4().hex[:8]}"
+    place = f"{path}/versions/{version}"
+    bundle.model.write().save(f"{place}/model")
+    spark.createDataFrame(list(enumerate(bundle.features)), "place int, feature string").write.parquet(f"{place}/features")
     if bundle.importance is not None:
-        bundle.importance.write.mode("overwrite").parquet(f"{path}/importance")
+        bundle.importance.write.parquet(f"{place}/importance")
     if bundle.chain is not None:
-        bundle.chain.save(spark, f"{path}/chain")
-    bundle.metrics.write.mode("overwrite").parquet(f"{path}/metrics")  # the last: a bundle with metrics is whole
+        bundle.chain.save(spark, f"{place}/chain")
+    bundle.metrics.write.parquet(f"{place}/metrics")
+    parts = [p for p, x in (("importance", bundle.importance), ("chain", bundle.chain)) if x is not None]
+    manifest = spark.createDataFrame([(version, ["model", "features", "metrics", *parts], len(bundle.features))],
+                                     "version string, parts array<string>, n_features int")
+    manifest.coalesce(1).write.json(f"{path}/manifests/{version}")
+    return version
+
+
+def published(spark, path: str) -> str | None:
+    """The newest version whose manifest is whole, or None."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path):
+        return None
+    names = sorted((x.getPath().getName() for x in fs.listStatus(fs_path)), reverse=True)
+    return next((n for n in names if path_exists(spark, f"{path}/manifests/{n}/_SUCCESS")), None)
 
 
 def _if_there(read):
@@ -267,8 +369,13 @@ def _if_there(read):
 
 
 def load_bundle(spark, paths: Sequence[str]) -> Bundle:
-    """Load from the first path that exists (fallback list); a bundle that can't be read is an error."""
+    """Load what is published at the first path that has a bundle (fallback list); a bundle that can't be read is an error.
+
+    A path without manifests may hold one bundle itself, as earlier versions wrote them.
+    """
     for p in paths:
+        version = published(spark, p)
+        p = f"{p}/versions/{version}" if version else p
         metrics = _if_there(lambda: spark.read.parquet(f"{p}/metrics"))
         if metrics is None:
             continue

@@ -63,6 +63,18 @@ def agg_two_key_mean(spark, sf):
                  .withColumn("mean_congestion", r("mean_congestion")))
 
 
+@register("agg_two_key_mean_hour", with_clean("""
+select cast(hour as bigint) as hour,
+       case when month in (3,4,5) then '봄' when month in (6,7,8) then '여름'
+            when month in (9,10,11) then '가을' when month in (12,1,2) then '겨울' else '기타' end as season,
+       round(avg(congestion), 6) as mean_congestion
+from clean group by all"""))
+def agg_two_key_mean_hour(spark, sf):
+    """Mean by hour and season."""
+    df = clean(spark, sf).withColumn("season", cal.season("month", "label"))
+    return final(ag.group_mean(df, ["hour", "season"], "congestion", "mean_congestion").withColumn("mean_congestion", r("mean_congestion")))
+
+
 @register("agg_bool_key", with_clean("""
 select cast(hour in (7,8,9,17,18,19) as bigint) as is_rush,
        round(avg(congestion), 6) as mean_congestion, cast(count(*) as bigint) as n

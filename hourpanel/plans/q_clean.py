@@ -96,7 +96,7 @@ with m as (select hour, avg(hm) as m_hm, avg(si) as m_si from clean group by hou
 select {KEY_SQL}, round(coalesce(hm, m_hm), 6) as hm, round(coalesce(si, m_si), 6) as si
 from clean join m using (hour)"""))
 def impute_group_mean(spark, sf):
-    df = im.impute_group_mean(clean(spark, sf), ["hm", "si"], ["hour"])
+    df = im.impute_group_mean(clean(spark, sf), ["hm", "si"], ["hour"], domain=24)
     return final(df.select(*KEY, r("hm").alias("hm"), r("si").alias("si")))
 
 

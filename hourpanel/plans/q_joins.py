@@ -27,7 +27,7 @@ select {KEY_SQL}, round(congestion_hour_day_avg, 6) as congestion_hour_day_avg
 from clean join m using (hour, dayofweek)"""))
 def join_group_avg(spark, sf):
     """Hour x weekday mean merged back onto every row (168-row side, broadcast)."""
-    df = jn.join_group_mean(clean(spark, sf), ["hour", "dayofweek"], "congestion")
+    df = jn.join_group_mean(clean(spark, sf), ["hour", "dayofweek"], "congestion", domain=24 * 7)
     return final(df.select(*KEY, r("congestion_hour_day_avg").alias("congestion_hour_day_avg")))
 
 

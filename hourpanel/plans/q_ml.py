@@ -161,6 +161,22 @@ def ml_one_hot(spark, sf):
     return final(oh.select(*KEY, *[F.col("__a")[i].alias(f"ohe_{i}") for i in range(5)]))
 
 
+@register("ml_one_hot_station", with_p(f"""
+with k as (select station_name from tr group by 1 having count(*) > 100),
+codes as (select station_name, cast(row_number() over (order by station_name) - 1 as bigint) as code from k)
+select {KEY_SQL}, coalesce(code, (select count(*) from k)) as code, cast((select count(*) + 1 from k) as bigint) as width
+from te left join codes using (station_name)"""))
+def ml_one_hot_station(spark, sf):
+    """Station dummies after the rare collapse (over 100 train rows), as sparse vectors: each test row's place and the width."""
+    tr, te = parts(spark, sf)
+    _, te, _ = ml.sparse_dummies(tr.select("station_name"), "station_name", te.select(*KEY, "station_name"))
+
+    # a vector's type is no Arrow type: its one entry and its size are read row by row
+    entry = F.udf(lambda v: (int(v.indices[0]), int(v.size)), "struct<code:long,width:long>")
+    got = te.withColumn("e", entry("station_name_dummies"))
+    return final(got.select(*KEY, F.col("e.code").alias("code"), F.col("e.width").alias("width")))
+
+
 # --------------------------------------------------------------------------- weights
 @register("ml_weights", with_p(f"""
 with q as (select quantile_cont(congestion, 0.8) as q80 from tr),
@@ -175,6 +191,20 @@ def ml_weights(spark, sf):
     return final(w.select(*KEY, r("weight").alias("weight")))
 
 
+@register("ml_weights_by_day", with_p("""
+with q as (select quantile_cont(congestion, 0.8) as q80 from tr),
+w as (select cast(dayofweek >= 5 as int) as we, (hour between 8 and 9) or (hour between 18 and 19) as peak, congestion > q80 as high from tr, q)
+select case when we = 1 then 'weekend' else 'weekday' end as day_type, cast(count(*) as bigint) as n,
+       round(avg(case when peak then 2.0 when we = 1 then 3.0 else 1.0 end * case when high then 1.8 else 1.0 end
+                 * case when we = 1 and high then 2.0 else 1.0 end), 6) as mean_weight from w group by 1"""))
+def ml_weights_by_day(spark, sf):
+    """Rows and mean weight by day type."""
+    tr, _ = parts(spark, sf)
+    w = ml.sample_weights(tr, "congestion", ml.high_threshold(tr, "congestion"))
+    return final(w.groupBy(F.when(F.col("is_weekend") == 1, "weekend").otherwise("weekday").alias("day_type")).agg(
+        F.count(F.lit(1)).alias("n"), r(F.avg("weight")).alias("mean_weight")))
+
+
 # --------------------------------------------------------------------------- models
 def _fit_eval(spark, sf, kind, params=None, weight=False, features=FIT_FEATURES):
     tr, te = fit_parts(spark, sf)
@@ -252,9 +282,9 @@ def ml_search(spark, sf):
 
 @register("ml_ts_cv")
 def ml_ts_cv(spark, sf):
-    """Three expanding-window folds cut on the distinct stamps (linear model)."""
+    """Three expanding-window folds cut on the distinct stamps (linear model), solved from the blocks' moments."""
     tr, _ = fit_parts(spark, sf)
-    res = ml.ts_cv(tr, FIT_FEATURES, "congestion", "tm", "linear")
+    res = ml.ts_cv_linear(tr, FIT_FEATURES, "congestion", "tm")
     return spark.createDataFrame([(x["fold"], float(x["mae"]), float(x["rmse"]), float(x["r2"]), int(x["n"])) for x in res],
                                  "fold int, mae double, rmse double, r2 double, n long")
 
@@ -331,7 +361,7 @@ def ml_lag_model(spark, sf):
     df = se.drop_warmup(df, ["congestion_lag_1", "congestion_lag_2", "congestion_lag_3"])
     train = df.filter(F.col("tm") < SPLIT_TM)  # the means are the train period's, for both parts
     means = train.groupBy("hour", "dayofweek").agg(F.avg("congestion").alias("congestion_hour_day_avg"))
-    df = df.join(means, ["hour", "dayofweek"])
+    df = df.join(jn.bounded(means, 24 * 7), ["hour", "dayofweek"])
     tr, te = df.filter(F.col("tm") < SPLIT_TM), df.filter(F.col("tm") >= SPLIT_TM)
     tr = se.chrono_split(tr, "tm", 0.8).withColumn("held_back", F.col("part") != "train")
     lag_feats = BASE_FEATURES + ["congestion_lag_1", "congestion_lag_2", "congestion_lag_3", "congestion_hour_day_avg"]

@@ -28,6 +28,20 @@ def src_csv(spark, sf):
     return final(pio.read_panel(spark, path))
 
 
+@register("src_csv_cp949", with_panel(f"""
+select {COLS_SQL.replace('direction', "case direction when 'O' then '상선' else '하선' end as direction")} from panel"""))
+def src_csv_cp949(spark, sf):
+    """Panel with Korean direction names written as CSV lines in cp949 and read back from the bytes; no line is bad."""
+    df = wide(spark, sf).withColumn("direction", F.when(F.col("direction") == "O", "상선").otherwise("하선"))
+    lines = df.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COLS]).alias("line"))
+    header = spark.createDataFrame([(",".join(COLS),)], "line string").coalesce(1)
+    path = pio.write_lines(header.unionByName(lines), pio.io_dir(spark, "cp949"), "cp949")
+    rows, bad = pio.read_panel_checked(spark, path, "cp949")
+    if not bad.isEmpty():
+        raise ValueError("lines that were written don't parse")
+    return final(rows)
+
+
 def _write_years(spark, sf, prefix: bool):
     """One file for each year of the panel; returns the folder and the years."""
     base = pio.io_dir(spark, "years")

@@ -13,7 +13,7 @@ from ..functions import calendar as cal
 from ..operators import effects as fx_eff
 from ..operators import select as sel
 from ..operators import stats as st
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import exact_quantiles, grouped_quantiles
 from ..sources import fixtures as fx
 from .common import clean, final, r, sql_case_in, with_clean
 from ..session import materialize
@@ -173,6 +173,32 @@ def stat_corr_grouped(spark, sf):
     return final(out.withColumn("r", r("r")))
 
 
+_SEASON_SQL = ("case when month in (3,4,5) then '봄' when month in (6,7,8) then '여름' when month in (9,10,11) then '가을' "
+               "when month in (12,1,2) then '겨울' else '기타' end")
+
+
+@register("stat_corr_grouped_season", with_a("with s as (select *, " + _SEASON_SQL + " as season from a)" + f"""
+select season, variable, round(r, 6) as r, cast(n as bigint) as n from ({_GROUPED_SQL.replace('time_group', 'season').replace('from a ', 'from s ')}) where n > 10"""))
+def stat_corr_grouped_season(spark, sf):
+    """Correlations per season and variable with more than 10 pairs."""
+    df = analysis(spark, sf).withColumn("season", cal.season("month", "label"))
+    out = st.corr_grouped(df, ["season"], "congestion", CORR_VARS, min_n=10)
+    return final(out.withColumn("r", r("r")))
+
+
+_QUANTILE_VARS = ["congestion", "ta", "hm"]
+
+
+@register("stat_group_quantiles", with_clean(" union all ".join(
+    f"select station_name, '{v}' as variable, cast(count({v}) as bigint) as n, round(quantile_cont({v}, 0.1), 6) as q10, "
+    f"round(quantile_cont({v}, 0.5), 6) as q50, round(quantile_cont({v}, 0.9), 6) as q90 from clean group by station_name having count({v}) > 0"
+    for v in _QUANTILE_VARS)))
+def stat_group_quantiles(spark, sf):
+    """Exact quantiles of three variables for every station."""
+    out = grouped_quantiles(clean(spark, sf), ["station_name"], _QUANTILE_VARS, [0.1, 0.5, 0.9])
+    return final(out.select("station_name", "variable", "n", *[r(F.col("quantiles")[i]).alias(c) for i, c in enumerate(("q10", "q50", "q90"))]))
+
+
 @register("stat_corr_test", with_a(f"""
 select time_group, variable, round(r, 6) as r, cast(n as bigint) as n,
        round(r * sqrt((n - 2) / (1 - r * r)), 6) as t, cast(n - 2 as bigint) as df,
@@ -321,6 +347,36 @@ def stat_normality(spark, sf):
                             r("jb", 4).alias("jb"), r("p_value", 9).alias("p_value")))
 
 
+def _horner_sql(x: str, cs) -> str:
+    out = repr(cs[-1])
+    for c in cs[-2::-1]:
+        out = f"({out} * ({x}) + {c!r})"
+    return out
+
+
+def _normal_quantile_sql(p: str) -> str:
+    def ratio(x, top, bottom):
+        return f"{_horner_sql(x, top)} / {_horner_sql(x, bottom)}"
+    tail = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return (f"case when abs({p} - 0.5) <= 0.425 then ({p} - 0.5) * {ratio(f'0.180625 - ({p} - 0.5) * ({p} - 0.5)', *st.PPND_CENTRE)} "
+            f"else sign({p} - 0.5) * case when {tail} <= 5.0 then {ratio(f'{tail} - 1.6', *st.PPND_NEAR)} else {ratio(f'{tail} - 5.0', *st.PPND_FAR)} end end")
+
+
+@register("stat_normality_sf", with_a(f"""
+with {_FE_CTES},
+e as (select congestion - climate_prediction - time_effect as e from adj),
+k as (select e, (row_number() over (order by e) - 0.375::double) / (count(*) over () + 0.25::double) as p from e),
+s as (select e, {_normal_quantile_sql('p')} as m from k),
+w as (select count(*)::double as n, pow(corr(e, m), 2) as w from s)
+select cast(n as bigint) as n, round(w, 6) as w,
+       round((ln(1 - w) - (-1.2725 + 1.0521 * (ln(ln(n)) - ln(n)))) / (1.0308 - 0.26758 * (ln(ln(n)) + 2 / ln(n))), 4) as z from w"""))
+def stat_normality_sf(spark, sf):
+    """Shapiro-Francia on all residuals of the fitted model."""
+    df, fe = _effects(spark, sf)
+    e = fe.transform(df).select((F.col("congestion") - F.col("climate_prediction") - F.col("time_effect")).alias("e"))
+    return final(st.normality_sf(e, "e").select("n", r("w").alias("w"), r("z", 4).alias("z")))
+
+
 @register("stat_ols", with_a(f"""
 with {_OLS_CTES}
 select 'intercept' as term, round(my - b1 * m1 - b2 * m2 - b3 * m3 - b4 * m4, 6) as value from o_means, o_coef

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,59 @@ def test_year_folders_prune(spark, tmp_path):
     assert one.count() == 60 and pio.open_panel(spark, path).count() == 120
     assert {f.rsplit("/", 2)[1] for f in one.inputFiles()} >= {"year=2022"}
     assert "PartitionFilters: [year" in one._jdf.queryExecution().toString().replace("isnotnull(year#", "year#")
+
+
+def test_linear_folds_from_moments_equal_fits(spark):
+    rnd = random.Random(8)
+    rows = [(i % 90, rnd.gauss(1e6, 1), rnd.random(), float(i % 5)) for i in range(900)]
+    df = spark.createDataFrame([(t, a, b, c, 3 * (a - 1e6) - b + c * 2 + rnd.gauss(0, 1)) for t, a, b, c in rows], "tm long, a double, b double, c double, y double").repartition(5)
+    near = df.withColumn("a", F.col("a") - 1e6)  # Spark ML's own fit loses digits beside an offset
+    got, same = ml.ts_cv_linear(df, ["a", "b", "c"], "y", "tm"), ml.ts_cv(near, ["a", "b", "c"], "y", "tm", "linear")
+    assert [g["fold"] for g in got] == [1, 2, 3]
+    data = np.array([(r.fold, 1, r.a, r.b, r.c, r.y) for r in ml.time_folds(near, "tm").collect()])
+    for g, w in zip(got, same):
+        tr, te = data[data[:, 0] < g["fold"]], data[data[:, 0] == g["fold"]]
+        e = te[:, 5] - te[:, 1:5] @ np.linalg.lstsq(tr[:, 1:5], tr[:, 5], rcond=None)[0]
+        want = [len(e), np.abs(e).mean(), np.sqrt((e * e).mean()), 1 - (e * e).sum() / ((te[:, 5] - te[:, 5].mean()) ** 2).sum()]
+        assert [g[k] for k in ("n", "mae", "rmse", "r2")] == pytest.approx(want, rel=1e-8)
+        assert [w[k] for k in ("n", "mae", "rmse", "r2")] == pytest.approx(want, rel=1e-8)
+    assert ml.ts_cv_linear(df.limit(0), ["a"], "y", "tm") == []
+    with pytest.raises(ValueError, match="missing"):
+        ml.ts_cv_linear(df.withColumn("b", F.when(F.col("tm") > 3, F.col("b"))), ["a", "b"], "y", "tm")
+
+
+def test_sparse_dummies_share_codes(spark):
+    train = spark.createDataFrame([("b",)] * 5 + [("a",)] * 4 + [("rare",)] * 2 + [(None,)] * 6, "st string")
+    test = spark.createDataFrame([("a",), ("b",), ("rare",), ("new",), (None,)], "st string")
+    tr, te, codes = ml.sparse_dummies(train, "st", test, min_count=3)
+    assert {(r.label, r.code) for r in codes.collect()} == {("a", 0.0), ("b", 1.0)} and tr.count() == 17
+    got = {r.st: r.st_dummies for r in te.collect()}
+    assert {k: (v.size, v.indices.tolist(), v.values.tolist()) for k, v in got.items()} == {
+        "a": (3, [0], [1.0]), "b": (3, [1], [1.0]), "rare": (3, [2], [1.0]), "new": (3, [2], [1.0]), None: (3, [2], [1.0])}
+    y = tr.withColumn("y", F.when(F.col("st") == "a", 5.0).otherwise(1.0))
+    model = ml.fit_model(y, ["st_dummies"], "y", "linear")
+    assert {r.st: round(r.prediction, 4) for r in model.transform(te).collect()}["a"] == 5.0
+
+
+def test_half_written_bundles_are_never_seen(spark, tmp_path, monkeypatch):
+    df = panel(spark).fillna(0.0)
+    model = ml.fit_model(df, ["ta"], "congestion", "forest", {"numTrees": 2})
+    path = f"{tmp_path}/b"
+
+    def bundle(k):
+        return ml.Bundle(model, ["ta"], spark.range(k, k + 1))
+    assert ml.published(spark, path) is None
+    first = ml.save_bundle(bundle(1), path)
+
+    class Broken:
+        def save(self, *_):
+            raise OSError("lost")
+    with pytest.raises(OSError):  # between the model and the metrics
+        ml.save_bundle(ml.Bundle(model, ["ta"], spark.range(2, 3), chain=Broken()), path)
+    assert ml.published(spark, path) == first and ml.load_bundle(spark, [path]).metrics.first().id == 1
+    second = ml.save_bundle(bundle(3), path)
+    assert ml.published(spark, path) == second > first and ml.load_bundle(spark, [path]).metrics.first().id == 3
+    (tmp_path / "b/manifests" / second / "_SUCCESS").unlink()  # its manifest was cut off
+    assert ml.load_bundle(spark, [path]).metrics.first().id == 1
+    row = spark.read.json(f"{path}/manifests/{first}").first()
+    assert row.version == first and sorted(row.parts) == ["features", "metrics", "model"]

@@ -43,3 +43,30 @@ def test_broken_bundle_is_an_error(spark, tmp_path):
         load_bundle(spark, [f"{tmp_path}/none", f"{tmp_path}/one", f"{tmp_path}/two"])
     with pytest.raises(FileNotFoundError):
         load_bundle(spark, [f"{tmp_path}/none"])
+
+
+def test_cp949_lines_and_bad_rows(spark, tmp_path):
+    from hourpanel.sources.panel_io import read_panel_checked
+
+    names = [f.name for f in PANEL_SCHEMA.fields]
+
+    def line(tm, station, n=len(names), end="\r\n"):
+        return (",".join([str(tm), station, *["1.5"] * (n - 2)]) + end).encode("cp949")
+    header = (",".join(names) + "\r\n").encode("cp949")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.csv").write_bytes(header + line(2021010101, "서울역") + line(2021010102, '"강남, 2호선"') + b"2021010103,\xff\xff\xff,1\n"
+                                       + line(2021010104, "시청", len(names) - 1) + b"\n" + line("x1", "시청") + line(2021010105, "시청"))
+    (tmp_path / "p/b.csv").write_bytes(header + line(2022010101, "부산") * 500 + line(2022010102, "부산", 3, ""))
+    for size in ("128m", "1k"):  # whole files, and many splits of each
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows, bad = read_panel_checked(spark, f"{tmp_path}/p")
+            got = [(r.tm, r.station_name, r.congestion) for r in rows.collect()]
+            told = sorted((r.file, r.line, r.reason) for r in bad.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(got)[:3] == [(2021010101, "서울역", 1.5), (2021010102, "강남, 2호선", 1.5), (2021010105, "시청", 1.5)] and len(got) == 503
+        assert told == [("a.csv", 4, "charset"), ("a.csv", 5, "fields"), ("a.csv", 7, "key"), ("b.csv", 502, "fields")]
+    with pytest.raises(ValueError, match="no column"):
+        (tmp_path / "c.csv").write_bytes(b"tm,x\n1,2\n")
+        read_panel_checked(spark, f"{tmp_path}/c.csv")

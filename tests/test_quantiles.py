@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from hourpanel.functions import bins as bn
 from hourpanel.functions import clean as cl
@@ -35,3 +36,28 @@ def test_operators_use_exact_quantiles(spark):
     d = ag.describe(df, ["x"]).first()
     assert (d.q25, d.q50, d.q75, d["count"]) == (26.0, 51.0, 76.0, 101)
     assert {r.kind: r.x for r in pdat.box_stats(df, "x").collect()} == {"box_q1": 26.0, "box_median": 51.0, "box_q3": 76.0}
+
+
+def test_grouped_quantiles_equal_plain_ones(spark):
+    """A thousand groups and one that holds a third of the rows, with nulls, NaNs, ties and a null group."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from hourpanel.operators.quantiles import grouped_quantiles
+
+    r = np.random.default_rng(1)
+    rows = [(None if g == 7 else int(g), None if x is None else float(x), float(k)) for g, x, k in zip(
+        [*r.integers(0, 1000, 6000), *[5000] * 3000], [*r.normal(size=8900), *[None] * 50, *[float("nan")] * 50], r.integers(0, 4, 9000))]
+    df = spark.createDataFrame(rows, "g long, x double, k double").repartition(7)
+    got = {(q.g, q.variable): (q.n, q.quantiles) for q in grouped_quantiles(df, ["g"], ["x", "k"], [0.0, 0.1, 0.5, 1.0]).collect()}
+    want = {}
+    for g, x, k in rows:
+        want.setdefault((g, "k"), []).append(k)
+        if x is not None and x == x:
+            want.setdefault((g, "x"), []).append(x)
+    assert set(got) == set(want)
+    for key, values in want.items():
+        assert got[key][0] == len(values) and got[key][1] == pytest.approx(list(np.quantile(values, [0.0, 0.1, 0.5, 1.0])))
+    one = grouped_quantiles(df, [], ["k"], [0.5]).collect()
+    assert [(q.variable, q.n) for q in one] == [("k", 9000)]
+    assert grouped_quantiles(df.where(F.lit(False)), ["g"], ["x"], [0.5]).count() == 0

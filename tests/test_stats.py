@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hourpanel.operators import effects as eff
@@ -66,3 +67,24 @@ def test_normality_jb_on_normal_sample(spark):
     df = spark.createDataFrame([(float(v),) for v in rng.normal(size=5000)], "e double")
     r = st.normality_jb(df, "e").first()
     assert r.n == 5000 and r.p_value > 0.001
+
+
+def test_normal_quantile_and_shapiro_francia(spark):
+    from statistics import NormalDist
+
+    ps = [1e-300, 1e-12, 1e-4, 0.02, 0.07, 0.075, 0.3, 0.5, 0.7, 0.93, 0.999, 1 - 1e-9]
+    got = [r.q for r in spark.createDataFrame([(p,) for p in ps], "p double").select(st.normal_quantile("p").alias("q")).collect()]
+    assert got[1:] == pytest.approx([NormalDist().inv_cdf(p) for p in ps[1:]], rel=1e-9, abs=1e-12) and got[0] == pytest.approx(-37.0471, abs=1e-3)
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(3, 2, 400), rng.exponential(size=300), np.round(rng.normal(size=500), 1)):
+        n = len(x)
+        m = [NormalDist().inv_cdf((i + 1 - 0.375) / (n + 0.25)) for i in range(n)]
+        w = np.corrcoef(np.sort(x), m)[0, 1] ** 2
+        u = np.log(np.log(n))
+        z = (np.log(1 - w) - (-1.2725 + 1.0521 * (u - np.log(n)))) / (1.0308 - 0.26758 * (u + 2 / np.log(n)))
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").repartition(5)
+        row = st.normality_sf(df, "x").first()
+        assert (row.n, row.w, row.z) == pytest.approx((n, w, z), rel=1e-9)
+    few = st.normality_sf(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x").first()
+    assert few.n == 2 and few.z is None
+    assert st.normality_sf(spark.createDataFrame([], "x double"), "x").first().n == 0
