@@ -26,9 +26,9 @@ MIN_LANGUAGE_SHARE = 0.25
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language."""
     model = language_id.train(docs)
-    copy, = fresh(docs, "judged")
-    judged = language_id.identify(docs.withColumn(copy, F.col("text")), model, copy)
-    return judged.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
+    copy, *told = fresh(docs, "judged", "lang_pred", "score", "spans")
+    judged = language_id.identify(docs.withColumn(copy, docs["text"]), model, copy, names=tuple(told))
+    return judged.where((F.col(told[0]) != language_id.UND) & (F.col(told[1]) >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

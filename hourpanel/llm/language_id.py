@@ -18,7 +18,8 @@ without labelled rows every text is ``und``; rows without a label aren't
 learned from; a word in a script that the sample lacks may be any language;
 of equal languages the first in alphabetical order is taken; a null doc_id
 hashes like the empty text; rows that repeat are each returned; an empty table
-gives an empty result; only the named columns are read.
+gives an empty result; training reads only the named columns, and ``identify``
+passes the others through (``names`` says which it replaces).
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ship, store
 
@@ -258,21 +260,27 @@ def _judge(model: Model, texts: list[str], penalty: float):
     return out
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """``docs`` without ``text_col``, with lang_pred, score and spans: array of (start, end, lang) in code points."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY,
+             names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """``docs`` without ``text_col``, with the language, its score, and spans: array of (start, end, lang) in code points.
+
+    ``names`` are the new columns' names; columns of ``docs`` that have one of them (in either case) are replaced, as
+    ``withColumn`` does.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** HASH_BITS cells for each language
-    keep = [c for c in docs.columns if c != text_col]
+    gone = {text_col.lower(), *[n.lower() for n in names]}
+    keep = [c for c in docs.columns if c.lower() not in gone]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(names[0], T.StringType()),
+                           T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b[text_col].to_pylist()]
+            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
             got = [g for part in _chunks(texts, LABEL_CHARS) for g in _judge(shared.value, part, penalty)]
             spans = pa.array([[{"start": s, "end": e, "lang": x} for s, e, x in g[2]] for g in got],
                              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
             yield pa.RecordBatch.from_arrays(
-                [b[c] for c in keep] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans],
-                [*keep, "lang_pred", "score", "spans"])
+                [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], schema.names)
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-                       + ["lang_pred string", "score double", "spans array<struct<start:long,end:long,lang:string>>"])
-    return ship(docs).mapInArrow(run, schema)
+    return ship(docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(text_col))).mapInArrow(run, schema)

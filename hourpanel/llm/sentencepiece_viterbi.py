@@ -206,8 +206,8 @@ def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """``docs`` with ``text_col`` replaced by ``out_col``, an array of ids."""
-    keep = [c for c in docs.columns if c not in (text_col, out_col)]
+    """``docs`` with ``text_col`` replaced by ``out_col``, an array of ids (as is a column of that name, in either case)."""
+    keep = [c for c in docs.columns if c.lower() not in (text_col.lower(), out_col.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
@@ -225,8 +225,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
-    """``coded`` with ``ids_col`` replaced by ``out_col``, the text."""
-    keep = [c for c in coded.columns if c not in (ids_col, out_col)]
+    """``coded`` with ``ids_col`` replaced by ``out_col``, the text (as is a column of that name, in either case)."""
+    keep = [c for c in coded.columns if c.lower() not in (ids_col.lower(), out_col.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(model_path).pieces
