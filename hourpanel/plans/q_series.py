@@ -172,18 +172,48 @@ def win_decompose(spark, sf):
                             r("residual").alias("residual")))
 
 
-@register("impute_chain")
-def impute_chain(spark, sf):
-    """Whole feature chain fitted on the train period, applied to the test period;
-    returns the per-column missing counts of the result (all zero)."""
-    from ..sources import panel_io as pio
+def _chained(spark, sf):
+    """The whole feature chain fitted on the train period, applied to the test period."""
     from .feature_chain import FeatureChain
     df = cal_panel(spark, sf)
     tr, te = df.filter(F.col("tm") < 2000000000), df.filter(F.col("tm") >= 2000000000)
     chain = FeatureChain(series_keys=["station_name"], order=KEY,
                          exclude=["tm", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"], target="congestion")
-    model = chain.fit(tr)
-    return pio.profile(model.transform(te))
+    return chain.fit(tr).transform(te)
+
+
+@register("impute_chain")
+def impute_chain(spark, sf):
+    """Whole feature chain fitted on the train period, applied to the test period;
+    returns the per-column missing counts of the result (all zero)."""
+    from ..sources import panel_io as pio
+    return pio.profile(_chained(spark, sf))
+
+
+_CHAIN_WEATHER = ("ta", "ws", "rn_hr1", "hm")
+_CHAIN_W = f"(partition by station_name order by {', '.join(KEY)}"
+_CHAIN_OUT = ["ta", "ws", "rn_hr1", "hm", "si", "ta_lag_24", "hm_lag_24", "ta_ma_3", "rn_hr1_ma_12", "congestion_lag_1", "congestion_lag_24", "congestion_ma_6"]
+
+
+@register("impute_chain_rows", with_clean(f"""
+with med as (select {', '.join(f'median({c}) as m_{c}' for c in (*_CHAIN_WEATHER, 'si'))} from clean where tm < 2000000000),
+te as (select * from clean where tm >= 2000000000),
+s as (
+  select te.*, {', '.join(f"""coalesce(last_value({c} ignore nulls) over {_CHAIN_W} rows between unbounded preceding and current row),
+    first_value({c} ignore nulls) over {_CHAIN_W} rows between current row and unbounded following), m_{c}) as f_{c}""" for c in _CHAIN_WEATHER)},
+    m_si, lag(ta, 24) over {_CHAIN_W}) as l_ta, lag(hm, 24) over {_CHAIN_W}) as l_hm,
+    avg(ta) over {_CHAIN_W} rows between 2 preceding and current row) as a_ta, avg(rn_hr1) over {_CHAIN_W} rows between 11 preceding and current row) as a_rn,
+    lag(congestion, 1) over {_CHAIN_W}) as c1, lag(congestion, 24) over {_CHAIN_W}) as c24,
+    avg(congestion) over {_CHAIN_W} rows between 5 preceding and current row) as a_c
+  from te, med)
+select {', '.join(KEY)}, round(f_ta, 6) as ta, round(f_ws, 6) as ws, round(f_rn_hr1, 6) as rn_hr1, round(f_hm, 6) as hm, round(coalesce(si, m_si), 6) as si,
+       round(coalesce(l_ta, f_ta, 0), 6) as ta_lag_24, round(coalesce(l_hm, f_hm, 0), 6) as hm_lag_24, round(coalesce(a_ta, f_ta, 0), 6) as ta_ma_3,
+       round(coalesce(a_rn, f_rn_hr1, 0), 6) as rn_hr1_ma_12, round(coalesce(c1, avg(c1) over (partition by station_name), 50), 6) as congestion_lag_1,
+       round(coalesce(c24, avg(c24) over (partition by station_name), 50), 6) as congestion_lag_24, round(coalesce(a_c, avg(a_c) over (partition by station_name), 50), 6) as congestion_ma_6
+from s"""))
+def impute_chain_rows(spark, sf):
+    """The filled rows of the chain: weather, lags and rolling means of each test row."""
+    return final(_chained(spark, sf).select(*KEY, *[r(c).alias(c) for c in _CHAIN_OUT]))
 
 
 def cal_panel(spark, sf):
