@@ -26,8 +26,8 @@ MIN_LANGUAGE_SHARE = 0.25
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language."""
     model = language_id.train(docs)
-    copy, *told = fresh(docs, "judged", "lang_pred", "score", "spans")
-    judged = language_id.identify(docs.withColumn(copy, docs["text"]), model, copy, names=tuple(told))
+    told = fresh(docs, "lang_pred", "score", "spans")
+    judged = language_id.identify(docs, model, names=tuple(told), keep_text=True)
     return judged.where((F.col(told[0]) != language_id.UND) & (F.col(told[1]) >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
 
 

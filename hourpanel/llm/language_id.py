@@ -261,26 +261,27 @@ def _judge(model: Model, texts: list[str], penalty: float):
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = SWITCH_PENALTY,
-             names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
-    """``docs`` without ``text_col``, with the language, its score, and spans: array of (start, end, lang) in code points.
+             names: tuple[str, str, str] = ("lang_pred", "score", "spans"), keep_text: bool = False, rows: int = 1024) -> DataFrame:
+    """``docs`` without ``text_col`` (unless ``keep_text``), with the language, its score, and spans: array of (start, end, lang) in code points.
 
-    ``names`` are the new columns' names; columns of ``docs`` that have one of them (in either case) are replaced, as
+    ``rows`` texts are judged at a time.  ``names`` are the new columns' names; columns of ``docs`` that have one of them (in either case) are replaced, as
     ``withColumn`` does.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** HASH_BITS cells for each language
-    gone = {text_col.lower(), *[n.lower() for n in names]}
-    keep = [c for c in docs.columns if c.lower() not in gone]
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names} and (keep_text or c.lower() != text_col.lower())]
+    slim = docs.select(*[docs[c] for c in keep]) if keep_text else docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(text_col))
+    at = [c.lower() for c in slim.columns].index(text_col.lower())
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(names[0], T.StringType()),
                            T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.ArrayType(span))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+        for b in (x.slice(a, rows) for x in batches for a in range(0, len(x), rows)):
+            texts = [t or "" for t in b.column(at).to_pylist()]
             got = [g for part in _chunks(texts, LABEL_CHARS) for g in _judge(shared.value, part, penalty)]
             spans = pa.array([[{"start": s, "end": e, "lang": x} for s, e, x in g[2]] for g in got],
                              pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], schema.names)
+                [*b.columns[:len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans], schema.names)
 
-    return ship(docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(text_col))).mapInArrow(run, schema)
+    return ship(slim).mapInArrow(run, schema)
