@@ -7,9 +7,13 @@ combination of 8 - d positions with their bytes (70 lists for d = 4):
 fingerprints meet in a list exactly if they share that many positional bytes.
 The count is so met by construction: the tally of shared positional bytes
 filters no pair of a list, and the bit distance is verified.  A pair may meet in
-several lists; equal edges are made one.  Each list is searched by one task.
+several lists; equal edges are made one.  A list of up to ``LIST_BLOCK``
+fingerprints is searched where it is read.  A longer one is cut into blocks of
+that size, and each pair of its blocks is searched as a group of its own, so
+that the memory and time of a task stay bounded; the work of a list is still
+quadratic in its distinct fingerprints.
 
-A list is searched from one fingerprint at a time and only among those that
+A list or block is searched from one fingerprint at a time and only among those that
 the search hasn't reached yet, which leaves a spanning forest of its links:
 at most one edge for each fingerprint, however many pairs link.  Copies of one
 fingerprint are one entry.  Components come from the forests.
@@ -37,6 +41,7 @@ from .components import components
 SHINGLE = 4
 MAX_BITS = 4
 CHUNK = 1 << 15  # shingles hashed at a time
+LIST_BLOCK = 1 << 14  # fingerprints of a list that one task searches; longer lists are cut
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -84,29 +89,69 @@ def _shared(a: np.ndarray, b: np.uint64) -> np.ndarray:
     return (((a ^ b).view(np.uint8).reshape(-1, 8)) == 0).sum(1)
 
 
+def _near(rest: np.ndarray, x: np.uint64, max_bits: int) -> np.ndarray:
+    near = _shared(rest, x) >= 8 - max_bits
+    near[near] = np.bitwise_count(rest[near] ^ x) <= max_bits
+    return near
+
+
 def _forest(fps: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links among the fingerprints of one list."""
+    """Edges of a spanning forest of the links among the fingerprints of one list or block."""
     rest = fps
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = _shared(rest, x) >= 8 - max_bits
-            near[near] = np.bitwise_count(rest[near] ^ x) <= max_bits
+            near = _near(rest, x, max_bits)
             for y in rest[near]:
                 yield x, y
             queue.extend(rest[near])
             rest = rest[~near]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Edges (u, v) whose components are those of all links between the distinct fingerprints ``fps``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None  # the list that the last batch ended in, and its key
+def _cross_forest(a: np.ndarray, b: np.ndarray, max_bits: int) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the links that lead from one block to another."""
+    rest = [a, b]
+    while len(rest[0]) and len(rest[1]):
+        queue, rest[0] = [(0, rest[0][0])], rest[0][1:]
+        while queue:
+            side, x = queue.pop()
+            other = rest[1 - side]
+            near = _near(other, x, max_bits)
+            for y in other[near]:
+                yield x, y
+            queue.extend((1 - side, y) for y in other[near])
+            rest[1 - side] = other[~near]
 
-        def edges(groups):
-            out = np.array([e for g in groups for e in _forest(g, max_bits)], np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+
+def _search_lists(entries: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """Of entries sorted by list: (u, v) edges of short lists; (u, mask, bytes, block) for each entry of a longer one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.uint64)
+        key, held, sent = None, none, 0  # the list being read, its fingerprints in hand, its blocks handed on
+        edges, cut = [], []
+
+        def close():
+            if sent:
+                cut.append((key, sent, held))
+            elif len(held) > 1:
+                edges.extend(_forest(held, max_bits))
+
+        def flush():
+            pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+            sizes = [len(f) for _, _, f in cut]
+            fill = pa.nulls(len(pairs), pa.int64())
+
+            def per_block(values):
+                return pa.concat_arrays([fill, pa.array(np.repeat(np.array(values, np.int64), sizes))])
+
+            u = np.concatenate([pairs[:, 0], *[f.view(np.int64) for _, _, f in cut]])
+            v = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(sum(sizes), pa.int64())])
+            out = [pa.array(u), v, per_block([k[0] for k, _, _ in cut]), per_block([k[1] for k, _, _ in cut]),
+                   per_block([n for _, n, _ in cut])]
+            edges.clear()
+            cut.clear()
+            return pa.RecordBatch.from_arrays(out, ["u", "v", "mask", "bytes", "block"])
 
         for b in batches:
             if not len(b):
@@ -115,20 +160,45 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             fp = fp.view(np.uint64)
             cuts = np.flatnonzero((mask[1:] != mask[:-1]) | (own[1:] != own[:-1])) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(fp)]])
-            parts = {i: fp[starts[i]:ends[i]] for i in {0, len(starts) - 1} | set(np.flatnonzero(ends - starts > 1))}
-            if last == (mask[0], own[0]):
-                parts[0] = np.concatenate([*held, parts[0]])
-            elif held:
-                parts[-1] = np.concatenate(held)
-            held, last = [parts.pop(len(starts) - 1)], (mask[-1], own[-1])
-            groups = [g for g in parts.values() if len(g) > 1]
-            if groups:
-                yield edges(groups)
-        if held and len(held[0]) > 1:
-            yield edges(held)
-
+            for i in sorted({0, len(starts) - 1} | set(np.flatnonzero(ends - starts > 1))):
+                own_key = (int(mask[starts[i]]), int(own[starts[i]]))
+                if own_key != key:
+                    close()
+                    key, held, sent = own_key, none, 0
+                held = np.concatenate([held, fp[starts[i]:ends[i]]])
+                while len(held) > block:
+                    cut.append((key, sent, held[:block]))
+                    held, sent = held[block:], sent + 1
+            if edges or cut:
+                yield flush()
+        close()
+        if edges or cut:
+            yield flush()
+
+    return ship(entries).mapInArrow(run, "u long, v long, mask long, bytes long, block long")
+
+
+def _search_blocks(cut: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (u, v) of long lists: each pair of a list's blocks is a group of its own, of at most two blocks."""
+    def run(pair: pa.Table) -> pa.Table:
+        i, j = pair["i"][0].as_py(), pair["j"][0].as_py()
+        block, fp = pair["block"].to_numpy(), pair["u"].to_numpy().view(np.uint64)
+        found = _forest(fp, max_bits) if i == j else _cross_forest(fp[block == i], fp[block == j], max_bits)
+        out = np.array(list(found), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.table({"u": out[:, 0], "v": out[:, 1]})
+
+    lists = cut.groupBy("mask", "bytes").agg(F.max("block").alias("last"))
+    met = cut.join(lists, ["mask", "bytes"]).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    pairs = met.select("mask", "bytes", F.least("block", "t").alias("i"), F.greatest("block", "t").alias("j"), "block", "u")
+    return ship(pairs).groupBy("mask", "bytes", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = LIST_BLOCK) -> DataFrame:
+    """Edges (u, v) whose components are those of all links between the distinct fingerprints ``fps``."""
     entries = index_entries(fps, max_bits).repartition("mask", "bytes").sortWithinPartitions("mask", "bytes")
-    return ship(entries).mapInArrow(run, "u long, v long").distinct()
+    found = store(_search_lists(entries, max_bits, block), "simhash-lists")
+    cut = found.where("v is null").select("mask", "bytes", "block", "u")
+    return found.where("v is not null").select("u", "v").unionByName(_search_blocks(cut, max_bits)).distinct()
 
 
 def _classes(docs, id_col, text_col, shingle, max_bits):

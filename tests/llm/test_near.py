@@ -81,9 +81,9 @@ def test_links_of_planted_fingerprints(spark):
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(5)
     u = np.array(fps).view(np.uint64)
-    for bits in (0, 3, 4):
-        edges = rows_of(simhash_dedup.links(df, bits))
-        assert len(edges) <= 70 * len(fps)
+    for bits, block in ((0, simhash_dedup.LIST_BLOCK), (3, simhash_dedup.LIST_BLOCK), (4, simhash_dedup.LIST_BLOCK), (4, 40)):
+        edges = rows_of(simhash_dedup.links(df, bits, block))
+        assert block == 40 or len(edges) <= 70 * len(fps)
         got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()} if edges else {}
         rows = [(x,) for x in fps]
         group = brute_pairs(u, bits)
@@ -94,6 +94,24 @@ def test_links_of_planted_fingerprints(spark):
             assert {got.get(m, m) for m in members} == {min(members)}, (bits, rows[:1])
 
 
+def test_a_list_longer_than_a_block_is_cut(spark):
+    """Fingerprints that share their upper half meet in one list; cut into blocks, its links have the same components."""
+    rng = np.random.default_rng(11)
+    fps = np.unique(rng.integers(1 << 16, size=3000) << 16 | rng.integers(1 << 16, size=3000) | 0x1234567800000000)
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").repartition(3)
+    cut = simhash_dedup._search_lists(simhash_dedup.index_entries(df, 4).repartition(2, "mask", "bytes").sortWithinPartitions("mask", "bytes"), 4, 500)
+    whole = Counter((r["mask"], r["bytes"]) for r in cut.where("v is null").collect())
+    assert whole[(-1 << 32, 0x1234567800000000)] == len(fps)
+    assert cut.where("v is null").groupBy("mask", "bytes", "block").count().agg({"count": "max"}).first()[0] == 500
+    got = {r.node: r.root for r in components.components(simhash_dedup.links(df, 4, 500)).collect()}
+    want = {}
+    for i, g in enumerate(brute_pairs(fps.view(np.uint64), 4)):
+        want.setdefault(g, []).append(int(fps[i]))
+    assert len(want) > 1
+    for members in want.values():
+        assert {got.get(m, m) for m in members} == {min(members)}
+
+
 def brute_pairs(u, bits):
     group = np.arange(len(u))
     for i in range(len(u)):
