@@ -197,8 +197,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = LIST_BLOCK) ->
     """Edges (u, v) whose components are those of all links between the distinct fingerprints ``fps``."""
     entries = index_entries(fps, max_bits).repartition("mask", "bytes").sortWithinPartitions("mask", "bytes")
     found = store(_search_lists(entries, max_bits, block), "simhash-lists")
+    edges = found.where("v is not null").select("u", "v")
     cut = found.where("v is null").select("mask", "bytes", "block", "u")
-    return found.where("v is not null").select("u", "v").unionByName(_search_blocks(cut, max_bits)).distinct()
+    if not cut.isEmpty():  # else no list is longer than a block
+        edges = edges.unionByName(_search_blocks(cut, max_bits))
+    return edges.distinct()
 
 
 def _classes(docs, id_col, text_col, shingle, max_bits):
