@@ -3,8 +3,10 @@
 Each text gets word, symbol, repeated-line and repeated-window counts and the
 base verdict.  Rule failures are then summed by host (a column of the table),
 each host's failure rate is shrunk towards the mean over hosts with a beta
-prior fitted to the hosts' rates by moments, and a host whose shrunk rate
-exceeds ``max_rate`` for any rule loses all its documents.
+prior fitted to the hosts' rates by moments (less the variance that drawing a
+host's few documents adds).  A rule's limit is the prior's mean and three
+standard deviations, within ``MIN_HOST_RATE`` and ``max_rate``; a host whose
+shrunk rate exceeds the limit of any rule loses all its documents.
 
 Defined cases: a null text has no words and fails the base rules; a null host
 is a host of its own, apart from the empty one; ids may be null or repeat (a row
@@ -24,7 +26,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
-MAX_HOST_RATE = 0.5
+MIN_HOST_RATE = 0.2  # no host is dropped below it, however clean the others
+MAX_HOST_RATE = 0.5  # every host is dropped above it
+DEVIATIONS = 3.0
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 RULES = ("short", "repeat", "symbol", "line")
@@ -89,12 +93,11 @@ def _failures() -> dict[str, Column]:
 
 
 def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, n_docs, worst_rate, host_ok): the largest shrunk failure rate of the host over the rules.
+    """(host, n_docs, worst_rate, host_ok): the largest shrunk failure rate of the host over the rules, and its verdict.
 
     The prior of a rule is the beta distribution with the hosts' weighted mean
     and variance, its weight kept between 1 and 1,000,000 documents.
     """
-    spark = counts.sparkSession
     fails = [F.sum(cond.cast("long")).alias(f"f_{r}") for r, cond in _failures().items()]
     hosts = store(counts.groupBy("host").agg(F.count("*").alias("n_docs"), *fails), "host-failures")
     n = F.col("n_docs").cast("double")
@@ -102,16 +105,18 @@ def host_verdicts(counts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     for r in RULES:
         rate = F.col(f"f_{r}") / n
         moments += [F.sum(F.col(f"f_{r}")).alias(f"s_{r}"), F.sum(n * rate * rate).alias(f"q_{r}")]
-    row = hosts.agg(F.sum(n).alias("n"), *moments).first()  # one row, whatever the number of hosts
-    shrunk = []
+    row = hosts.agg(F.sum(n).alias("n"), F.count("*").alias("hosts"), *moments).first()  # one row, whatever the number of hosts
+    shrunk, fine = [], F.lit(True)
     for r in RULES:
         total = row["n"] or 1.0
         mean = (row[f"s_{r}"] or 0) / total
-        var = max((row[f"q_{r}"] or 0.0) / total - mean * mean, 0.0)
-        weight = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var > 0 else 1e6
+        spread = mean * (1 - mean)
+        var = (row[f"q_{r}"] or 0.0) / total - mean * mean - row["hosts"] * spread / total
+        weight = min(max(spread / var - 1, 1.0), 1e6) if var > 0 else 1e6
+        limit = min(max(mean + DEVIATIONS * (spread / (weight + 1)) ** 0.5, MIN_HOST_RATE), max_rate)
         shrunk.append((F.col(f"f_{r}") + F.lit(mean * weight)) / (n + F.lit(weight)))
-    return store(hosts.select("host", "n_docs", F.greatest(*shrunk).alias("worst_rate"))
-                 .withColumn("host_ok", F.col("worst_rate") <= max_rate), "host-verdicts")
+        fine &= shrunk[-1] <= limit
+    return store(hosts.select("host", "n_docs", F.greatest(*shrunk).alias("worst_rate"), fine.alias("host_ok")), "host-verdicts")
 
 
 def judge_by_host(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",

@@ -177,9 +177,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality_sql() -> str:
     q = quality_hosts
-    rates = ", ".join(f"sum(f_{r}) / sum(n) as m_{r}, greatest(sum(f_{r} * f_{r} / n) / sum(n) - (sum(f_{r}) / sum(n)) ** 2, 0) as v_{r}" for r in q.RULES)
+    rates = ", ".join(f"sum(f_{r}) / sum(n) as m_{r}, sum(f_{r} * f_{r} / n) / sum(n) - (sum(f_{r}) / sum(n)) ** 2 "
+                      f"- count(*) * (sum(f_{r}) / sum(n)) * (1 - sum(f_{r}) / sum(n)) / sum(n) as v_{r}" for r in q.RULES)
     weights = ", ".join(f"m_{r}, case when v_{r} > 0 then least(greatest(m_{r} * (1 - m_{r}) / v_{r} - 1, 1.0), 1e6) else 1e6 end as w_{r}" for r in q.RULES)
-    worst = ", ".join(f"(f_{r} + m_{r} * w_{r}) / (n + w_{r})" for r in q.RULES)
+    fine = " and ".join(f"(f_{r} + m_{r} * w_{r}) / (n + w_{r}) <= least(greatest(m_{r} + {q.DEVIATIONS} * sqrt(m_{r} * (1 - m_{r}) / (w_{r} + 1)), "
+                        f"{q.MIN_HOST_RATE}), {q.MAX_HOST_RATE})" for r in q.RULES)
     return fr"""
 with d as (
   select row_number() over () as rid, doc_id, source, coalesce(text, '') as text,
@@ -203,9 +205,9 @@ f as (
          (100 * n_dup_lines > {q.MAX_DUP_LINE_PERCENT} * n_lines)::int as x_line from c),
 h as (select source, count(*)::double as n, {", ".join(f"sum(x_{r})::double as f_{r}" for r in q.RULES)} from f group by source),
 m as (select {rates} from h), p as (select {weights} from m),
-v as (select source, greatest({worst}) as worst_rate from h cross join p)
+v as (select source, {fine} as host_ok from h cross join p)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (x_short + x_repeat > 0) as base_failed,
-       (x_short + x_repeat = 0 and worst_rate <= {q.MAX_HOST_RATE}) as kept
+       (x_short + x_repeat = 0 and host_ok) as kept
 from f left join v on f.source is not distinct from v.source
 """
 

@@ -127,6 +127,27 @@ def test_quality_counts_and_hosts(spark, edge, small):
     assert quality_hosts.judge_by_host(edge.limit(0)).count() == 0
 
 
+def test_host_limit_follows_the_prior(spark):
+    """Of clean hosts, one at 16 of 40 failures stands out and goes; one failure of two in a small host doesn't suffice."""
+    rows = []
+    for h, (n, failed) in {**{f"clean{i}": (40, i % 3) for i in range(30)}, "odd": (40, 16), "small": (2, 1), None: (40, 1)}.items():
+        rows += [(len(rows) + i, "too short" if i < failed else " ".join(f"w{j}" for j in range(30)), h) for i in range(n)]
+    out = quality_hosts.judge_by_host(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    n, fails = Counter(r[2] for r in rows), Counter(r[2] for r in rows if r[1] == "too short")
+    total = len(rows)
+    mean = sum(fails.values()) / total
+    spread = mean * (1 - mean)
+    var = sum(n[h] * (fails[h] / n[h] - mean) ** 2 for h in n) / total - len(n) * spread / total
+    weight = spread / var - 1
+    limit = mean + 3 * (spread / (weight + 1)) ** 0.5
+    assert weight > 1 and 0.2 < limit < 0.5
+    for r in out:
+        rate = (fails[r.host] + mean * weight) / (n[r.host] + weight)
+        assert abs(r.worst_rate - rate) < 1e-9
+        assert r.kept == (not r.base_failed and rate <= limit)
+    assert {r.host for r in out if not r.base_failed and not r.kept} == {"odd"}
+
+
 PII = ["Mail Ann.Lee@Mail.example.com or ann.lee@mail.example.com, call +1 (988) 555-2485 / +19885552485.",
        "card 4041 8949 7460 8795 and 4041894974608795, host 42.144.35.254; again 42.144.35.254", "Mrs. Anna Berg met Mr. Karl Berg and г-жа Иванова Анна.",
        "ssn 123-45-6789 acct DE89370400440532013000", "version 1.2.3, 12 of 100, 2024-01-02 12:30, 42nd"]
