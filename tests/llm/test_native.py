@@ -41,6 +41,27 @@ def test_exact_dedup(edge, small, cells):
     assert exact_dedup.duplicate_classes(edge.limit(0)).count() == exact_dedup.drop_exact_duplicates(edge.limit(0)).count() == 0
 
 
+def test_exact_dedup_in_slices(edge, small):
+    for df, slice_rows in ((edge, 3), (small, -(-small.count() // 4))):
+        kwargs = {"max_cells": 1 << 10, "slice_rows": slice_rows}
+        got = rows_of(exact_dedup.duplicate_classes(df, **kwargs).select("doc_id", "keep_id", "group_size", "text_sha256", "kept"))
+        assert Counter(r[:4] for r in got) == brute_dedup(rows_of(df.select("doc_id", "text")))
+        left = exact_dedup.drop_exact_duplicates(df, **kwargs)
+        assert left.columns == df.columns
+        rows = left.collect()
+        assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in got if r[4])
+        assert Counter(hashlib.sha256((r.text or "").translate(SPACE).encode()).hexdigest() for r in rows) \
+            == Counter(dict.fromkeys((r[3] for r in got), 1))
+
+
+def test_slices_cover_every_hash_once():
+    for rows, slice_rows in ((0, 5), (5, 5), (6, 5), (10**9, exact_dedup.SLICE_ROWS)):
+        cuts = exact_dedup._slices(rows, slice_rows)
+        assert cuts[0][0] == -(1 << 63) and cuts[-1][1] == (1 << 63) - 1
+        assert all(a[1] + 1 == b[0] for a, b in zip(cuts, cuts[1:]))
+        assert -(-rows // len(cuts)) * exact_dedup.CELLS_PER_ROW <= exact_dedup.MAX_CELLS
+
+
 def brute_spans(text, rules=secret_ledger.ALL_RULES):
     out = []
     for rank, r in enumerate(rules):
