@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,20 @@ def test_url_rules_edges(spark):
     assert url_filter.judge_urls(df.limit(0), rules.limit(0), rules.select("host").limit(0)).count() == 0
 
 
+def test_url_query_equals_its_sql(spark, tmp_path):
+    more = ["http://a.spam-farm.org/x", "http://xn--abc.org/x", "http://-a.org/", "http://a-b-c/", "http://a-b\n.org/", "http://x.a-b\n/", "http://FREE-bets.net/de/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*URLS, *more])] + [(None, None), (4, URLS[4])], "page_id long, url string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op3_url_filters"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op3_url_filters"])
+    names = [c[0] for c in want.description]
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(want.fetchall())
+    verdict = {r.host: r.verdict for r in got.collect()}
+    assert [verdict[h] for h in ("a.spam-farm.org", "a-b-c", "free-bets.net", "xn--abc.org", "-a.org", "a-b\n.org")] == ["block"] * 3 + ["allow"] * 3
+
+
 def pages_frame(spark):
     big, other = "é" * 700, "x" * 1000
     rows = [(1, "http://a/1", big), (5, "http://a/5", big), (3, None, big), (7, "http://b/\r\nX: y", other), (8, "u", "small"), (9, "u", "small"),
