@@ -29,6 +29,8 @@ window (one shuffle, fine when no series is large).
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,13 +42,21 @@ DEFAULT_BLOCK_ROWS = 1_000_000
 UNB_PRE, UNB_FOL = Window.unboundedPreceding, Window.unboundedFollowing
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the left side's keys first, as a join by names has them."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys])
+    out = left.join(other, same, how).drop(*[f"__right_{k}" for k in keys])
+    return out.select(*keys, *[c for c in out.columns if c not in keys])
+
+
 # --------------------------------------------------------------------------- positions
 def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    pos: str = "pos", length: str | None = None, ranges: int | None = None) -> DataFrame:
     """Add the 0-based row position of each row inside its series.
 
     ``order`` must be a total order inside a series (add tie-break columns);
-    the series keys must not be NULL.  ``length`` optionally adds the series
+    rows whose key is NULL form a series of their own.  ``length`` optionally adds the series
     length.  ``ranges`` sets the number of range partitions (default: the
     session's shuffle partitions).
 
@@ -65,7 +75,7 @@ def sequence_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(wc.rowsBetween(UNB_PRE, -1)), F.lit(0)))
     if length:
         offs = offs.withColumn(length, F.sum("__n").over(Window.partitionBy(*keys)))
-    out = d.join(offs.drop("__n"), [*keys, "__range"])
+    out = _null_safe(d, offs.drop("__n"), [*keys, "__range"], "inner")
     return out.withColumn(pos, F.col("__off") + F.col("__id") - F.col("__first")).drop("__off", "__first", "__id", "__range")
 
 
@@ -164,7 +174,7 @@ def carry(df: DataFrame, keys: Sequence[str], pos: str, exprs: Mapping[str, Colu
     b = F.col("__blk") if forward else F.col("__blk").desc()
     sframe = Window.partitionBy(*keys).orderBy(b).rowsBetween(UNB_PRE, -1)
     summ = summ.select(*keys, "__blk", *[F.last(f"__s_{n}", True).over(sframe).alias(f"__c_{n}") for n in names])
-    out = local.join(summ, [*keys, "__blk"], "left")
+    out = _null_safe(local, summ, [*keys, "__blk"], "left")
     out = out.withColumns({n: F.coalesce(F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n in names})
     return out.drop("__blk", *[f"__{k}_{n}" for n in names for k in ("l", "c")])
 
@@ -193,7 +203,7 @@ def fill_lag_features(df: DataFrame, keys: Sequence[str], weather_lags: Mapping[
     if target_lags:
         keys = list(keys)
         means = out.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in target_lags])
-        out = out.join(means, keys, "left").withColumns(
+        out = _null_safe(out, means, keys, "left").withColumns(
             {c: F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(float(target_default))) for c in target_lags})
         out = out.drop(*[f"__m_{c}" for c in target_lags])
     return out
@@ -282,14 +292,14 @@ def decompose_additive(df: DataFrame, keys: Sequence[str], pos: str, length: str
         F.regr_slope(F.when(in_back, F.col("__trend0")), F.when(in_back, p.cast("double"))).alias("__kb"),
         F.regr_intercept(F.when(in_back, F.col("__trend0")), F.when(in_back, p.cast("double"))).alias("__nb"),
         F.count_if(F.col(y).isNull()).alias("__ymiss"))
-    t = t.join(fits, keys, "left")
+    t = _null_safe(t, fits, keys, "left")
     trend = (F.when(p < front, F.col("__kf") * p + F.col("__nf"))
              .when(p > back, F.col("__kb") * p + F.col("__nb"))
              .otherwise(F.col("__trend0")))
     t = materialize(t.withColumns({"trend": trend, "__phase": p % period}))
     phase = (t.groupBy(*keys, "__phase").agg(F.avg(F.col(y) - F.col("trend")).alias("__pm")))
     phase = phase.withColumn("seasonal", F.col("__pm") - F.avg("__pm").over(Window.partitionBy(*keys)))
-    t = t.join(phase.drop("__pm"), [*keys, "__phase"], "left")
+    t = _null_safe(t, phase.drop("__pm"), [*keys, "__phase"], "left")
     ok = (n >= min_rows) & (F.col("__ymiss") == 0)
     t = t.withColumns({
         "trend": F.when(ok, F.col("trend")),

@@ -219,10 +219,50 @@ def _metrics_frame(spark, rows):
                                  "model string, mae double, rmse double, r2 double, n long")
 
 
-@register("ml_linear")
+# Features as SQL, in the order of FIT_FEATURES.
+_HOLIDAY_SQL = f"""(date in ({', '.join(f"date '{d}'" for d in sorted(set(cal.HOLIDAYS)))})
+    or strftime(date, '%m-%d') in ({', '.join(f"'{m}'" for m in cal.recurring_month_days())}))"""
+_FEATURE_SQL = {
+    "is_weekend": "dayofweek >= 5", "is_rush_hour": "hour in (7, 8, 9, 18, 19, 20)", "direction_encoded": "direction = 'O'",
+    "is_holiday": _HOLIDAY_SQL, "season": "case when month in (12, 1, 2) then 0 when month <= 5 then 1 when month <= 8 then 2 else 3 end",
+    "hour_sin": "sin(2 * pi() * hour / 24)", "hour_cos": "cos(2 * pi() * hour / 24)", "day_sin": "sin(2 * pi() * dayofweek / 7)",
+    "day_cos": "cos(2 * pi() * dayofweek / 7)", "month_sin": "sin(2 * pi() * month / 12)", "month_cos": "cos(2 * pi() * month / 12)"}
+SQL_FIT_ROWS = f"""both_have as (select station_name from tr intersect select station_name from te),
+codes as (select station_name, row_number() over (order by station_name) - 1 as station_encoded from both_have),
+fit_rows as (select tm, congestion as y, {', '.join(f'cast({_FEATURE_SQL.get(c, c)} as double) as x{i}' for i, c in enumerate(FIT_FEATURES))}
+             from m join codes using (station_name))"""
+
+
+def _linear_sql(rows: str, p: int = len(FIT_FEATURES)) -> str:
+    """Errors on held-out rows of least squares by successive residuals: CTEs that end in ``errors`` (k, actual, e).
+
+    ``rows`` selects k (which fit), fit (whether the row is fitted on), y and x0..  Each regressor in turn is taken out of the
+    later ones and the target, with the slopes of the fitted rows, in all rows; what is left of a held-out row's target is its error.
+    """
+    names = ["y", *[f"x{i}" for i in range(p)]]
+    out = [f"lin_rows as materialized ({rows})",
+           f"lin_means as materialized (select k, {', '.join(f'avg({c}) as m_{c}' for c in names)} from lin_rows where fit group by k)",
+           f"lin_0 as materialized (select k, fit, y as actual, {', '.join(f'{c} - m_{c} as {c}' for c in names)} from lin_rows join lin_means using (k))"]
+    for j in range(p):
+        x, rest = f"x{j}", ["y", *[f"x{i}" for i in range(j + 1, p)]]
+        slopes = ", ".join(f"coalesce(sum({c} * {x}) / nullif(sum({x} * {x}), 0), 0) as s_{c}" for c in rest)
+        out += [f"lin_s{j} as materialized (select k, {slopes} from lin_{j} where fit group by k)",
+                f"lin_{j + 1} as materialized (select k, fit, actual, {', '.join(f'{c} - s_{c} * {x} as {c}' for c in rest)} from lin_{j} join lin_s{j} using (k))"]
+    return ",\n".join([*out, f"errors as (select k, actual, y as e from lin_{p} where not fit)"])
+
+
+_LINEAR_MET_SQL = """round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse,
+       round(1 - sum(e * e) / (var_pop(actual) * count(*)), 6) as r2, cast(count(*) as bigint) as n from errors"""
+
+
+@register("ml_linear", with_p(f"""
+with {SQL_FIT_ROWS},
+{_linear_sql(f"select 1 as k, tm < {SPLIT_TM} as fit, * exclude (tm) from fit_rows")}
+select 'linear' as model, {_LINEAR_MET_SQL}"""))
 def ml_linear(spark, sf):
+    """Least squares on the train period, its errors on the test period."""
     _, m = _fit_eval(spark, sf, "linear")
-    return _metrics_frame(spark, [("linear", m)])
+    return _metrics_frame(spark, [("linear", m)]).withColumns({c: r(c) for c in ("mae", "rmse", "r2")})
 
 
 @register("ml_forest")
@@ -280,13 +320,18 @@ def ml_search(spark, sf):
                                  "l1 double, l2 double, folds int, cv_mae double")
 
 
-@register("ml_ts_cv")
+@register("ml_ts_cv", with_p(f"""
+with {SQL_FIT_ROWS},
+blocks as (select tm, ntile(4) over (order by tm) - 1 as block from (select distinct tm from fit_rows where tm < {SPLIT_TM})),
+{_linear_sql("select k, block < k as fit, f.* exclude (tm) from fit_rows f join blocks using (tm) join (values (1), (2), (3)) v(k) on block <= k")}
+select cast(k as int) as fold, {_LINEAR_MET_SQL} group by k"""))
 def ml_ts_cv(spark, sf):
     """Three expanding-window folds cut on the distinct stamps (linear model), solved from the blocks' moments."""
     tr, _ = fit_parts(spark, sf)
     res = ml.ts_cv_linear(tr, FIT_FEATURES, "congestion", "tm")
-    return spark.createDataFrame([(x["fold"], float(x["mae"]), float(x["rmse"]), float(x["r2"]), int(x["n"])) for x in res],
-                                 "fold int, mae double, rmse double, r2 double, n long")
+    out = spark.createDataFrame([(x["fold"], float(x["mae"]), float(x["rmse"]), float(x["r2"]), int(x["n"])) for x in res],
+                                "fold int, mae double, rmse double, r2 double, n long")
+    return out.withColumns({c: r(c) for c in ("mae", "rmse", "r2")})
 
 
 VAR_FEATURES = ["hour", "dayofweek", "is_weekend", "hour_sin", "ta", "ws", "rn_hr1", "hm", "is_rush_hour"]

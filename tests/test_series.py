@@ -1,3 +1,5 @@
+from collections import Counter
+
 import math
 from datetime import datetime, timedelta
 
@@ -159,3 +161,18 @@ def test_positions_of_a_hot_series_are_spread(spark):
     assert got.where("pos <> t or n <> 30000").count() == 0 and got.count() == 30000
     assert out.where("st <> 'hot'").groupBy("st").agg(F.countDistinct("pos").alias("d"), F.max("pos").alias("m"), F.max("n").alias("n")).where(
         "d <> 200 or m <> 199 or n <> 200").count() == 0
+
+
+def test_rows_without_a_key_are_a_series_of_their_own(spark):
+    rows = [(k, t, None if t % 3 == 0 else float(t)) for k in ("a", None, "b") for t in range(10)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(3)
+    d = se.sequence_index(df, ["k"], ["t"], length="n", ranges=4)
+    assert d.columns == ["k", "t", "v", "n", "pos"]
+    assert sorted((str(r.k), r.t, r.pos, r.n) for r in d.collect()) == sorted((str(k), t, t, 10) for k, t, _ in rows)
+    filled = se.carry(d, ["k"], "pos", {"f": F.col("v")}, block_rows=4).collect()
+    assert Counter(r.k for r in filled) == {"a": 10, None: 10, "b": 10}
+    assert all(r.f == (None if r.t == 0 else float(r.t - (r.t % 3 == 0))) for r in filled)
+    lagged = se.add_lags(d, ["k"], "pos", ["t"], [1], block_rows=4).collect()
+    assert all(r.t_lag_1 == (r.t - 1 if r.t else None) for r in lagged) and len(lagged) == 30
+    means = se.fill_lag_features(d.withColumn("y_lag_1", F.when(F.col("t") > 4, F.col("t").cast("double"))), ["k"], {}, ["y_lag_1"]).collect()
+    assert len(means) == 30 and all(r.y_lag_1 == (r.t if r.t > 4 else 7.0) for r in means)
