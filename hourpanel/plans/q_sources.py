@@ -123,7 +123,7 @@ def sink_model(spark, sf):
     """Fit, save the bundle (feature chain, model, features, metrics, importances), reload through a fallback path list, re-score."""
     tr, te = parts(spark, sf)
     feats = ["hour", "dayofweek", "ta", "ws", "rn_hr1", "hm", "is_weekend"]
-    model = ml.fit_model(tr, feats, "congestion", "forest", {"numTrees": ml.IMPORTANCE_TREES})
+    model = ml.fit_model(tr, feats, "congestion", "forest", {"numTrees": ml.IMPORTANCE_TREES}, key=ROW_KEY)
     m = ml.evaluate(model, te, "congestion")
     base = pio.io_dir(spark, "bundle")
     metrics = spark.createDataFrame([(float(m["mae"]), float(m["rmse"]), float(m["r2"]))], "mae double, rmse double, r2 double")
