@@ -91,7 +91,7 @@ def agg_row_null_count(spark, sf):
 def dataset_c(spark, sf):
     """Set C: ta/ws/hm interpolated by position inside each station series
     among rows with fewer than two missing basic variables; rain gaps -> 0."""
-    df = ms.with_row_nulls(clean(spark, sf).select("station_name", *KEY, *BASIC, "si", "hour", "congestion"), BASIC)
+    df = ms.with_row_nulls(clean(spark, sf).select("station_name", *KEY, *BASIC, "si", "hour", "congestion"), BASIC).drop("missing_count")
     ok = df.filter(~F.col("multiple_missing"))
     ok = se.sequence_index(ok, ["station_name"], KEY)
     ok = se.interpolate_linear(ok, ["station_name"], "pos", ["ta", "ws", "hm"]).drop("pos")
