@@ -29,7 +29,7 @@ from ..functions import clean as cl
 from ..functions import features as ft
 from ..operators import impute as im
 from ..operators import series as se
-from ..session import materialize
+from ..session import store
 
 WEATHER = ["ta", "ws", "rn_hr1", "hm"]
 # Weather columns with a lag, lags and rolling means.
@@ -45,13 +45,18 @@ class FeatureChainModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         c = self.chain
-        out = materialize(c.features(df, self.thresholds))
+        rows = store(c.windows(df), "chain-rows")
+        # the fills move narrow rows; the features, made of the weather as it was, follow them
+        out = rows.withColumns({f"__raw_{x}": F.col(x) for x in WEATHER})
         # series fills: forward then backward inside the series, then the fitted median
         out = se.fill_ff_bf(out, c.series_keys, "pos", WEATHER, median_fallback=False, block_rows=c.block_rows)
         out = out.fillna({k: v for k, v in self.medians.items() if k in WEATHER})
         base = {x: x.split("_lag_")[0].split("_ma_")[0] for x in out.columns if "_lag_" in x or "_ma_" in x}
         out = se.fill_lag_features(out, c.series_keys, {x: v for x, v in base.items() if v != c.target},
                                    [x for x, v in base.items() if v == c.target])
+        out = out.withColumnsRenamed({x: f"__filled_{x}" for x in WEATHER}).withColumnsRenamed({f"__raw_{x}": x for x in WEATHER})
+        out = c.derive(out, self.thresholds)
+        out = out.withColumns({x: F.col(f"__filled_{x}") for x in WEATHER}).drop(*[f"__filled_{x}" for x in WEATHER])
         out = out.fillna(self.modes)
         out = im.impute_zero_flags(out)
         inter = im.interaction_columns(out)
@@ -82,9 +87,13 @@ class FeatureChain:
         return {"series_keys": self.series_keys, "order": self.order, "exact": self.exact, "block_rows": self.block_rows,
                 "refit": self.refit, "exclude": sorted(self.exclude), "target": self.target}
 
-    def features(self, df: DataFrame, thresholds: dict) -> DataFrame:
+    def windows(self, df: DataFrame) -> DataFrame:
+        """Cleaned rows with their position, lags and rolling means: all that moves rows."""
         d = se.sequence_index(cl.clean_weather(df), self.series_keys, self.order)
-        d = se.add_lags_and_means(d, self.series_keys, "pos", self.steps(d.columns), block_rows=self.block_rows)
+        return se.add_lags_and_means(d, self.series_keys, "pos", self.steps(d.columns), block_rows=self.block_rows)
+
+    def derive(self, d: DataFrame, thresholds: dict) -> DataFrame:
+        """The features that follow from a row alone."""
         d = ft.with_extreme_flags(d, thresholds)
         if "hour" not in d.columns:
             d = cal.with_calendar(d)
@@ -102,12 +111,11 @@ class FeatureChain:
 
     def fit(self, train: DataFrame) -> FeatureChainModel:
         thresholds = ft.extreme_thresholds(cl.clean_weather(train), self.exact)
-        feats = self.features(train, thresholds).cache()
+        feats = self.derive(store(self.windows(train), "chain-fit"), thresholds)  # a pass reads the columns it needs and derives the rest
         modes = im.mode_values(feats, CATEGORICAL)
         flags = set(im.flag_columns(feats))  # filled with 0
         num = [c for c in numeric_columns(feats, exclude=self.exclude | {"pos"}) if c not in flags]
         medians = im.column_stats(feats, num, "median", self.exact)
-        feats.unpersist()
         return FeatureChainModel(self, thresholds, modes, medians)
 
     def fit_transform_pair(self, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:

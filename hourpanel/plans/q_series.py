@@ -175,7 +175,7 @@ def win_decompose(spark, sf):
 def _chained(spark, sf):
     """The whole feature chain fitted on the train period, applied to the test period."""
     from .feature_chain import FeatureChain
-    df = cal_panel(spark, sf)
+    df = fx.panel_wide(spark, sf)  # the chain adds the calendar's columns where no row moves any more
     tr, te = df.filter(F.col("tm") < 2000000000), df.filter(F.col("tm") >= 2000000000)
     chain = FeatureChain(series_keys=["station_name"], order=KEY,
                          exclude=["tm", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"], target="congestion")
