@@ -32,12 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, small_batches
 from .word_table import WordTable, code_points
 
 MARK = "▁"
 CACHE_WORDS = 1 << 20
-CELLS = 1 << 18  # characters whose substrings are looked up at once
+CELLS = 1 << 16  # characters whose substrings are looked up at once
+BATCH_CHARS = 1 << 18  # characters whose words are looked up at once
 UNKNOWN_PENALTY = 10.0
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 20
@@ -185,19 +186,27 @@ class Encoder:
     """Encodes texts, looking up the words met before."""
 
     def __init__(self, pieces: SentencePieces, cache_words: int = CACHE_WORDS):
-        self.pieces, self.known = pieces, WordTable(pieces.encode_words, word_starts, cache_words)
+        self.pieces, self.known = pieces, WordTable(pieces.encode_words, word_starts, cache_words, BATCH_CHARS)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         return list(self.known.batch([MARK + t.replace(" ", MARK) if t else "" for t in texts]))
 
 
+_PIECES: dict[str, SentencePieces] = {}
 _LOADED: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def pieces_of(path: str) -> SentencePieces:
     """One for each worker process."""
+    if path not in _PIECES:
+        _PIECES[path] = SentencePieces(path)
+    return _PIECES[path]
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process that encodes."""
     if path not in _LOADED:
-        _LOADED[path] = Encoder(SentencePieces(path))
+        _LOADED[path] = Encoder(pieces_of(path))
     return _LOADED[path]
 
 
@@ -221,7 +230,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], ids], [*keep, out_col])
 
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], f"`{out_col}` array<int>"])
-    return ship(docs.select(*keep, docs[text_col].cast("string").alias(text_col))).mapInArrow(run, schema)
+    return small_batches(ship(docs.select(*keep, docs[text_col].cast("string").alias(text_col)))).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -229,10 +238,13 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str
     keep = [c for c in coded.columns if c.lower() not in (ids_col.lower(), out_col.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = encoder(model_path).pieces
+        pieces = pieces_of(model_path)
         for b in (s for x in batches for s in _slices(x)):
-            texts = [None if x is None else pieces.decode(x) for x in b[ids_col].to_pylist()]
+            ids = b[ids_col].flatten().to_numpy(zero_copy_only=False)
+            stops = np.cumsum(b[ids_col].value_lengths().fill_null(0).to_numpy()).tolist()
+            texts = [pieces.decode(ids[a:z].tolist()) if there else None  # a text's ids as Python numbers, not a batch's
+                     for a, z, there in zip([0, *stops], stops, b[ids_col].is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(texts, pa.string())], [*keep, out_col])
 
     schema = ", ".join([*[f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in keep], f"`{out_col}` string"])
-    return ship(coded.select(*keep, ids_col)).mapInArrow(run, schema)
+    return small_batches(ship(coded.select(*keep, ids_col))).mapInArrow(run, schema)

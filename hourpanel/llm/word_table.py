@@ -35,8 +35,8 @@ class WordTable:
     these start, the places at which words begin (a text's start among them).
     """
 
-    def __init__(self, encode: Callable, cuts: Callable, limit: int = LIMIT):
-        self.encode, self.cuts, self.limit = encode, cuts, limit
+    def __init__(self, encode: Callable, cuts: Callable, limit: int = LIMIT, batch_chars: int = BATCH_CHARS):
+        self.encode, self.cuts, self.limit, self.batch_chars = encode, cuts, limit, batch_chars
         self.of_char = splitmix(np.arange(0x110000, dtype=np.uint64))
         self.of_place = splitmix(np.arange(1 << 32, (1 << 32) + 2 * LONGEST, dtype=np.uint64)).reshape(2, -1) | np.uint64(1)
         self.bits = max(4, (2 * limit - 1).bit_length())
@@ -88,7 +88,7 @@ class WordTable:
         """Ids of each text, in order."""
         group, size = [], 0
         for t in texts:
-            if group and size + len(t) > BATCH_CHARS:
+            if group and size + len(t) > self.batch_chars:
                 yield from self._group(group)
                 group, size = [], 0
             group.append(t)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,42 @@ def test_encode_decode_round_trip(spark, edge):
     assert sv.encode(edge.limit(0), PIECES).count() == 0
 
 
+def test_workers_get_small_batches(spark):
+    """Of 32 MB in one partition no worker of the chain holds more than 8 MB at once, nor more than the session allows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("ab cdef "), 1000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([len(b)])], ["size", "n"])
+
+    def held():
+        coded = sv.encode(wide, PIECES)
+        sv.decode(coded, PIECES)
+        got = wide.mapInArrow(sizes, "size long, n long").collect()
+        assert sum(r.n for r in got) == 4000
+        return max(r.size for r in got)
+
+    spark.conf.unset(name)
+    try:
+        assert held() < 9 << 20
+        spark.conf.set(name, "1m")
+        assert held() < 2 << 20
+    finally:
+        spark.conf.unset(name)
+
+
+def test_decode_without_a_table_of_words(spark):
+    """A worker that only decodes makes no table of words; ids in any slice, empty and null ones decode alike."""
+    rows = [(i, None if i % 7 == 0 else [] if i % 7 == 1 else [35, 301, 35 + i % 50]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>").coalesce(1)
+    pieces = sv.SentencePieces(PIECES)
+    assert {r.id: r.text for r in sv.decode(df, PIECES).collect()} == {i: None if x is None else pieces.decode(x) for i, x in rows}
+    sv._LOADED.pop(PIECES, None)
+    sv.pieces_of(PIECES)
+    assert PIECES not in sv._LOADED and sv.encoder(PIECES).pieces is sv.pieces_of(PIECES)
+
+
 def test_word_tokenizer_equals_library(small):
     from tokenizers import Tokenizer
 
