@@ -263,7 +263,8 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
     moved = known.select("canon").limit(0).withColumn("attempt", F.lit(0))
     while True:
         # few bytes but dear rows: dealt to as many tasks as there are
-        named = store(state.repartition(parts, "canon").withColumn("new", canonical(surrogate(F.col("mention"), key, F.col("attempt")))), "pii-round")
+        new = let(surrogate(F.col("mention"), key, F.col("attempt")), canonical)
+        named = store(state.repartition(parts, "canon").withColumn("new", new), "pii-round")
         crowd = named.groupBy("new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canon")).alias("first")) \
             .where("n > 1").select(F.col("new").alias("name"), F.col("first.canon").alias("first"))
         real = known.select(F.col("canon").alias("name"), F.lit(None).cast("string").alias("first"))
@@ -296,7 +297,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: str
 
     def replaced(x):
         attempt = F.coalesce(F.get(F.map_values(F.map_filter(F.col(tries), lambda c, _: c == canonical(x))), F.lit(0)), F.lit(0))
-        return surrogate(x, key, attempt)
+        return let(attempt, lambda a: surrogate(x, key, a))
 
     pieces = between(text)
     woven = F.flatten(F.zip_with(pieces, F.transform(m, replaced), lambda p, r: F.array(p, F.coalesce(r, F.lit("")))))

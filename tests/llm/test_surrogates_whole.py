@@ -51,3 +51,19 @@ def test_rewriting_equals_brute_force(spark, small, table):
     assert got == {i: None if t is None else WHOLE.sub(lambda m: new[m[0]], t) for i, t in enumerate(texts)}
     assert len({ps_c for m, ps_c in canon.items()}) == len({r.c for r in tried.select(
         ps.canonical(ps.surrogate(F.col("m"), "k", F.col("attempt"))).alias("c")).collect()})  # distinct entities stay distinct
+
+
+def test_a_round_evaluates_a_surrogate_once(spark, monkeypatch, capsys):
+    """Repeated in each use, a surrogate's tree filled the executors' memory when it was sent to every task of a round."""
+    rounds, store = [], ps.store
+
+    def kept(df, label):
+        if label == "pii-round":
+            df.explain()
+            rounds.append(capsys.readouterr().out.count("sha2("))
+        return store(df, label)
+
+    monkeypatch.setattr(ps, "store", kept)
+    known = spark.createDataFrame([("email:ann@x.org", "ann@x.org")], "canon string, mention string")
+    assert ps.exceptions(known, "k").count() == 0
+    assert rounds == [1]
