@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, small_batches
 from .word_table import WordTable, code_points, ragged
 
 LEAF = 64
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
                                            mask=texts.is_null())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], schema.names)
 
-    return ship(docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(text_col))).mapInArrow(run, schema)
+    return small_batches(ship(docs.select(*[docs[c] for c in keep], docs[text_col].cast("string").alias(text_col)))).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
@@ -314,4 +314,4 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "te
             texts = pa.array(tok.decode_batch(flat, size), pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], schema.names)
 
-    return ship(coded.select(*[coded[c] for c in keep], coded[ids_col].cast("array<int>").alias(ids_col))).mapInArrow(run, schema)
+    return small_batches(ship(coded.select(*[coded[c] for c in keep], coded[ids_col].cast("array<int>").alias(ids_col)))).mapInArrow(run, schema)

@@ -118,3 +118,16 @@ def test_query(spark, lib):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_workers_get_small_batches(spark):
+    """Encoding and decoding stand in one stage: each task has two workers, and none holds more than 8 MB of rows at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        wide = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("ab cdef "), 1000).alias("text"))
+        bt.decode(bt.encode(wide, PATH), PATH)
+        got = wide.mapInArrow(lambda batches: (b.select(["text"]).slice(0, 1) for b in batches), "text string").count()
+        assert got >= 4  # 32 MB: a row for each batch
+    finally:
+        spark.conf.unset(name)
