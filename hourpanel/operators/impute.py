@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import bounded
-from .quantiles import exact_quantiles
+from .quantiles import counted_quantiles
 
 FLAG_PREFIXES = ("extreme_", "is_", "no_", "light_", "heavy_", "strong_", "calm_")
 INTERACTION_MARKERS = ("interaction", "apparent_temp", "wind_chill")
@@ -25,8 +25,8 @@ def column_stats(df: DataFrame, cols: Sequence[str], how: str = "median", exact:
     if not cols:
         return {}
     if how == "median" and exact:
-        # sketches and counts: no value is shuffled, however many distinct ones a column has
-        return {c: v[0] for c, v in exact_quantiles(df, {c: [0.5] for c in cols}).items() if v[0] is not None}
+        # counts by digit: no value is shuffled, however many distinct ones a column has
+        return {c: v[0] for c, v in counted_quantiles(df, {c: [0.5] for c in cols}).items() if v[0] is not None}
     if how == "mean":
         aggs = [F.avg(c).alias(c) for c in cols]
     elif how == "median":

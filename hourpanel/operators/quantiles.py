@@ -29,6 +29,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +164,89 @@ def ranked_values(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> Data
                                            (F.col("__before") + F.col("__upto")).alias("upto"), "total")
 
 
+def counted_quantiles(df: DataFrame, probs: Mapping[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """``exact_quantiles`` of many columns, which are computed anew in each pass: by counting digits instead of by sketches.
+
+    A value's digits are the four 16-bit parts of its bits, put in the order of the values.  A pass counts, for each column
+    and the digits that its rank is known to begin with, the rows by the next digit, with their least and greatest value; tasks
+    hold 65,536 counts a column at most.  A rank whose digit has one value is found, so columns of few values take one pass and none
+    takes more than four, each over the columns that are still open.
+    """
+    cols = list(probs)
+    sizes: dict[str, int] = {}
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[int, int]] = {}  # (column, rank) -> (the digits before, the rank among the rows that have them)
+    at: dict[str, list[float]] = {}
+    for depth in range(4):
+        targets = sorted({(c, prefix) for (c, _), (prefix, _) in open_.items()}) if depth else [(c, 0) for c in cols]
+        if not targets:
+            break
+        table = _digits(df, targets, depth)
+        if not depth:
+            sizes = {c: sum(n for _, n, _, _ in table.get((c, 0), ())) for c in cols}
+            at = {c: [p * (sizes[c] - 1) for p in probs[c]] for c in cols if sizes[c]}
+            open_ = {(c, k): (0, k) for c, rs in at.items() for r in rs for k in (int(r), min(int(r) + 1, sizes[c] - 1))}
+        for (c, k), (prefix, left) in list(open_.items()):
+            for digit, n, low, high in table[c, prefix]:
+                if left < n:
+                    break
+                left -= n
+            if low == high:
+                found[c, k] = low
+                del open_[c, k]
+            else:
+                open_[c, k] = prefix << 16 | digit, left
+    return {c: [_between(found[c, int(r)], found[c, min(int(r) + 1, sizes[c] - 1)], r - int(r)) for r in at[c]] if c in at else [None] * len(probs[c])
+            for c in cols}
+
+
+def _between(low: float, high: float, share: float) -> float:
+    return low if share == 0 or low == high else low + (high - low) * share
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the numbers ``x``; those of equal numbers are equal."""
+    bits = (x + 0.0).view(np.int64)
+    return (bits ^ (bits >> 63 & np.int64(2**63 - 1))).view(np.uint64) ^ np.uint64(2**63)
+
+
+def _digits(df: DataFrame, targets: Sequence[tuple[str, int]], depth: int) -> dict[tuple[str, int], list[tuple[int, int, float, float]]]:
+    """For each (column, digits before): (next digit, rows, least value, greatest value) in the digits' order."""
+    cols = list(dict.fromkeys(c for c, _ in targets))
+    prefixes = [(cols.index(c), prefix) for c, prefix in targets]
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        for b in batches:
+            values = [b.column(i).drop_null().to_numpy(zero_copy_only=False) for i in range(len(cols))]
+            keys = [_ordered(x) for x in values]
+            for t, (i, prefix) in enumerate(prefixes):
+                x, key = values[i], keys[i]
+                if depth:
+                    inside = key >> np.uint64(64 - 16 * depth) == np.uint64(prefix)
+                    x, key = x[inside], key[inside]
+                if not len(x):
+                    continue
+                if t not in held:
+                    held[t] = np.zeros(2**16, np.int64), np.full(2**16, np.inf), np.full(2**16, -np.inf)
+                digit = (key >> np.uint64(48 - 16 * depth) & np.uint64(2**16 - 1)).astype(np.int64)
+                n, low, high = held[t]
+                np.add.at(n, digit, 1)
+                np.minimum.at(low, digit, x)
+                np.maximum.at(high, digit, x)
+        for t, (n, low, high) in held.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some]),
+                                              pa.array(low[some]), pa.array(high[some])], names=["t", "digit", "n", "low", "high"])
+
+    rows = df.select(*[_values(c).alias(f"v{i}") for i, c in enumerate(cols)]).mapInArrow(count, "t int, digit int, n long, low double, high double")
+    got = rows.groupBy("t", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[tuple[str, int], list] = {}
+    for r in sorted(got.collect()):
+        out.setdefault(targets[r["t"]], []).append((r["digit"], r["n"], r["low"], r["high"]))
+    return out
+
+
 def grouped_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(by..., variable, n, quantiles): an array with the linear-interpolation quantile of each probability."""
     ranked = ranked_values(df, by, cols)
